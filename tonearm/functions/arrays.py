@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tonearm.functions.numbers import bind
-from tonearm.functions.text import ColumnLike, col, safe_text, split_pipe
+from tonearm.functions.text import ColumnLike, col, no_items, safe_text, split_pipe
 
 
 def unique_items(values: ColumnLike) -> Column:
@@ -24,8 +24,7 @@ def coerce_list(value: ColumnLike, is_array: bool) -> Column:
     if not is_array:
         return split_pipe(value)
     texts = F.transform(col(value), lambda item: safe_text(item))
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.filter(texts, lambda item: item != ""), empty)
+    return F.coalesce(F.filter(texts, lambda item: item != ""), no_items())
 
 
 def most_common(words: ColumnLike, limit: int) -> Column:
@@ -58,7 +57,7 @@ def most_common(words: ColumnLike, limit: int) -> Column:
     )
     top = F.slice(F.array_sort(bind(ranked, counted)), 1, limit)
     result = F.transform(top, lambda item: item["word"])
-    return F.when(F.size(col(words)) > 0, result).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(col(words)) > 0, result).otherwise(no_items())
 
 
 def top_labels(scores: ColumnLike, labels: Column, limit: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -11,9 +12,14 @@ from tonearm import vocab
 
 ColumnLike = Column | str
 
-# Patterns. (?U) makes \s and \w follow Unicode, so that an ideographic space counts.
-_EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# Patterns. The blank class is every character that counts as white space in text.
+_BLANK_CLASS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK_CHARS = "".join(
+    chr(code)
+    for code in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                 0x202F, 0x205F, 0x3000)
+)
+_BLANKS = f"[{_BLANK_CLASS}]+"
 _LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 _STAMP = r"\[[^\]]+\]"
 _CREDIT_LINE = r"(?imUd)^\s*(作词|作曲|编曲|制作人|OP|SP|Publisher)\s*[:：].*$"
@@ -24,7 +30,7 @@ _TOKEN_EDGES = r"(?U)^[^\w\u3040-\u30ff\u3400-\u9fff]+|[^\w\u3040-\u30ff\u3400-\
 _ZH_RUN, _ZH_ANY = r"[\u4e00-\u9fff]{2,}", r"[\u4e00-\u9fff]"
 _JA_RUN, _JA_ANY = r"[\u3040-\u30ff\u3400-\u9fff]{2,}", r"[\u3040-\u30ff]"
 _EN_RUN, _EN_ANY = r"[a-zA-Z][a-zA-Z']+", r"[a-zA-Z]{3,}"
-_TITLE_BREAK = r"""(?U)[\s,，。/\\|·・:：;；\-—_()\[\]{}<>《》“”"'!！?？]+"""
+_TITLE_BREAK = f"""[{_BLANK_CLASS}""" + r""",，。/\\|·・:：;；\-—_()\[\]{}<>《》“”"'!！?？]+"""
 _FILE_NAME_BREAKS = (" - ", " – ", " — ", "-")
 
 
@@ -33,7 +39,17 @@ def col(value: ColumnLike) -> Column:
 
 
 def strip(value: ColumnLike) -> Column:
-    return F.regexp_replace(col(value), _EDGE_BLANKS, "")
+    """Text without blanks at both ends (every Unicode blank, not only spaces)."""
+    return F.trim(col(value), F.lit(_BLANK_CHARS))
+
+
+def constant_array(values: Sequence[str]) -> Column:
+    """A constant array of texts without line ends, as one literal."""
+    return F.split(F.lit("\n".join(values)), "\n") if values else no_items()
+
+
+def no_items() -> Column:
+    return F.array().cast("array<string>")
 
 
 def safe_text(value: ColumnLike) -> Column:
@@ -68,7 +84,7 @@ def normalize_for_search(value: ColumnLike) -> Column:
 def excerpt(value: ColumnLike, limit: int = 300) -> Column:
     """One-line display text of at most ``limit`` characters, cut texts end in an ellipsis."""
     text = strip(F.regexp_replace(F.replace(safe_raw(value), F.lit("\r"), F.lit(" ")), "\n", " / "))
-    cut = F.regexp_replace(F.substring(text, 1, limit - 3), r"(?U)[\s\x1c-\x1f]+\z", "")
+    cut = F.rtrim(F.substring(text, 1, limit - 3), F.lit(_BLANK_CHARS))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("...")))
 
 
@@ -133,7 +149,7 @@ def normalize_token(value: ColumnLike) -> Column:
 
 def contains_any(value: ColumnLike, needles: Sequence[str]) -> Column:
     """Literal, case-insensitive substring test for any of the needles."""
-    lowered = F.array(*[F.lit(needle.lower()) for needle in needles])
+    lowered = constant_array([needle.lower() for needle in needles])
     text = F.lower(safe_raw(value))
     return F.exists(lowered, lambda needle: F.contains(text, needle))
 
@@ -153,15 +169,10 @@ def matching_tags(lowered_text: ColumnLike, rules: Sequence[tuple[str, Sequence[
 
 
 def rule_table(rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(tag).alias("tag"),
-                F.array(*[F.lit(needle.lower()) for needle in needles]).alias("needles"),
-            )
-            for tag, needles in rules
-        ]
-    )
+    """Rules as one constant array of (tag, lower-case needles)."""
+    listed = [{"tag": tag, "needles": [needle.lower() for needle in needles]} for tag, needles in rules]
+    schema = "array<struct<tag:string,needles:array<string>>>"
+    return F.from_json(F.lit(json.dumps(listed, ensure_ascii=False)), schema)
 
 
 def file_name_identity(stem: ColumnLike) -> Column:
@@ -180,7 +191,12 @@ def file_name_identity(stem: ColumnLike) -> Column:
 
 def score_text(label: ColumnLike, score: ColumnLike, pattern: str = "0.0000") -> Column:
     """``label:score`` with half-even decimals."""
-    return F.concat(col(label), F.lit(":"), F.format_number(col(score), pattern))
+    return F.concat(col(label), F.lit(":"), decimals(score, pattern))
+
+
+def decimals(value: ColumnLike, pattern: str) -> Column:
+    """Number in a decimal pattern such as ``0.00``, half-even."""
+    return F.call_function("format_number", col(value), F.lit(pattern))
 
 
 def as_text(value: ColumnLike, kind: str = "scalar") -> Column:
@@ -229,10 +245,9 @@ def tokens(value: ColumnLike, language_tags: ColumnLike) -> Column:
     text, tags = col(value), col(language_tags)
 
     def words(run: str, condition: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(run), F.lit(0))
-        return F.when(condition, found).otherwise(F.array().cast("array<string>"))
+        return F.when(condition, F.regexp_extract_all(text, F.lit(run), F.lit(0))).otherwise(no_items())
 
-    chinese = F.arrays_overlap(tags, F.array(*[F.lit(tag) for tag in vocab.CHINESE_LANGUAGES]))
+    chinese = F.arrays_overlap(tags, constant_array(vocab.CHINESE_LANGUAGES))
     return F.concat(
         words(_ZH_RUN, chinese | text.rlike(_ZH_ANY)),
         words(_JA_RUN, F.array_contains(tags, vocab.JAPANESE_LANGUAGE) | text.rlike(_JA_ANY)),
@@ -256,7 +271,7 @@ def title_terms(
         normalize_token,
     )
     raw = F.concat(tokens(text, language_tags), F.split(text, _TITLE_BREAK))
-    excluded = F.concat(whole, F.array(*[F.lit(word) for word in stop_words]))
+    excluded = F.concat(whole, constant_array(stop_words))
     return F.array_distinct(
         F.filter(
             F.transform(raw, normalize_token),
@@ -267,22 +282,27 @@ def title_terms(
     )
 
 
-def lyric_words(cleaned: ColumnLike, language_tags: ColumnLike, stop_words: Sequence[str] = tuple(vocab.STOP_WORDS)) -> Column:
-    """Normalised lyric words in text order, duplicates kept."""
-    excluded = F.array(*[F.lit(word) for word in stop_words])
+def lyric_words(
+    cleaned: ColumnLike, language_tags: ColumnLike, stop_words: Sequence[str] = tuple(vocab.STOP_WORDS),
+    found: Column | None = None,
+) -> Column:
+    """Normalised lyric words in text order, duplicates kept.
+
+    Words of the built-in tokenizers hold only letters and inner quotes, so closing quotes are all
+    there is to strip. ``found`` gives words of a segmenter instead, which get the full treatment.
+    """
+    if found is None:
+        normal = F.transform(tokens(cleaned, language_tags), lambda word: F.rtrim(F.lower(word), F.lit("'")))
+        return F.filter(normal, lambda term: (F.length(term) >= 2) & ~term.isin(*stop_words))
     return F.filter(
-        F.transform(tokens(cleaned, language_tags), normalize_token),
-        lambda term: (F.length(term) >= 2)
-        & ~F.array_contains(excluded, term)
-        & ~term.rlike(r"(?U)^\d+\z"),
+        F.transform(found, normalize_token),
+        lambda term: (F.length(term) >= 2) & ~term.isin(*stop_words) & ~term.rlike(r"(?U)^\d+\z"),
     )
 
 
 def language_tags(summary: ColumnLike, generated: ColumnLike, candidates: Sequence[str] = tuple(vocab.LANGUAGE_TAGS)) -> Column:
     """Language labels named in the summary, then generated ones, else the unknown label."""
     text = safe_text(summary)
-    named = F.filter(
-        F.array(*[F.lit(tag) for tag in candidates]), lambda tag: F.contains(text, tag)
-    )
+    named = F.filter(constant_array(candidates), lambda tag: F.contains(text, tag))
     found = F.array_distinct(F.concat(named, split_pipe(generated)))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(vocab.UNKNOWN)))

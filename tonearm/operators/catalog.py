@@ -134,10 +134,10 @@ def song_detail(df: DataFrame, song_id: str) -> DataFrame:
     playback = F.coalesce(
         *[F.nullif(shown(f"{level}_url"), F.lit("")) for level in reversed(vocab.URL_LEVELS)], F.lit("")
     )
-    minutes = F.concat(F.format_number("duration_minutes", "0.0"), F.lit(" min"))
+    minutes = F.concat(text.decimals("duration_minutes", "0.0"), F.lit(" min"))
     score = "dynamic_score" if "dynamic_score" in df.columns else "recommend_score"
     similarity = (
-        F.coalesce(F.format_number("audio_similarity_score", "0.0"), F.lit(""))
+        F.coalesce(text.decimals("audio_similarity_score", "0.0"), F.lit(""))
         if "audio_similarity_score" in df.columns
         else F.lit("")
     )
@@ -196,7 +196,7 @@ def tempo_text(tempo: Column, source: Column, raw: Column) -> Column:
 
     def plain(value: Column) -> Column:
         number = value.try_cast("double")
-        fixed = F.regexp_replace(F.format_number(number, "0.00"), r"\.?0+\z", "")
+        fixed = F.regexp_replace(text.decimals(number, "0.00"), r"\.?0+\z", "")
         return F.when(number == F.floor(number), number.cast("long").cast("string")).when(
             number.isNotNull(), fixed
         ).otherwise(value)

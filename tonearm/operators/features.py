@@ -39,17 +39,16 @@ def title_terms(df: DataFrame) -> DataFrame:
 
 def feature_rows(df: DataFrame, columns: Mapping[str, str] = FEATURE_COLUMNS, key: str = "song_id") -> DataFrame:
     """Long table (key, feature, item, pos) of all list features, in one pass over the rows."""
-    entries = [
-        F.transform(
-            F.coalesce(F.col(column), F.array().cast("array<string>")),
-            lambda item, pos, feature=feature: F.struct(
-                F.lit(feature).alias("feature"), item.alias("item"), pos.alias("pos")
-            ),
+
+    def entries(feature: str, column: str) -> Column:
+        name = F.lit(feature).alias("feature")
+        return F.transform(
+            F.coalesce(F.col(column), text.no_items()),
+            lambda item, pos: F.struct(name, item.alias("item"), pos.alias("pos")),
         )
-        for feature, column in columns.items()
-        if column in df.columns
-    ]
-    return df.select(key, F.inline(F.concat(*entries)))
+
+    present = [entries(feature, column) for feature, column in columns.items() if column in df.columns]
+    return df.select(key, F.inline(F.concat(*present)))
 
 
 def frequency_counts(rows: DataFrame, once_per_row: bool = False, key: str = "song_id") -> DataFrame:

@@ -57,9 +57,9 @@ def with_features(tags: DataFrame, *tables: DataFrame, key: str = "song_id") ->
     return tags
 
 
-def selected_or_top(df: DataFrame, song_id: str | None, order: Sequence[str] = ("dynamic_score", "comment_total"), key: str = "song_id") -> DataFrame:
+def selected_or_top(df: DataFrame, song_id, order: Sequence[str] = ("dynamic_score", "comment_total"), key: str = "song_id") -> DataFrame:
     """The selected song if it is there, else the first by the order columns, descending."""
-    chosen = F.col(key) == (song_id or "")
+    chosen = F.lit(False) if song_id is None else F.col(key) == song_id
     return df.orderBy(chosen.desc(), *[F.desc(name) for name in order], key).limit(1)
 
 

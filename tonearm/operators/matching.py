@@ -374,8 +374,8 @@ def _with_duration(best: DataFrame, threshold: float) -> DataFrame:
     )
     best = best.withColumn("diff", duration_diff("local", "catalog"))
     parts = [("title", F.col("title_score")), ("artist", F.col("artist_score")), ("combo", F.col("combo_score"))]
-    shown = [F.concat(F.lit(f"{name}="), F.format_number(value, "0.00")) for name, value in parts]
-    timed = F.concat(F.lit("duration="), F.format_number(duration_score("diff"), "0.00"))
+    shown = [F.concat(F.lit(f"{name}="), text.decimals(value, "0.00")) for name, value in parts]
+    timed = F.concat(F.lit("duration="), text.decimals(duration_score("diff"), "0.00"))
     matched = best.withColumn("final", adjusted_score("score", "diff", threshold)).where(F.col("final") >= threshold)
     return matched.select(
         "file_path", "song.song_id", "song.name", "song.artist_names",

@@ -115,7 +115,7 @@ def feature_part_columns(
         length = F.sqrt(F.count(F.when(mine, 1)).cast("double"))
         scale = float(dimension_weights.get(LABELS[feature], 1.0))
         scored = F.sum(F.when(mine, points)) / length * scale * SCALES[feature]
-        sums.append(F.coalesce(scored, F.lit(0.0)).alias(feature))
+        sums.append(F.coalesce(scored, F.lit(0.0)).alias(f"points_{feature}"))
         if bonus is not None:
             liked = F.sum(F.when(mine, F.coalesce("bonus", F.lit(0.0)))) / length * SCALES[feature]
             sums.append(F.coalesce(liked, F.lit(0.0)).alias(f"history_{feature}"))
@@ -163,7 +163,7 @@ def dynamic_score(
         rows, counts, weights or {}, dimension_weights, bonus if use_history else None, key
     )
     scored = df.join(lists, key, "left")
-    parts = [(LABELS[feature], F.coalesce(F.col(feature), F.lit(0.0))) for feature in SCALES]
+    parts = [(LABELS[feature], F.coalesce(F.col(f"points_{feature}"), F.lit(0.0))) for feature in SCALES]
     for label, value in numeric_parts(catalog if catalog is not None else df).items():
         parts.append((label, value * float(dimension_weights.get(label, 1.0))))
     if use_history:
@@ -178,4 +178,4 @@ def dynamic_score(
             "score_breakdown": breakdown([(label, F.col(name)) for label, name, _value in named]),
         }
     )
-    return result.drop(*SCALES, "history", *[name for _label, name, _value in named])
+    return result.drop(*[f"points_{feature}" for feature in SCALES], "history", *[name for _label, name, _value in named])

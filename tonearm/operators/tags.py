@@ -54,13 +54,12 @@ def _hits(category: str, tags: Column, score: float, source: str) -> Column:
 
 
 def _when(condition: Column, *tags: str) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(condition, F.array(*[F.lit(tag) for tag in tags])).otherwise(none)
+    return F.when(condition, text.constant_array(tags)).otherwise(text.no_items())
 
 
 def _mapped(values: Column, table: Mapping[str, str]) -> Column:
     if not table:
-        return F.array().cast("array<string>")
+        return text.no_items()
     pairs = F.create_map(*[F.lit(item) for pair in table.items() for item in pair])
     return F.filter(F.transform(values, lambda item: F.try_element_at(pairs, item)), lambda tag: tag.isNotNull())
 
@@ -91,7 +90,7 @@ def tag_texts(df: DataFrame, lyric: str = "full_lyric") -> DataFrame:
 def tag_hits(rules: TagRules, columns: Sequence[str]) -> Column:
     """All rule hits of a row in the order the rules apply. Needs the columns of ``tag_texts``."""
     # Scores.
-    names = F.array(*[F.lit(tag) for tag in rules.languages])
+    names = text.constant_array(rules.languages)
     in_summary = F.filter(names, lambda tag: F.contains("_summary", tag))
     in_metadata = F.filter(names, lambda tag: F.contains("_metadata", tag) & ~F.contains("_summary", tag))
     language_hits = F.concat(
@@ -151,54 +150,66 @@ def ranked_tags(scored: Column) -> Column:
     return F.transform(ordered, lambda item: item["tag"])
 
 
-def assemble_tags(df: DataFrame, hits: str = "_hits") -> DataFrame:
-    """Turn the hits of a row into joined tag columns, confidence and sources, without a shuffle."""
+def assemble_tags(df: DataFrame, hits: Column) -> DataFrame:
+    """Turn the hits of a row into joined tag columns, confidence and sources, without a shuffle.
 
-    def best(tag: Column) -> Column:
-        same = F.filter(F.col(hits), lambda hit: hit["tag"] == tag)
+    The hits are evaluated once per row and everything else is derived from that one value, so a
+    later filter on a tag column repeats the work at most once.
+    """
+    bundle = df.withColumn("_tags", numbers.bind(hits, _tag_bundle))
+    names = [*(f"{name}_tags" for name in CATEGORIES), "all_tags", "tag_confidence", "tag_sources"]
+    return bundle.withColumns({name: F.col("_tags")[name] for name in names}).drop("_tags")
+
+
+def _tag_bundle(hits: Column) -> Column:
+    """Struct of the assembled columns of one row's hits."""
+
+    def of(tag: Column) -> Column:
+        return F.filter(hits, lambda hit: hit["tag"] == tag)
+
+    def scored(tag: Column) -> Column:
         # The last category that holds the tag decides; inside it the highest score.
-        return F.array_max(
-            F.transform(same, lambda hit: F.struct(hit["category"].alias("category"), hit["score"].alias("score")))
-        )["score"]
+        best = F.array_max(
+            F.transform(of(tag), lambda hit: F.struct(hit["category"].alias("category"), hit["score"].alias("score")))
+        )
+        return F.struct(tag.alias("tag"), best["score"].alias("score"))
 
     def sources(tag: Column) -> Column:
-        same = F.filter(F.col(hits), lambda hit: hit["tag"] == tag)
         quoted = F.transform(
-            F.array_distinct(F.transform(same, lambda hit: hit["source"])),
+            F.array_distinct(F.transform(of(tag), lambda hit: hit["source"])),
             lambda source: F.concat(F.lit('"'), source, F.lit('"')),
         )
         return F.concat(text.json_string(tag), F.lit(": ["), F.array_join(quoted, ", "), F.lit("]"))
 
-    def category_tags(index: int) -> Column:
-        mine = F.filter(F.col(hits), lambda hit: hit["category"] == index)
-        names = F.array_distinct(F.transform(mine, lambda hit: hit["tag"]))
-        scored = F.transform(
-            names,
-            lambda tag: F.struct(
-                tag.alias("tag"),
-                F.array_max(
-                    F.transform(F.filter(mine, lambda hit: hit["tag"] == tag), lambda hit: hit["score"])
-                ).alias("score"),
+    # Best score per (category, tag): hits sorted by category, score and tag keep their first copy.
+    ordered = F.array_sort(
+        F.transform(
+            hits,
+            lambda hit: F.struct(
+                hit["category"].alias("category"), (-hit["score"]).alias("minus"), hit["tag"].alias("tag")
             ),
         )
-        return F.array_join(ranked_tags(scored), " | ")
-
-    names = F.array_distinct(F.transform(F.col(hits), lambda hit: hit["tag"]))
-    df = df.withColumn(
-        "_scored",
-        F.transform(names, lambda tag: F.struct(tag.alias("tag"), best(tag).alias("score"))),
     )
-    listed = F.array_join(F.transform(F.array_sort(names), sources), ", ")
-    return df.withColumns(
-        {
-            **{f"{name}_tags": category_tags(index) for index, name in enumerate(CATEGORIES)},
-            "all_tags": F.array_join(ranked_tags(F.col("_scored")), " | "),
-            "tag_confidence": F.coalesce(
-                F.bround(F.array_max(F.transform("_scored", lambda item: item["score"])), 3), F.lit(0.0)
+
+    def joined(index: int, ranked: Column) -> Column:
+        mine = F.filter(ranked, lambda hit: hit["category"] == index)
+        return F.array_join(F.array_distinct(F.transform(mine, lambda hit: hit["tag"])), " | ")
+
+    def columns(ranked: Column) -> Column:
+        names = F.array_distinct(F.transform(hits, lambda hit: hit["tag"]))
+        return numbers.bind(
+            F.transform(names, scored),
+            lambda tags: F.struct(
+                *[joined(index, ranked).alias(f"{name}_tags") for index, name in enumerate(CATEGORIES)],
+                F.array_join(ranked_tags(tags), " | ").alias("all_tags"),
+                F.coalesce(F.bround(F.array_max(F.transform(tags, lambda item: item["score"])), 3), F.lit(0.0))
+                .alias("tag_confidence"),
+                F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(names), sources), ", "), F.lit("}"))
+                .alias("tag_sources"),
             ),
-            "tag_sources": F.concat(F.lit("{"), listed, F.lit("}")),
-        }
-    ).drop("_scored", hits)
+        )
+
+    return numbers.bind(ordered, columns)
 
 
 TAG_TABLE = [
@@ -210,8 +221,8 @@ TAG_TABLE = [
 def song_tags(songs: DataFrame, rules: TagRules = TagRules()) -> DataFrame:
     """Rule tags of every song: one projection over the catalogue with lyrics, no shuffle."""
     texts = tag_texts(songs)
-    hit = texts.withColumns({"_hits": tag_hits(rules, songs.columns), "_bpm": bpm_column(songs.columns)})
-    tagged = assemble_tags(hit).withColumn("bpm", F.col("_bpm"))
+    with_bpm = texts.withColumn("_bpm", bpm_column(songs.columns))
+    tagged = assemble_tags(with_bpm, tag_hits(rules, songs.columns)).withColumn("bpm", F.col("_bpm"))
     missing = {name: F.lit("") for name in ("name", "artist_names", "has_lyric") if name not in songs.columns}
     return tagged.withColumns(missing).select(*TAG_TABLE)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tonearm.operators import catalog, features, joins, merge
 
 def build_features(
     sources: DataFrame, tags: DataFrame | None = None, lyrics: DataFrame | None = None, link_prefix: str = "",
-    terms: bool = True,
+    terms: bool = True, languages: Sequence[str] = tuple(vocab.LANGUAGE_TAGS),
 ) -> DataFrame:
     """One preprocessed row per song.
 
@@ -28,13 +30,15 @@ def build_features(
     elif "full_lyric" not in songs.columns:
         songs = songs.withColumn("full_lyric", F.lit(""))
     merged = merge.merge_tag_tables(tags) if tags is not None else songs.select("song_id")
-    return preprocess(joins.with_tags(songs, merged), link_prefix, terms)
+    return preprocess(joins.with_tags(songs, merged), link_prefix, terms, languages)
 
 
-def preprocess(songs: DataFrame, link_prefix: str = "", terms: bool = True) -> DataFrame:
-    """Derived columns, list features, search text and static score of joined catalogue rows."""
+def preprocess(
+    songs: DataFrame, link_prefix: str = "", terms: bool = True, languages: Sequence[str] = tuple(vocab.LANGUAGE_TAGS)
+) -> DataFrame:
+    """Derived columns, list features and search text of joined catalogue rows, inside the row."""
     songs = songs.withColumn(
-        "language_tags", text.language_tags("wiki_summary_excerpt", "generated_language_tags")
+        "language_tags", text.language_tags("wiki_summary_excerpt", "generated_language_tags", languages)
     )
     songs = songs.withColumn("search_text", catalog.search_text(songs.columns))
     songs = catalog.split_feature_columns(catalog.derive_catalog(songs, link_prefix))

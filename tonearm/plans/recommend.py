@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonearm import vocab
+from tonearm import session, vocab
 from tonearm.operators import features, filters, history, scoring, similarity
 
 
@@ -43,6 +43,20 @@ mert_embedding_path
 """.split()
 
 
+def passes(request: Request) -> Column:
+    """The request's row filters as one condition over a preprocessed catalogue row."""
+    return (
+        filters.contains_all("search_text", request.keywords)
+        & filters.contains_all(F.lower("full_lyric"), request.lyric_keywords)
+        & filters.has_any("artist_list", request.artists)
+        & filters.has_any("language_tags", request.languages)
+        & filters.has_any("generated_tag_list", request.tags)
+        & filters.is_in("quality", request.qualities)
+        & filters.flags(request.playable_only, request.with_lyric_only, request.with_translation_only)
+        & filters.ranges(request.min_popularity, request.min_comments, request.years)
+    )
+
+
 def recommend(
     wide: DataFrame,
     rows: DataFrame,
@@ -54,23 +68,15 @@ def recommend(
 ) -> DataFrame:
     """Scored rows that pass the request's filters, unsorted.
 
+    ``wide``, ``rows`` and ``counts`` are the stored catalogue, long feature table and counters.
     Filters are evaluated next to the scan, so texts never reach a shuffle. With an explicit score
     threshold they also restrict what is scored; the default threshold depends on the scores of all
     rows that are not blocked, so then every such row is scored first.
     """
-    passes = (
-        filters.contains_all("search_text", request.keywords)
-        & filters.contains_all(F.lower("full_lyric"), request.lyric_keywords)
-        & filters.has_any("artist_list", request.artists)
-        & filters.has_any("language_tags", request.languages)
-        & filters.has_any("generated_tag_list", request.tags)
-        & filters.is_in("quality", request.qualities)
-        & filters.flags(request.playable_only, request.with_lyric_only, request.with_translation_only)
-        & filters.ranges(request.min_popularity, request.min_comments, request.years)
-    )
     kept = [name for name in SCORED_COLUMNS if name in wide.columns]
+    flagged = passes(request) if "_passes" not in wide.columns else F.col("_passes")
     allowed = wide.where(filters.without_blocked("generated_tag_list", request.blocked_tags))
-    candidates = allowed.select(*kept, passes.alias("_passes"))
+    candidates = allowed.select(*kept, flagged.alias("_passes"))
     if request.min_score is not None:
         candidates = candidates.where("_passes")
         rows = rows.join(candidates.select("song_id"), "song_id", "left_semi")
@@ -89,6 +95,13 @@ def recommend(
 
 
 def recommend_from(wide: DataFrame, request: Request = Request(), **options) -> DataFrame:
-    """As ``recommend``, with the long table and counters derived from the wide one."""
-    rows = features.feature_rows(wide)
-    return recommend(wide, rows, features.frequency_counts(rows), request, **options)
+    """As ``recommend`` for a catalogue that is not stored yet.
+
+    One pass over the texts evaluates the filters and the list features; that slim result is stored
+    and serves the counters, the scores and the threshold.
+    """
+    lists = [name for name in features.FEATURE_COLUMNS.values() if name in wide.columns]
+    kept = list(dict.fromkeys(name for name in (*SCORED_COLUMNS, *lists) if name in wide.columns))
+    slim = session.materialize(wide.select(*kept, passes(request).alias("_passes")))
+    rows = features.feature_rows(slim)
+    return recommend(slim, rows, features.frequency_counts(rows), request, **options)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. UTC keeps dates equal on every host; the adaptive settings let
 # Spark pick join strategies and partition counts from the sizes it has measured.
@@ -43,3 +44,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix=f"tonearm-{os.getpid()}-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that is read several times to the shared folder and read it back.
+
+    One pass over the sources then serves all readers, with column pruning, and a lost executor
+    costs no recomputation.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tonearm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that is stored in fewer parts than there are cores.
+
+    Large inputs have more parts than that and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
