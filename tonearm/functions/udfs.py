@@ -10,13 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys whose text is harvested, keys searched for a marker.
 HARVEST_KEYS = ("summary", "content", "text", "desc", "description", "title", "name")
 MARKER_KEYS = ("message", "msg", "error")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; null where an input is null."""
     return pd.Series(
@@ -28,6 +29,26 @@ def matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+def ratio_at_least(bound: float):
+    """As ``matching_blocks_ratio``, but pairs that cannot reach the bound give 0 without matching.
+
+    The measure's own upper bounds (lengths, then shared characters) are far cheaper than it is.
+    """
+
+    def rate(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        matcher = difflib.SequenceMatcher(None, a, b)
+        hopeless = matcher.real_quick_ratio() < bound or matcher.quick_ratio() < bound
+        return 0.0 if hopeless else matcher.ratio()
+
+    @F.pandas_udf(T.DoubleType())
+    def measure(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([rate(a, b) for a, b in zip(left, right)], dtype="float64")
+
+    return measure
+
+
 def _leaves(node, keys: Sequence[str], key: str = "") -> Iterator[object]:
     """Leaf values under the given keys in document order; list items keep their parent's key."""
     stack = [(node, key)]
@@ -54,7 +75,7 @@ def _parsed(document: str | None):
         return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def harvest_texts(documents: pd.Series) -> pd.Series:
     """Texts under descriptive keys of a JSON document, in document order."""
 

@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonearm import session
 from tonearm.functions import numbers, text
-from tonearm.functions.udfs import matching_blocks_ratio
+from tonearm.functions.udfs import matching_blocks_ratio, ratio_at_least
 
 # Score rules.
 DEFAULT_THRESHOLD = 0.84
@@ -112,12 +113,16 @@ def ratio_shortcut(left: str | Column, right: str | Column) -> Column:
     )
 
 
-def with_ratio(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """Add the similarity of two text columns; decided pairs pass the UDF as nulls at no cost."""
+def with_ratio(df: DataFrame, left: str, right: str, name: str, bound: float | None = None) -> DataFrame:
+    """Add the similarity of two text columns; decided pairs pass the UDF as nulls at no cost.
+
+    With a ``bound`` similarities below it may come out as 0.
+    """
+    measure = matching_blocks_ratio if bound is None else ratio_at_least(bound)
     ruled = df.withColumn("_ruled", ratio_shortcut(left, right))
     open_left = F.when(F.col("_ruled").isNull(), F.col(left))
     open_right = F.when(F.col("_ruled").isNull(), F.col(right))
-    return ruled.withColumn(name, F.coalesce("_ruled", matching_blocks_ratio(open_left, open_right))).drop("_ruled")
+    return ruled.withColumn(name, F.coalesce("_ruled", measure(open_left, open_right))).drop("_ruled")
 
 
 def match_score(title: str, artist: str, combo: str, artist_known: Column) -> Column:
@@ -257,36 +262,59 @@ def similar_strings(left: DataFrame, right: DataFrame, bound: float) -> DataFram
         inner = _containment(left, right).select(F.col("short").alias("l"), F.col("long").alias("r"))
         outer = _containment(right, left).select(F.col("long").alias("l"), F.col("short").alias("r"))
         found = found.unionByName(inner).unionByName(outer)
-    return found.distinct()
+    # The measure that follows is heavy for the size of its input, so the partition count is fixed
+    # here: adaptive coalescing by bytes would leave it to a few tasks.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "l", "r").distinct()
+
+
+def rate_strings(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """Add the similarity of two columns, computed once per distinct pair of strings.
+
+    Titles and artists repeat over many pairs; the distinct step reduces them before any shuffle.
+    """
+    rated = with_ratio(pairs.select(left, right).distinct(), left, right, name)
+    return pairs.join(rated, [left, right])
 
 
 def candidate_pairs(file_keys: DataFrame, catalog_keys: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of (file key, catalogue key) that may reach the threshold, each pair once."""
+    """(file key, catalogue key, title_score, artist_score) that may reach the threshold, each once."""
     bound = min(threshold, text_gate(threshold))
-    combo_bound = bound / COMBO_WEIGHT
     title_bound = (bound - ARTIST_WEIGHT) / TITLE_WEIGHT
     if title_bound <= 0:
         raise ValueError("the threshold is too low for candidate search")
     f_keys = file_keys.select(*[F.col(name).alias(f"f_{name}") for name in KEY])
     c_keys = catalog_keys.select(*[F.col(name).alias(f"c_{name}") for name in KEY])
+    columns = [*f_keys.columns, *c_keys.columns, "title_score", "artist_score"]
 
     def values(keys: DataFrame, name: str) -> DataFrame:
         return keys.select(F.col(name).alias("value")).where(F.col("value") != "").distinct()
 
-    def related(field: str, at_least: float) -> DataFrame:
-        return similar_strings(values(f_keys, f"f_{field}"), values(c_keys, f"c_{field}"), at_least)
-
-    def joined(field: str, at_least: float) -> DataFrame:
-        pairs = related(field, at_least).withColumnsRenamed({"l": f"f_{field}", "r": f"c_{field}"})
-        return f_keys.join(pairs, f"f_{field}").join(c_keys, f"c_{field}").select(*f_keys.columns, *c_keys.columns)
-
-    # Weighted sum: the larger of title and artist reaches the bound itself.
-    by_combo = joined("combo_norm", combo_bound)
-    by_title = joined("title_norm", bound)
+    def related(field: str, at_least: float, score: str) -> DataFrame:
+        """Distinct strings of a field on both sides whose similarity reaches a bound."""
+        found = similar_strings(values(f_keys, f"f_{field}"), values(c_keys, f"c_{field}"), at_least)
+        rated = with_ratio(found, "l", "r", score, at_least - 1e-9).where(F.col(score) >= at_least - 1e-9)
+        return rated.withColumnsRenamed({"l": f"f_{field}", "r": f"c_{field}"})
+
+    def reaching(pairs: DataFrame) -> DataFrame:
+        weighted = F.col("title_score") * TITLE_WEIGHT + F.col("artist_score") * ARTIST_WEIGHT
+        return pairs.where(weighted >= bound - 1e-9).select(*columns)
+
+    # The combined text is similar enough by itself.
+    combos = related("combo_norm", bound / COMBO_WEIGHT, "combo_score").drop("combo_score")
+    by_combo = f_keys.join(combos, "f_combo_norm").join(c_keys, "c_combo_norm")
+    by_combo = rate_strings(by_combo, "f_title_norm", "c_title_norm", "title_score")
+    by_combo = rate_strings(by_combo, "f_artist_norm", "c_artist_norm", "artist_score").select(*columns)
+
+    # In the weighted sum the larger of title and artist reaches the bound itself. First the title:
+    titles = related("title_norm", bound, "title_score")
+    by_title = f_keys.join(titles, "f_title_norm").join(c_keys, "c_title_norm")
     if bound > TITLE_WEIGHT:  # a title alone cannot reach the bound
         by_title = by_title.where((F.col("f_artist_norm") != "") & (F.col("c_artist_norm") != ""))
-    # Similar artists: the titles must still be related, so they meet on a title token as well.
-    artists = related("artist_norm", bound).withColumnsRenamed({"l": "f_artist_norm", "r": "c_artist_norm"})
+    by_title = reaching(rate_strings(by_title, "f_artist_norm", "c_artist_norm", "artist_score"))
+
+    # Then the artist: titles must still be related, so the pair meets on a title token as well.
+    artists = related("artist_norm", bound, "artist_score")
     f_tokens, c_tokens = prefix_tokens(values(f_keys, "f_title_norm"), values(c_keys, "c_title_norm"), title_bound)
     by_artist = (
         f_keys.join(artists, "f_artist_norm")
@@ -295,8 +323,10 @@ def candidate_pairs(file_keys: DataFrame, catalog_keys: DataFrame, threshold: fl
             c_keys.join(c_tokens.withColumnRenamed("value", "c_title_norm"), "c_title_norm"),
             ["c_artist_norm", "token"],
         )
-        .select(*f_keys.columns, *c_keys.columns)
+        .drop("token")
+        .distinct()
     )
+    by_artist = reaching(rate_strings(by_artist, "f_title_norm", "c_title_norm", "title_score"))
     return by_combo.unionByName(by_title).unionByName(by_artist).distinct()
 
 
@@ -311,8 +341,11 @@ def fuzzy_match(
     # Copies on either side are folded first: only distinct keys are compared.
     place = F.struct("row_order", "title_pos", "artist_pos")
     details = F.struct("song_id", "name", "artist_names", "duration_seconds", "row_order", "title_pos", "artist_pos")
-    songs = catalog_variants(catalog, order).groupBy(*KEY).agg(F.min_by(details, place).alias("song"))
-    identities = identity_variants(files)
+    # Both key tables are read by every candidate path, so they are stored once.
+    songs = session.materialize(
+        catalog_variants(catalog, order).groupBy(*KEY).agg(F.min_by(details, place).alias("song"))
+    )
+    identities = session.materialize(identity_variants(files))
     keys = identities.select(*KEY).distinct()
 
     # An equal title and artist scores 1.0, which nothing can beat: the earliest such row is the
@@ -325,8 +358,9 @@ def fuzzy_match(
     exact = keys.join(equal, both).select(
         *[F.col(name).alias(f"f_{name}") for name in KEY],
         F.col("title_norm").alias("c_title_norm"), F.col("artist_norm").alias("c_artist_norm"), "c_combo_norm",
+        F.lit(1.0).alias("title_score"), F.lit(1.0).alias("artist_score"),
     )
-    searched = keys.join(equal.select(*both), both, "left_anti")
+    searched = session.materialize(keys.join(equal.select(*both), both, "left_anti"))
     pairs = exact.unionByName(candidate_pairs(searched, songs, threshold))
 
     scored = scored_pairs(pairs).where(F.col("score") >= min(threshold, text_gate(threshold)) - 1e-9)
@@ -352,10 +386,8 @@ def _best(rows: DataFrame, by: Sequence[str], carried: Sequence[str]) -> DataFra
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Add title, artist and combined similarity and the text score to (f_*, c_*) key pairs."""
-    rated = with_ratio(pairs, "f_title_norm", "c_title_norm", "title_score")
-    rated = with_ratio(rated, "f_combo_norm", "c_combo_norm", "combo_score")
-    rated = with_ratio(rated, "f_artist_norm", "c_artist_norm", "artist_score")
+    """Add the combined similarity and the text score to pairs with title and artist similarity."""
+    rated = with_ratio(pairs, "f_combo_norm", "c_combo_norm", "combo_score")
     return rated.withColumn(
         "score", match_score("title_score", "artist_score", "combo_score", F.col("f_artist_norm") != "")
     )

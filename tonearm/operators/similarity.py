@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tonearm import vocab
+from tonearm import session, vocab
 from tonearm.functions import arrays, numbers, text
 
 
@@ -148,10 +148,13 @@ def nearest_neighbors(
             unit = _unit(_matrix(pdf["v"]))
             gaps = _distances(unit, centers)
             yield pd.DataFrame(
-                {"vid": pdf["vid"], "u": list(unit), "cell": gaps.argmin(axis=1), "gap": gaps.min(axis=1)}
+                {"vid": pdf["vid"], "ids": pdf["ids"], "u": list(unit), "cell": gaps.argmin(axis=1), "gap": gaps.min(axis=1)}
             )
 
-    celled = distinct.select("vid", "v").mapInPandas(to_cells, "vid string, u array<double>, cell int, gap double")
+    # Read by the four steps below; stored once.
+    celled = session.materialize(
+        distinct.mapInPandas(to_cells, "vid string, ids array<string>, u array<double>, cell int, gap double")
+    )
     cells = celled.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
     blocked = celled.join(F.broadcast(cells.select("cell", "blocks")), "cell").select(
@@ -186,7 +189,9 @@ def nearest_neighbors(
                               lambda part: F.struct(F.col("to.cell").alias("cell"), part.alias("part")))).alias("target"),
     )
     pairs = visits.select("home", "target").distinct()
-    hosts = blocked.select("vid", "u", F.col("home").alias("target")).join(pairs, "target")
+    hosts = blocked.select("vid", "u", F.col("home").alias("target")).join(pairs, "target").select(
+        "vid", "u", F.col("target").alias("host_target"), F.col("home").alias("host_home")
+    )
 
     def visit(_key, guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
         if guests.empty or residents.empty:
@@ -199,13 +204,13 @@ def nearest_neighbors(
             {"vid": guest_ids[rows], "other": ids[columns], "similarity": similarity[rows, columns]}
         )
 
-    found = visits.groupBy("target", "home").cogroup(hosts.groupBy("target", "home")).applyInPandas(
+    found = visits.groupBy("target", "home").cogroup(hosts.groupBy("host_target", "host_home")).applyInPandas(
         visit, "vid string, other string, similarity double"
     )
     # k + 1 distinct vectors (itself included) always cover the k nearest rows.
     near = Window.partitionBy("vid").orderBy(F.desc("similarity"), "other")
     kept = found.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k + 1).drop("_rank")
-    ids = distinct.select(F.col("vid").alias("other"), "ids")
+    ids = celled.select(F.col("vid").alias("other"), "ids")
     offered = kept.join(ids, "other").select("vid", "similarity", F.explode("ids").alias("neighbor_id"))
     lists = offered.groupBy("vid").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("minus"), "neighbor_id"))).alias("near")

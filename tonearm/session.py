@@ -46,13 +46,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tonearm-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that is read several times to the shared folder and read it back.
 
     One pass over the sources then serves all readers, with column pruning, and a lost executor
     costs no recomputation.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tonearm-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
