@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tonearm.queries import browse, histories, matches, merging, scalars, scores, terms, vectors  # noqa: F401
+from tonearm.queries import browse, documents, histories, matches, merging, scalars, scores, sounds, storage, terms, vectors  # noqa: F401
 from tonearm.queries.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
