@@ -174,7 +174,8 @@ def _pair_overlap(total: int, bound: float) -> int:
 
 def pairs_suffice(bound: float, longest: int = 400) -> bool:
     """Whether any two strings with a ratio >= bound must share a character pair."""
-    return all(_pair_overlap(total, bound) >= 1 for total in range(2, longest)) and bound > 2 / 3
+    # Two single characters only match if equal; they stand for themselves as tokens.
+    return all(_pair_overlap(total, bound) >= 1 for total in range(3, longest)) and bound > 2 / 3
 
 
 def _tokens(value: Column, by_pairs: bool) -> Column:
