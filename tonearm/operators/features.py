@@ -48,7 +48,9 @@ def feature_rows(df: DataFrame, columns: Mapping[str, str] = FEATURE_COLUMNS, ke
         )
 
     present = [entries(feature, column) for feature, column in columns.items() if column in df.columns]
-    return df.select(key, F.inline(F.concat(*present)))
+    # The outer form keeps the optimizer from testing the size of the lists in a filter of its own,
+    # which would evaluate tokens and tags of every row again.
+    return df.select(key, F.inline_outer(F.concat(*present))).where(F.col("feature").isNotNull())
 
 
 def frequency_counts(rows: DataFrame, once_per_row: bool = False, key: str = "song_id") -> DataFrame:

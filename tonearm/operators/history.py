@@ -62,6 +62,17 @@ def history_counts(entries: DataFrame, key: str = "event_id") -> DataFrame:
     return features.frequency_counts(rows)
 
 
+def counts_from_log(log: DataFrame, rows: DataFrame, key: str = "song_id") -> DataFrame:
+    """As ``history_counts`` for a log of song ids and the catalogue's long table.
+
+    Interactions are first counted per song, so items are never repeated per interaction and a song
+    with a third of all clicks is one row after the map-side combine.
+    """
+    clicks = log.where(~text.is_blank(key)).groupBy(key).agg(F.count(F.lit(1)).alias("clicks"))
+    items = rows.join(clicks, key).select(key, "feature", "item", "clicks").distinct()
+    return items.groupBy("feature", "item").agg(F.sum("clicks").alias("cnt"))
+
+
 def rarity_bonus(
     liked: DataFrame,
     counts: DataFrame,

@@ -91,7 +91,7 @@ def attach_similarity(df: DataFrame, results: DataFrame, key: str = "song_id") -
 
 # --- exact k nearest neighbours --------------------------------------------------------------------
 
-PIVOTS = 128
+PIVOTS = 256
 BLOCK_ROWS = 1024
 
 
@@ -137,7 +137,9 @@ def nearest_neighbors(
     distinct = copies.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     distinct = distinct.withColumn("vid", F.element_at("ids", 1))
 
-    # At most ``pivots`` vectors come to the driver, whatever the data size.
+    # About one pivot per block of rows; at most ``pivots`` vectors come to the driver, whatever the
+    # data size.
+    pivots = min(pivots, max(1, -(-dense.count() // block_rows)))
     sample = dense.orderBy(F.xxhash64("id"), "id").select("v").limit(pivots).collect()
     if not sample:
         return spark.createDataFrame([], "song_id string, neighbor_id string, similarity double, rank int")

@@ -70,8 +70,7 @@ bonuses AS (SELECT feature, item, history_cnt, history_cnt * ln(1 + (coalesce(to
 
 
 def _liked(spark, folder, slim):
-    entries = history.history_entry(events(spark, folder), slim)
-    return history.history_counts(entries)
+    return history.counts_from_log(events(spark, folder), model.rows(slim))
 
 
 @query("history_bonus", "WITH " + model.LONG_SQL + ", " + _bonus_sql() + " SELECT feature, item, history_cnt, round(bonus, 4) AS bonus FROM bonuses WHERE feature = 'artists'")

@@ -39,7 +39,8 @@ SELECT song_id, term, CAST(rank - 1 AS INTEGER) AS pos FROM lyric_terms""")
 def lyric_terms_topk(spark, folder):
     songs = model.raw_songs(spark, folder).select("song_id", "full_lyric", "lyric_excerpt").withColumn(
         "language_tags", F.array().cast("array<string>"))
-    return features.lyric_terms(songs).select("song_id", F.posexplode("lyric_terms").alias("pos", "term"))
+    terms = features.lyric_terms(songs).select("song_id", F.posexplode_outer("lyric_terms").alias("pos", "term"))
+    return terms.where(F.col("pos").isNotNull())
 
 
 @query("title_terms", "WITH " + model.SONGS_SQL + ", " + model.TITLE_TERMS_SQL + """
