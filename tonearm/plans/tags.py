@@ -9,7 +9,7 @@ from tonearm.functions import text
 from tonearm.operators import audio, joins, tags
 
 
-def build_song_tags(
+def full_tag_table(
     songs: DataFrame,
     matches: DataFrame | None = None,
     audio_table: DataFrame | None = None,

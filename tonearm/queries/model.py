@@ -349,4 +349,4 @@ LONG_SQL = WIDE_SQL + ", " + _long_sql()
 
 
 def tag_job(spark: SparkSession, folder: str, **tables) -> DataFrame:
-    return tag_plan.build_song_tags(songs(spark, folder), rules=RULES, local_tag=LOCAL_TAG, **tables)
+    return tag_plan.full_tag_table(songs(spark, folder), rules=RULES, local_tag=LOCAL_TAG, **tables)

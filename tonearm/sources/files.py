@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm import vocab
 from tonearm.functions import text
 from tonearm.operators import merge, snapshots
 
@@ -138,13 +139,18 @@ HISTORY_SCHEMA = "selected_at string, action string, song_id string, name string
 )
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON array file with their position; anything but an array gives no entries."""
-    document = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", f"array<struct<{HISTORY_SCHEMA.replace(' string', ':string').replace(' array', ':array')}>>")
-    is_list = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
-    rows = document.where(is_list).select(F.posexplode(entries).alias("position", "entry"))
-    return rows.where(F.col("entry").isNotNull()).select("position", "entry.*")
+def read_history(spark: SparkSession, path: str, size: int = vocab.HISTORY_SIZE) -> DataFrame:
+    """Last entries of a JSON array file with their position.
+
+    Anything but an array gives no entries; members that are no object are dropped.
+    """
+    document = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("d"))
+    members = F.filter(
+        snapshots.items("d", "$"), lambda member: F.coalesce(snapshots.is_object(member), F.lit(False))
+    )
+    kept = F.slice("m", F.greatest(F.size("m") - size, F.lit(0)) + 1, size)
+    rows = document.select(members.alias("m")).where(F.size("m") > 0).select(F.posexplode(kept).alias("position", "entry"))
+    return rows.select("position", F.from_json(F.to_json("entry"), HISTORY_SCHEMA).alias("e")).select("position", "e.*")
 
 
 def preview(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
