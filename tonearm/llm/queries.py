@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import bpe_automaton, maxent_lm, order_minhash, packing, sign_hash, tiled_topk
+from tonearm.llm import bpe_automaton, factor_machine, license_rules, maxent_lm, order_minhash, packing, sign_hash, string_kernel, tiled_topk, url_markov
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,27 @@ def order_minhash_near_duplicates(spark, folder):
     return order_minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op2_string_kernel")
+def languages(spark, folder):
+    return string_kernel.classify(table(spark, folder, "documents"), remainder(4) == 2)
+
+
+@query("op3_license_rules", license_rules.scan_sql())
+def licenses(spark, folder):
+    found = license_rules.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+@query("op4_factor_machine")
+def toxicity(spark, folder):
+    return factor_machine.score(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(3) == 1)
+
+
+@query("op5_url_markov")
+def url_verdicts(spark, folder):
+    return url_markov.judge(table(spark, folder, "pages"))
+
+
 @query("op6_bpe_automaton")
 def bpe_round_trip(spark, folder):
     return bpe_automaton.round_trip(table(spark, folder, "documents"), vocabulary(BYTE_BPE))

@@ -54,6 +54,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def texts(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch whose last column is the text, or the row that holds it."""
+    last = batch.column(batch.num_columns - 1)
+    return pc.struct_field(last, "text") if pa.types.is_struct(last.type) else last
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes each; a longer row has a range of its own."""
     row, n = 0, len(offsets) - 1
