@@ -104,8 +104,8 @@ def scan_sql(documents: str = "documents") -> str:
     WITH k AS (SELECT map([{values}], [{names}]) AS known),
     s AS (SELECT doc_id, list_transform(
             string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)),
-            x -> lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))) AS parts FROM {documents}),
-    f AS (SELECT doc_id, list_filter(list_transform(parts, x -> known[x]), x -> x IS NOT NULL) AS ids FROM s, k),
+            lambda x: lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))) AS parts FROM {documents}),
+    f AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: known[x]), lambda x: x IS NOT NULL) AS ids FROM s, k),
     m AS (SELECT doc_id, ids, regexp_extract_all({matched}, '<=([^>]*)>', 1) AS found FROM f)
     SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-           coalesce(array_to_string(list_filter(found, (x, i) -> list_position(found, x) = i), ','), '') AS licenses FROM m"""
+           coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licenses FROM m"""

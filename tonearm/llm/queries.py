@@ -85,9 +85,9 @@ def lm_scores(spark, folder):
 
 @query("op8_tiled_topk", """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
         WHERE embedding IS NOT NULL AND len(embedding) > 0
-          AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+          AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
     ), s AS (
         SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
