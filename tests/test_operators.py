@@ -1,9 +1,11 @@
 """Golden rows, naive twins and properties of the table operators."""
 
 import difflib
+import io
 import json
 import math
 import random
+import wave
 
 import numpy as np
 import pytest
@@ -118,8 +120,8 @@ def test_hot_and_cold_items_get_the_same_counts(spark, monkeypatch):
     long = features.feature_rows(df)
     counts = features.frequency_counts(long)
     plain = sorted((r["song_id"], r["item"], r["cnt"]) for r in long.join(counts, ["feature", "item"]).collect())
-    for parts in (1, 8, 10**6):  # none hot, some hot, all hot
-        monkeypatch.setattr(features, "HOT_PARTS", parts)
+    for shares in (0, 2, 10**6):  # none hot, some hot, all hot
+        monkeypatch.setattr(features, "HOT_SHARES", shares)
         got = sorted((r["song_id"], r["item"], r["cnt"]) for r in features.attach_counts(long, counts).collect())
         assert got == plain
 
@@ -314,3 +316,66 @@ def test_sine_wave_measures(spark):
     assert abs(good["audio_rms"] - 16000 / 32768 / math.sqrt(2)) < 1e-3 and good["audio_vocal_band_ratio"] > 0.9
     assert "高能量" in good["audio_feature_tags"] and good["audio_error"] == ""
     assert bad["audio_error"] and bad["audio_rms"] is None and bad["audio_feature_tags"] == ""
+
+
+def wav(samples, rate=8000):
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as out:
+        out.setnchannels(1)
+        out.setsampwidth(2)
+        out.setframerate(rate)
+        out.writeframes(np.rint(np.clip(samples, -1, 1) * 32000).astype("<i2").tobytes())
+    return buffer.getvalue()
+
+
+def test_tempo_of_clicks_and_spectrum_of_short_tones(spark):
+    rate = 16000
+    seconds = np.arange(rate * 8) / rate
+    clicks = 0.8 * np.sin(2 * np.pi * 700 * seconds) * ((seconds % 0.5) < 0.04)
+    high, silent = 0.5 * np.sin(2 * np.pi * 6000 * seconds[: rate // 2]), np.zeros(rate)
+    rows = [("clicks", wav(clicks, rate)), ("high", wav(high, rate)), ("silent", wav(silent, rate)), ("tiny", wav(clicks[:50], rate)), ("none", wav(clicks[:0], rate))]
+    got = {r["path"]: r for r in audio.wave_measures(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    beats = got["clicks"]["audio_tempo_raw_bpm"]
+    assert min(abs(beats - 120), abs(beats - 60)) < 4
+    assert got["high"]["audio_vocal_band_ratio"] < 0.05 and abs(got["high"]["audio_centroid_hz"] - 6000) < 100
+    assert got["silent"]["audio_tempo_raw_bpm"] is None and got["silent"]["audio_centroid_hz"] == 0
+    assert got["tiny"]["audio_error"] == "" and got["none"]["audio_error"] == "empty audio"
+
+
+def test_measures_do_not_depend_on_the_block(spark, monkeypatch):
+    samples = np.random.default_rng(3).uniform(-1, 1, 60000)
+    whole = audio._measure("x", wav(samples), 0)
+    monkeypatch.setattr(audio, "FRAMES_AT_ONCE", 7)
+    assert audio._measure("x", wav(samples), 0) == pytest.approx(whole)
+
+
+def summary(*results):
+    return json.dumps({"song_id": 1, "api_results": {"song_wiki_summary": list(results)}})
+
+
+@pytest.mark.parametrize("first", [None, {"error": "failed", "response": {"data": {"title": "no"}}}, {"error": "", "response": None}, {"response": [1]}, {"error": 0}])
+def test_summary_comes_from_the_first_good_result_in_document_order(spark, first):
+    good = {"error": "", "response": {"data": {"title": "Z", "text": "A"}}}
+    document = summary(*([first] if first else []), good, {"response": {"data": {"title": "later"}}})
+    df = spark.createDataFrame([("1.json", document)], "file_name string, value string")
+    assert snapshots.flatten_snapshots(df).first()["wiki_summary_excerpt"] == "Z | A"
+
+
+def test_only_numbers_booleans_and_blank_texts_fall_through(spark):
+    values = ['""', "0", "0.0", "false", "null", '"0"', '"0.0"', '"false"', "7", "true", '"x"']
+    df = spark.createDataFrame([(i, f'{{"v": {v}}}') for i, v in enumerate(values)], "i int, j string")
+    got = [r["t"] for r in df.select("i", snapshots.truthy(F.parse_json("j"), "$.v").alias("t")).orderBy("i").collect()]
+    assert got == [None] * 5 + ["0", "0.0", "false", "7", "true", "x"]
+
+
+def test_assembly_keeps_raw_json(spark):
+    songs = spark.createDataFrame([("1", "n", None, "a", 5, "2024", '[{"z":1,"b":null}]', "no json")], "song_id string, name string, album_id string, album_name string, duration_ms int, collected_at string, artists_json string, raw_detail_json string")
+    results = spark.createDataFrame(
+        [(2, "1", "wiki", 200, 200, None, "t", '{"z":1,"a":2}', '{"data":{"title":"Z","text":"A"}}'), (1, "1", "wiki", 500, None, "failed", "t", "{}", None)],
+        "id int, song_id string, endpoint string, status int, code int, error string, collected_at string, params_json string, response_json string")
+    text_ = snapshots.assemble_snapshots(songs, results).first()["document"]
+    document = json.loads(text_)
+    assert document["album_id"] is None and document["raw_detail"] is None and list(document["artists"][0]) == ["z", "b"]
+    failed, good = document["api_results"]["wiki"]
+    assert failed["response"] is None and failed["code"] is None and failed["error"] == "failed"
+    assert list(good["params"]) == ["z", "a"] and '{"data":{"title":"Z","text":"A"}}' in text_

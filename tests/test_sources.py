@@ -112,3 +112,29 @@ def test_first_tag_table_keeps_duplicates_but_semantics_do_not(spark, tmp_path):
     assert files.read_csv(spark, tag).count() == 2
     assert [r["v"] for r in files.read_csv(spark, semantic).collect()] == ["b"]
     assert json.dumps(files.read_csv(spark, semantic).columns[:2]) == '["song_id", "v"]'
+
+
+@pytest.mark.parametrize("later_is_larger", [True, False])
+@pytest.mark.parametrize("kind", ["csv", "json", "parquet"])
+def test_the_later_part_of_a_stored_table_wins(spark, tmp_path, kind, later_is_larger):
+    """Spark reads parts by size; their names give the order."""
+    small, large = 3, 3000
+    sizes = (small, large) if later_is_larger else (large, small)
+    path = str(tmp_path / "table")
+    target = f"{path}/version-000001"
+    for part, n in enumerate(sizes):
+        rows = spark.range(n).select(F.col("id").cast("string").alias("song_id"), F.lit(f"part {part}").alias("style_tags"), F.repeat(F.lit("x"), 50).alias("pad"))
+        frame = rows.coalesce(1).write.mode("append").format(kind)
+        (frame.options(**sinks.CSV_OPTIONS) if kind == "csv" else frame).save(target)
+    # Names of appended parts are not in order of writing, so they are given in order here.
+    parts = sorted(tmp_path.glob("table/version-000001/part-*"), key=lambda p: p.stat().st_size, reverse=not later_is_larger)
+    for number, part in enumerate(parts):
+        part.rename(part.with_name(f"part-{number:05d}{part.suffix}"))
+        crc = part.with_name(f".{part.name}.crc")
+        crc.rename(crc.with_name(f".part-{number:05d}{part.suffix}.crc"))
+    new = spark.createDataFrame([("9999", "new", 0)], "song_id string, style_tags string, at int")
+    merge = {"csv": sinks.merge_csv, "json": sinks.merge_jsonl, "parquet": sinks.merge_parquet}[kind]
+    written = merge(path, new, "at")
+    read = {"csv": files.read_csv, "json": files.read_jsonl, "parquet": files.read_parquet}[kind]
+    got = {r["song_id"]: r["style_tags"] for r in read(spark, written).collect()}
+    assert {got[str(i)] for i in range(small)} == {"part 1"} and got["9999"] == "new"

@@ -30,16 +30,26 @@ def matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _character_counts(strings: Sequence[str], alphabet: dict[str, int]) -> np.ndarray:
-    counts = np.zeros((len(strings), len(alphabet)), dtype=np.uint16)
+    counts = np.zeros((len(strings), len(alphabet)), dtype=np.int64)
     for row, value in enumerate(strings):
         np.add.at(counts[row], [alphabet[unit] for unit in value], 1)
     return counts
 
 
+# Pairs whose characters are counted at one time.
+_PAIRS = 256
+
+
+def _shared(left: list[str], right: list[str]) -> np.ndarray:
+    """Characters that both strings of each pair have, counted as often as both have them."""
+    alphabet = {unit: at for at, unit in enumerate(sorted(set("".join(left)) | set("".join(right))))}
+    return np.minimum(_character_counts(left, alphabet), _character_counts(right, alphabet)).sum(axis=1)
+
+
 def ratio_at_least(bound: float):
     """As ``matching_blocks_ratio``, but pairs that cannot reach the bound give 0 without matching.
 
-    Matched characters are at most the shared ones, which are counted for a whole Arrow batch at once.
+    Matched characters are at most the shared ones, which are counted for many pairs at once.
     """
 
     @F.pandas_udf(T.DoubleType())
@@ -49,12 +59,11 @@ def ratio_at_least(bound: float):
         if not known.any():
             return result
         a, b = left[known], right[known]
-        (a_code, a_set), (b_code, b_set) = pd.factorize(a), pd.factorize(b)
-        alphabet = {unit: at for at, unit in enumerate(sorted(set("".join(a_set)) | set("".join(b_set))))}
-        shared = np.minimum(
-            _character_counts(a_set, alphabet)[a_code], _character_counts(b_set, alphabet)[b_code]
-        ).sum(axis=1)
-        hopeful = 2.0 * shared >= bound * (a.str.len() + b.str.len()).to_numpy()
+        hopeful = np.concatenate([
+            2.0 * _shared(a.iloc[at : at + _PAIRS].tolist(), b.iloc[at : at + _PAIRS].tolist())
+            >= bound * (a.str.len() + b.str.len()).to_numpy()[at : at + _PAIRS]
+            for at in range(0, len(a), _PAIRS)
+        ])
         result[known] = [
             difflib.SequenceMatcher(None, x, y).ratio() if possible else 0.0
             for x, y, possible in zip(a, b, hopeful)
@@ -90,15 +99,29 @@ def _parsed(document: str | None):
         return None
 
 
+def _texts(node) -> list[str]:
+    found = (_leaf_text(leaf).strip() for leaf in _leaves(node, HARVEST_KEYS) if leaf)
+    return [item for item in found if item]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def harvest_texts(documents: pd.Series) -> pd.Series:
     """Texts under descriptive keys of a JSON document, in document order."""
+    return documents.map(lambda document: _texts(_parsed(document)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def harvest_first_good(results: pd.Series) -> pd.Series:
+    """Texts of the ``data`` of the first result in a JSON list that has no error and an object as its response."""
 
-    def texts(document: str | None) -> list[str]:
-        found = (_leaf_text(leaf).strip() for leaf in _leaves(_parsed(document), HARVEST_KEYS) if leaf)
-        return [item for item in found if item]
+    def texts(listed: str | None) -> list[str]:
+        parsed = _parsed(listed)
+        for result in parsed if isinstance(parsed, list) else ():
+            if isinstance(result, dict) and not result.get("error") and isinstance(result.get("response"), dict):
+                return _texts(result["response"].get("data"))
+        return []
 
-    return documents.map(texts)
+    return results.map(texts)
 
 
 def has_marker(document: Column | str, marker: str) -> Column:

@@ -12,10 +12,10 @@ from tonearm.functions import arrays, numbers, text
 
 FEATURE_COLUMNS = {feature: column for feature, column, _label, _scale in vocab.SCORED_FEATURES}
 
-# A lookup row is treated as hot when its key holds more than one part in HOT_PARTS of all rows.
-# At most HOT_PARTS keys can do so, which bounds what is broadcast whatever the data size.
-HOT_PARTS = 1024
-_SPREAD = 4096
+# A lookup row is treated as hot when its key holds more than one part in this many, times the
+# shuffle partitions, of all rows: a quarter of what a partition holds. At most so many keys can do so,
+# which bounds what is broadcast.
+HOT_SHARES = 4
 
 
 def lyric_terms(df: DataFrame, limit: int = 40, stop_words: Sequence[str] = tuple(vocab.STOP_WORDS)) -> DataFrame:
@@ -75,19 +75,20 @@ def attach_counts(rows: DataFrame, lookup: DataFrame, spread_by: str = "song_id"
     """Left-join a (feature, item, ...) lookup onto the long table without a hot partition.
 
     A common item may hold a third of all rows. ``heat`` is the number of rows an item has, so the
-    hot items can be read off the lookup: at most HOT_PARTS of them exist, whatever the data size,
+    hot items can be read off the lookup: at most HOT_SHARES times the partitions of them exist,
     and only those are broadcast. Their rows are answered by that map and get a spread key that
     matches nothing in the shuffled join, which then only works on cold keys.
     """
     values = [name for name in lookup.columns if name not in ("feature", "item")]
+    hot_parts = HOT_SHARES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = lookup.agg(F.coalesce(F.sum(heat), F.lit(0)).alias("total"))
-    hot = lookup.where(F.col(heat) * HOT_PARTS > total.scalar()).select(
+    hot = lookup.where(F.col(heat) * hot_parts > total.scalar()).select(
         "feature", "item", F.struct(*values).alias("_hot")
     )
     cold = lookup.select("feature", "item", F.lit(0).alias("_spread"), F.struct(*values).alias("_cold"))
     known = rows.join(F.broadcast(hot), ["feature", "item"], "left")
     spread = F.when(F.col("_hot").isNull(), 0).otherwise(
-        (F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD)) + 1).cast("int")
+        (F.pmod(F.xxhash64(spread_by), F.lit(max(1, 4 * hot_parts))) + 1).cast("int")
     )
     joined = known.withColumn("_spread", spread).join(cold, ["feature", "item", "_spread"], "left")
     found = F.coalesce("_hot", "_cold")

@@ -93,14 +93,17 @@ def has_value(df: DataFrame, column: str, error: str | None = None) -> DataFrame
     return df.where(condition & text.is_blank(error)) if error else df.where(condition)
 
 
-def with_positions(df: DataFrame, order: str, ties: Sequence[str] = (), groups: int = 200) -> DataFrame:
+def with_positions(df: DataFrame, order: str, ties: Sequence[str] = (), groups: int | None = None) -> DataFrame:
     """Add the 1-based position in the order of a numeric column without one task sorting all rows.
 
-    Quantiles of the column cut the rows into ordered groups. Ranks inside the groups run in
-    parallel and are shifted by the sizes of earlier groups, a table of at most ``groups`` rows.
+    Quantiles of the column cut the rows into ordered groups, as many as there are shuffle
+    partitions unless ``groups`` is given; rows of one value share a group. Ranks inside the groups run
+    in parallel and are shifted by the sizes of earlier groups, a table of at most ``groups`` rows.
     """
-    cuts = df.agg(F.percentile_approx(order, [step / groups for step in range(1, groups)], 10000).alias("cuts"))
+    groups = groups or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = [step / groups for step in range(1, groups)]
     value = F.col(order)
+    cuts = df.agg(F.percentile_approx(order, steps, 10000).alias("cuts"))
     grouped = df.withColumn("_cuts", cuts.scalar()).withColumn(
         "_group", F.size(F.filter("_cuts", lambda cut: cut <= value))
     ).drop("_cuts")

@@ -30,16 +30,23 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def truthy(value: Column) -> Column:
-    """Null for the values that fall through to the next choice: blank text, 0 and false."""
-    return F.when(~value.isin("", "0", "0.0", "false"), value)
+def truthy(source: Column | str, path: str) -> Column:
+    """Text of the value at a path; null for what falls through to the next choice: "", the number 0 and false.
+
+    The texts "0" and "false" are values like any other.
+    """
+    value = field(source, path)
+    kind = F.schema_of_variant(field(source, path, "variant"))
+    nothing = F.when(kind == "STRING", value == "").when(kind == "BOOLEAN", value == "false").otherwise(
+        F.coalesce(value.try_cast("double") == 0, F.lit(False)))
+    return F.when(~nothing, value)
 
 
 def first_ok_response(document: Column | str, endpoint: str) -> Column:
     """Response object of the first result of an endpoint that has no error."""
     usable = F.filter(
         items(document, f"$.api_results.{endpoint}"),
-        lambda row: truthy(field(row, "$.error")).isNull()
+        lambda row: truthy(row, "$.error").isNull()
         & F.coalesce(is_object(field(row, "$.response", "variant")), F.lit(False)),
     )
     return field(first(usable), "$.response", "variant")
@@ -104,7 +111,7 @@ def url_columns(document: str) -> dict[str, Column]:
         items(document, "$.api_results.song_url_v1"),
         lambda row: F.struct(
             F.coalesce(
-                truthy(field(row, "$.params.level")), field(row, "$.response.data[0].level")
+                truthy(row, "$.params.level"), field(row, "$.response.data[0].level")
             ).alias("level"),
             field(row, "$.response.data[0]", "variant").alias("item"),
         ),
@@ -136,7 +143,7 @@ def flatten_snapshots(
         {
             "privilege": F.coalesce(
                 pick_by_id(items("d", "$.raw_detail.privileges"),
-                           F.coalesce(truthy(target), field("song", "$.id"))),
+                           F.coalesce(truthy("d", "$.song_id"), field("song", "$.id"))),
                 field("song", "$.privilege", "variant"),
             ),
             "artists": F.coalesce(
@@ -150,9 +157,8 @@ def flatten_snapshots(
             "wiki": F.get_json_object(content, "$.api_results.song_wiki_summary"),
         }
     )
-    wiki_data = F.to_json(field(first_ok_response("d", "song_wiki_summary"), "$.data", "variant"))
-    staged = staged.withColumn("wiki_texts", udfs.harvest_texts(_document_order_data(F.col("wiki"), wiki_data)))
-    duration = F.coalesce(truthy(field("d", "$.duration_ms")), field("song", "$.dt"))
+    staged = staged.withColumn("wiki_texts", udfs.harvest_first_good("wiki"))
+    duration = F.coalesce(truthy("d", "$.duration_ms"), field("song", "$.dt"))
     published = field("song", "$.publishTime")
     hot = items("comments", "$.hotComments")
 
@@ -163,7 +169,7 @@ def flatten_snapshots(
         return field("privilege", f"$.{path}")
 
     def either(own: str, nested: str) -> Column:
-        return F.coalesce(truthy(field("d", f"$.{own}")), song(nested))
+        return F.coalesce(truthy("d", f"$.{own}"), song(nested))
 
     def flag(name: str) -> Column:
         return (F.col(name) != "").cast("string")
@@ -174,7 +180,7 @@ def flatten_snapshots(
     stem = F.regexp_replace(file_name, r"\.[^.]*\z", "")
     row: Mapping[str, Column] = {
         "source_file": F.col(file_name),
-        "song_id": F.coalesce(truthy(target), truthy(song("id")), stem),
+        "song_id": F.coalesce(truthy("d", "$.song_id"), truthy("song", "$.id"), stem),
         "name": either("name", "name"),
         "aliases": text.join_parts(F.transform(items("song", "$.alia"), lambda item: field(item, "$"))),
         "translations": text.join_parts(F.transform(items("song", "$.tns"), lambda item: field(item, "$"))),
@@ -190,11 +196,11 @@ def flatten_snapshots(
         "publish_date": numbers.epoch_ms_to_date(published),
         "disc": song("cd"), "track_no": song("no"), "popularity": song("pop"), "mv_id": song("mv"),
         "fee": song("fee"), "copyright": song("copyright"), "status": song("st"),
-        "version": F.coalesce(truthy(song("version")), song("v")),
+        "version": F.coalesce(truthy("song", "$.version"), song("v")),
         "collected_at": field("d", "$.collected_at"),
         "check_success": field("check", "$.success"),
-        "check_message": F.coalesce(truthy(field("check", "$.message")), field("check", "$.msg")),
-        "playable": F.when(known_privilege, truthy(privilege("pl")).isNotNull().cast("string")),
+        "check_message": F.coalesce(truthy("check", "$.message"), field("check", "$.msg")),
+        "playable": F.when(known_privilege, truthy("privilege", "$.pl").isNotNull().cast("string")),
         "max_br_level": privilege("maxBrLevel"), "max_bitrate": privilege("maxbr"),
         "play_max_br_level": privilege("playMaxBrLevel"), "play_max_bitrate": privilege("playMaxbr"),
         "download_max_br_level": privilege("downloadMaxBrLevel"),
@@ -223,16 +229,6 @@ def flatten_snapshots(
     return staged.select(*[text.safe_raw(row[name]).alias(name) for name in columns], *extra)
 
 
-def _document_order_data(raw_results: Column, parsed_data: Column) -> Column:
-    """Text of the summary's ``data`` with its keys in document order.
-
-    The raw results text keeps the order. Its first result is the usual case; if that one failed,
-    the parsed form of the first good result is used.
-    """
-    good = F.get_json_object(raw_results, "$[0].error").isNull()
-    return F.when(good, F.get_json_object(raw_results, "$[0].response.data")).otherwise(parsed_data)
-
-
 def unreadable(documents: DataFrame, content: str = "value", file_name: str = "file_name") -> DataFrame:
     """Error table of documents that are no JSON."""
     bad = documents.where(F.try_parse_json(content).isNull())
@@ -259,33 +255,36 @@ def licensed(documents: DataFrame, content: str = "value", marker: str = vocab.U
 def assemble_snapshots(songs: DataFrame, results: DataFrame) -> DataFrame:
     """(song_id, document): one JSON document per song with its results grouped by endpoint.
 
-    Results are ordered by (endpoint, id). A song's results are one document by definition, so the
-    group is as large as the document that is asked for.
+    Stored JSON texts go in as they are, so their keys keep their order; what is no JSON becomes null, and
+    null fields stay. Results are ordered by (endpoint, id). A song's results are one document by
+    definition, so the group is as large as the document that is asked for.
     """
-    result = F.struct(
-        "id", "song_id", "endpoint", "status", "code", "error", "collected_at",
-        F.try_parse_json("params_json").alias("params"), F.try_parse_json("response_json").alias("response"),
-    )
+    kept = {"ignoreNullFields": "false"}
+    row = F.to_json(F.struct("id", "song_id", "endpoint", "status", "code", "error", "collected_at"), kept)
+    row = _with_members(row, params=_raw("params_json"), response=_raw("response_json"))
     by_endpoint = results.groupBy("song_id", "endpoint").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(result).alias("r")))), lambda item: item["r"]).alias("rs")
+        F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("r")))), lambda item: item["r"]).alias("rs")
     )
     entry = F.concat(text.json_string("endpoint"), F.lit(":["), F.array_join("rs", ","), F.lit("]"))
     by_song = by_endpoint.groupBy("song_id").agg(
         F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("api")
     )
-    base = F.struct(
-        "song_id", "name", "album_id", "album_name", "duration_ms", "collected_at",
-        F.try_parse_json("artists_json").alias("artists"), F.try_parse_json("raw_detail_json").alias("raw_detail"),
-    )
-    head = F.to_json(base)
+    head = F.to_json(F.struct("song_id", "name", "album_id", "album_name", "duration_ms", "collected_at"), kept)
+    api = F.concat(F.lit("{"), F.coalesce("api", F.lit("")), F.lit("}"))
     joined = songs.join(by_song, "song_id", "left")
-    return joined.select(
-        "song_id",
-        F.concat(
-            F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"api_results":{'),
-            F.coalesce("api", F.lit("")), F.lit("}}"),
-        ).alias("document"),
-    )
+    document = _with_members(head, artists=_raw("artists_json"), raw_detail=_raw("raw_detail_json"), api_results=api)
+    return joined.select("song_id", document.alias("document"))
+
+
+def _raw(content: str) -> Column:
+    """A JSON text as it is, ``null`` for anything else."""
+    return F.when(F.try_parse_json(content).isNotNull(), F.col(content)).otherwise("null")
+
+
+def _with_members(json_object: Column, **members: Column) -> Column:
+    """A non-empty JSON object's text with more members at its end."""
+    added = [part for name, value in members.items() for part in (F.lit(f',"{name}":'), value)]
+    return F.concat(F.substr(json_object, F.lit(1), F.length(json_object) - 1), *added, F.lit("}"))
 
 
 def upsert_results(existing: DataFrame, incoming: DataFrame, order: str = "collected_at") -> DataFrame:
@@ -302,7 +301,7 @@ def playlist_track_ids(documents: DataFrame, content: str = "value", key: str =
     body = F.coalesce(field("d", "$.body", "variant"), F.col("d"))
 
     def ids(source: Column) -> Column:
-        found = F.transform(source, lambda item: truthy(field(item, "$.id")).try_cast("long"))
+        found = F.transform(source, lambda item: truthy(item, "$.id").try_cast("long"))
         return F.array_distinct(F.filter(found, lambda item: item.isNotNull()))
 
     parsed = documents.select(key, F.try_parse_json(content).alias("d")).select(key, body.alias("b"))

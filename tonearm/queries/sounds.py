@@ -117,6 +117,6 @@ def build_tags_job(spark, folder):
 
     found = matching.best_file_per_song(matching.fuzzy_match(matches.files(spark, folder), matches.catalog(spark, folder)))
     measured = audio.audio_features(audio.wave_measures(wave_files(spark, folder)))
-    features = measured.withColumn("song_id", F.regexp_replace("path", r"\\.wav\\z", "")).drop("path")
+    features = measured.withColumn("song_id", F.regexp_replace("path", r"\.wav\z", "")).drop("path")
     affect = vectors.emotion_from_affect(spark, folder).select(F.col("vec_id").cast("string").alias("song_id"), F.col("tags").alias("mert_emotion_tags"))
     return model.tag_job(spark, folder, matches=found, audio_table=features, affect_table=affect)

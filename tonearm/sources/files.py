@@ -21,19 +21,27 @@ def _stem(path: str = "_metadata.file_name") -> Column:
     return F.regexp_replace(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), r"\.[^.]*\z", "")
 
 
+def place() -> Column:
+    """Where a row just read stands in its table: part file, block in it, row in the block.
+
+    Spark reads parts by size, so the row number alone is no order. Writers name parts in order.
+    """
+    return F.struct(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """One CSV file or a set with equal headers, all text, with file and row order.
 
-    Rows of a file are ordered by block start and position in the block, so ``row_order`` is a
-    struct that compares in file order.
+    ``row_order`` is a struct that compares in the order of the parts (see ``place``).
     """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     tagged = df.select(
         "*",
         F.col("_metadata.file_name").alias("source_csv"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-        ).alias("row_order"),
+        place().alias("row_order"),
     )
     return tagged.toDF(*[name.strip().lstrip("﻿") for name in tagged.columns])
 
@@ -89,23 +97,27 @@ def read_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return readable, snapshots.unreadable(documents)
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """One JSON object per line; blank lines and lines that are no object are dropped.
 
     Columns keep their text form: nested values stay JSON. The schema is found by Spark in one pass.
+    ``ordered`` adds ``row_order`` (see ``place``).
     """
-    lines = spark.read.text(path).select(text.strip(F.regexp_replace("value", "^﻿", "")).alias("value"))
+    lines = spark.read.text(path).select(text.strip(F.regexp_replace("value", "^﻿", "")).alias("value"), place().alias("row_order"))
     objects = lines.where(F.coalesce(snapshots.is_object(F.try_parse_json("value")), F.lit(False)))
     keys = [
         row["k"] for row in objects.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().orderBy("k").collect()
     ]
     fields = F.from_json("value", ", ".join(f"`{key}` string" for key in keys)) if keys else None
-    return objects.select(fields.alias("r")).select("r.*") if keys else objects.limit(0)
+    if not keys:
+        return objects.limit(0)
+    return objects.select(fields.alias("r"), "row_order").select("r.*", *["row_order"] * ordered)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     df = spark.read.parquet(path)
-    return df.toDF(*[name.strip() for name in df.columns])
+    named = df.select("*", *[place().alias("row_order")] * ordered)
+    return named.toDF(*[name.strip() for name in named.columns])
 
 
 def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:

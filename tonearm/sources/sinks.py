@@ -57,7 +57,8 @@ def _merge(
 ) -> DataFrame:
     spark = df.sparkSession
     added = normalize_key_only(df.drop("row_order", "source_csv")).withColumns(
-        {"file_order": F.lit(1), "row_order": F.struct(F.lit(0).cast("long").alias("block"), F.col(order).cast("long").alias("at"))}
+        {"file_order": F.lit(1), "row_order": F.struct(
+            F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.col(order).cast("long").alias("at"))}
     )
     if order not in ("song_id",) and order in added.columns:
         added = added.drop(order)
@@ -93,12 +94,7 @@ def merge_csv(path: str, df: DataFrame, order: str, semantics_writer: bool = Fal
 
 
 def _read_jsonl_ordered(spark: SparkSession, path: str) -> DataFrame:
-    return _with_row_order(files.read_jsonl(spark, path))
-
-
-def _with_row_order(df: DataFrame) -> DataFrame:
-    at = F.struct(F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return df.withColumn("row_order", at)
+    return files.read_jsonl(spark, path, ordered=True)
 
 
 def merge_jsonl(path: str, df: DataFrame, order: str, semantics_writer: bool = False) -> str:
@@ -112,8 +108,8 @@ def merge_parquet(path: str, df: DataFrame, order: str) -> str:
     """As ``merge_csv`` for a Parquet table."""
 
     def read(spark: SparkSession, stored: str) -> DataFrame:
-        df = files.read_parquet(spark, stored)
-        return _with_row_order(df.select(*[F.col(name).cast("string").alias(name) for name in df.columns]))
+        df = files.read_parquet(spark, stored, ordered=True)
+        return df.select(*[_text(df, name) for name in df.columns])
 
     return write_version(_merge(path, df, read, order, True, False, False), path, "parquet")
 
