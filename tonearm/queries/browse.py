@@ -63,9 +63,9 @@ def find_by_name(spark, folder):
 
 
 @query("batch", """
-SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position, (row_number() OVER (ORDER BY o_orderkey) - 1) // 250 AS batch FROM orders WHERE o_orderstatus = 'F'""")
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position, (row_number() OVER (ORDER BY o_orderkey) - 1) // 250 AS batch FROM orders""")
 def batch(spark, folder):
-    work = table(spark, folder, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    work = table(spark, folder, "orders").select("o_orderkey")
     return filters.batches(work, "o_orderkey", 250)
 
 

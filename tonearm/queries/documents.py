@@ -87,12 +87,11 @@ def snapshot_flatten(spark, folder):
         "similar_song_ids", "similar_song_names", "similar_artist_names", "wiki_summary_excerpt", "sq_br", "hr_br", "lossless_url", "lossless_br", "hires_url", "standard_url", "check_success")
 
 
-@query("deep_harvest", "WITH " + SNAPSHOT_SQL + " SELECT doc_id, lang || '#' || trim(text, ' ' || chr(10)) || '#' || 'ok' AS texts FROM base WHERE trim(text, ' ' || chr(10)) <> ''")
+@query("deep_harvest", "WITH " + SNAPSHOT_SQL + " SELECT doc_id, concat_ws('#', lang, nullif(trim(text, ' ' || chr(10)), ''), 'ok') AS texts FROM base")
 def deep_harvest(spark, folder):
     documents = table(spark, folder, "documents")
     nested = F.to_json(_object(name=F.col("lang"), skip=_object(other="x", list=F.array(_object(text=F.col("text")))), content=F.array(F.lit("ok"), F.lit(" "))))
-    harvested = documents.select("doc_id", "text", udfs.harvest_texts(nested).alias("t"))
-    return harvested.where(~text.is_blank("text")).select("doc_id", F.array_join("t", "#").alias("texts"))
+    return documents.select("doc_id", F.array_join(udfs.harvest_texts(nested), "#").alias("texts"))
 
 
 @query("unlicensed_filter", "SELECT d.doc_id || '.json' AS file_name, coalesce(toxic, 0) = 1 AS unlicensed FROM documents d LEFT JOIN labels USING (doc_id)")

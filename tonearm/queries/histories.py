@@ -73,12 +73,12 @@ def _liked(spark, folder, slim):
     return history.counts_from_log(events(spark, folder), model.rows(slim))
 
 
-@query("history_bonus", "WITH " + model.LONG_SQL + ", " + _bonus_sql() + " SELECT feature, item, history_cnt, round(bonus, 4) AS bonus FROM bonuses WHERE feature = 'artists'")
+@query("history_bonus", "WITH " + model.LONG_SQL + ", " + _bonus_sql() + " SELECT feature, item, history_cnt, round(bonus, 4) AS bonus FROM bonuses")
 def history_bonus(spark, folder):
     slim = _slim(spark, folder)
     counts = features.frequency_counts(model.rows(slim))
     bonus = history.rarity_bonus(_liked(spark, folder, slim), counts)
-    return bonus.where("feature = 'artists'").withColumn("bonus", F.round("bonus", 4))
+    return bonus.withColumn("bonus", F.round("bonus", 4))
 
 
 @query("history_preference", "WITH " + model.LONG_SQL + ", " + _bonus_sql() + " SELECT feature, item, history_cnt, round(bonus, 4) AS bonus FROM bonuses")

@@ -149,20 +149,30 @@ def feature_tables(spark, folder):
     return counts.select("feature", "item", "cnt")
 
 
-@query("feature_table_rows", "WITH " + model.LONG_SQL + " SELECT song_id, feature, item FROM feature_rows WHERE feature IN ('artists', 'title_terms')")
+@query("feature_table_rows", "WITH " + model.LONG_SQL + " SELECT song_id, feature, item FROM feature_rows")
 def feature_table_rows(spark, folder):
-    return features.feature_rows(model.wide(spark, folder)).where(F.col("feature").isin("artists", "title_terms")).select("song_id", "feature", "item")
+    return features.feature_rows(model.wide(spark, folder)).select("song_id", "feature", "item")
 
 
-@query("source_fingerprint")
+def _digest_sum(start: int) -> str:
+    return f"CAST(coalesce(sum(CAST('0x' || substr(digest, {start}, 8) AS UBIGINT)), 0) AS VARCHAR)"
+
+
+@query("source_fingerprint", f"""
+WITH f AS (SELECT md5('documents/' || doc_id || ':' || n_chars || ':' || doc_id * 1000003) AS digest FROM documents)
+SELECT md5(concat_ws('|', 'v7', CAST(count(*) AS VARCHAR), {', '.join(map(_digest_sum, (1, 9, 17, 25)))})) AS fingerprint FROM f""")
 def source_fingerprint(spark, folder):
-    return files.source_fingerprint(files.list_files(spark, folder, "*.parquet"), "v7", "")
+    """Signature of a list of files with the sizes and times of documents."""
+    listed = table(spark, folder, "documents").select(
+        F.concat(F.lit("/base/documents/"), "doc_id").alias("path"), F.col("n_chars").alias("length"), F.timestamp_micros(F.col("doc_id") * 1000003).alias("modified"))
+    return files.source_fingerprint(listed, "v7", "/base/")
 
 
-@query("preview")
+@query("preview", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part ORDER BY part.p_partkey LIMIT 200")
 def preview(spark, folder):
     path = session.scratch(spark)
-    table(spark, folder, "part").orderBy("p_partkey").coalesce(1).write.option("header", "true").csv(path)
+    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part.orderBy("p_partkey").coalesce(1).write.option("header", "true").csv(path)
     return files.preview(spark, path, 300)
 
 
@@ -174,22 +184,23 @@ def _as_stream(spark, df, parts: int = 4):
 
 
 @query("last_n_stream", "WITH " + HISTORY_LOG_SQL + """
-SELECT event_id, user_id, song_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM log WHERE action <> 'view') WHERE rn <= 10""")
+SELECT event_id, user_id, song_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM log) WHERE rn <= 10""")
 def last_n_stream(spark, folder):
-    log = _log(spark, folder).where("action <> 'view'")
+    log = _log(spark, folder)
     path = session.scratch(spark)
     streams.keep_last_n(_as_stream(spark, log), path, session.scratch(spark), 10, ["event_id"], ["user_id"]).awaitTermination()
     return spark.read.parquet(sinks.latest_version(spark, path)).select("event_id", "user_id", "song_id")
 
 
 @query("history_stream", "WITH " + HISTORY_LOG_SQL + """
-SELECT event_id, l.song_id, CASE WHEN d.doc_id IS NULL THEN '' ELSE source || ' | ' || lang END AS artist_names FROM log l LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = l.song_id WHERE action <> 'select'""")
+SELECT event_id, l.song_id, CASE WHEN d.doc_id IS NULL THEN '' ELSE source || ' | ' || lang END AS artist_names FROM log l LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = l.song_id WHERE action <> 'view'""")
 def history_stream(spark, folder):
     """Streamed interactions joined with the static catalogue, appended to a table."""
     songs = table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("song_id"), F.lit("n").alias("name"), F.concat_ws(" | ", "source", "lang").alias("artist_names"), F.lit("").alias("album_name"),
         F.split("lang", ",").alias("language_tags"))
-    entries = streams.history_entries(_as_stream(spark, _log(spark, folder)), songs, False)
+    log = _log(spark, folder).withColumn("action", F.when(F.col("action") == "view", "select").otherwise(F.col("action")))
+    entries = streams.history_entries(_as_stream(spark, log), songs, False)
     path = session.scratch(spark)
     entries.writeStream.format("parquet").option("checkpointLocation", session.scratch(spark)).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.parquet(path).select("event_id", "song_id", F.coalesce("artist_names", F.lit("")).alias("artist_names"))
