@@ -51,8 +51,8 @@ def audio_measures(spark, folder):
 
 
 @query("audio_features", """
-WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / 97 AS raw, CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS DOUBLE) * 3 WHEN l_linenumber = 3 THEN 0.0 END AS given, l_linenumber = 7 AS bad,
-  CAST(l_discount AS DOUBLE) * 1.5 AS rms, CAST(l_extendedprice AS DOUBLE) / 17 AS centroid, CAST(l_tax AS DOUBLE) * 2 AS zcr, CAST(l_quantity AS DOUBLE) / 4 AS crest, CAST(l_quantity AS DOUBLE) * 8 AS onset FROM lineitem),
+WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / 97.31377 AS raw, CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS DOUBLE) * 3 WHEN l_linenumber = 3 THEN 0.0 END AS given, l_linenumber = 7 AS bad,
+  CAST(l_discount AS DOUBLE) * 1.5 AS rms, CAST(l_extendedprice AS DOUBLE) / 17.31377 AS centroid, CAST(l_tax AS DOUBLE) * 2 AS zcr, CAST(l_quantity AS DOUBLE) / 4 AS crest, CAST(l_quantity AS DOUBLE) * 8 AS onset FROM lineitem),
 octaves AS (SELECT raw, raw * f AS c FROM (SELECT DISTINCT raw FROM m), (VALUES (0.25), (0.5), (1.0), (2.0), (4.0)) v(f)),
 ranked AS (SELECT raw, first(c ORDER BY CASE WHEN c BETWEEN 72 AND 145 THEN 0 ELSE 1 END, abs(c - 100), c) AS best FROM octaves WHERE c BETWEEN 55 AND 190 GROUP BY ALL),
 folded AS (SELECT m.*, coalesce(best, CASE WHEN m.raw < 55 THEN m.raw * pow(2, ceil(log2(55 / m.raw))) ELSE m.raw / pow(2, ceil(log2(m.raw / 190))) END) AS estimate FROM m LEFT JOIN ranked USING (raw)),
@@ -60,14 +60,14 @@ x AS (SELECT *, CASE WHEN given > 0 THEN given ELSE estimate END AS t FROM folde
 SELECT l_orderkey, l_linenumber, CASE WHEN bad THEN '' ELSE concat_ws(' | ', CASE WHEN t >= 132 THEN '快节奏' WHEN t <= 72 THEN '慢节奏' WHEN t IS NOT NULL THEN '中速' END,
   CASE WHEN rms >= 0.13 THEN '高能量' WHEN rms <= 0.04 THEN '低能量' ELSE '中等能量' END, CASE WHEN centroid >= 3600 THEN '明亮' WHEN centroid <= 1300 AND rms < 0.13 THEN '柔和' END, CASE WHEN zcr >= 0.12 THEN '节奏颗粒感' END,
   CASE WHEN crest >= 8 THEN '动态大' END, CASE WHEN onset >= 260 THEN '律动明显' WHEN onset <> 0 AND onset <= 130 AND rms < 0.13 THEN '律动弱' END) END AS audio_feature_tags,
-  CASE WHEN NOT bad THEN round_even(t, 2) END AS audio_tempo_bpm, CASE WHEN bad THEN '' WHEN given > 0 THEN 'source_csv' WHEN estimate IS NOT NULL THEN 'audio_estimate' ELSE '' END AS audio_tempo_source,
-  round_even(centroid, 2) AS audio_centroid_hz, round_even(crest, 3) AS audio_crest, round_even(onset, 4) AS audio_onset_strength FROM x""")
+  CASE WHEN NOT bad THEN round(t, 2) END AS audio_tempo_bpm, CASE WHEN bad THEN '' WHEN given > 0 THEN 'source_csv' WHEN estimate IS NOT NULL THEN 'audio_estimate' ELSE '' END AS audio_tempo_source,
+  round(centroid, 2) AS audio_centroid_hz, round_even(crest, 3) AS audio_crest, round_even(onset, 4) AS audio_onset_strength FROM x""")
 def audio_features(spark, folder):
     """The columns made of the measures; the measures themselves are in audio_measures."""
     line, price, quantity = F.col("l_linenumber"), F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
     measures = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", F.when(line == 2, quantity * 3).when(line == 3, 0.0).alias("given"), F.when(line == 7, "bad").otherwise("").alias("audio_error"),
-        (price / 97).alias("audio_tempo_raw_bpm"), (F.col("l_discount").cast("double") * 1.5).alias("audio_rms"), (price / 17).alias("audio_centroid_hz"),
+        (price / 97.31377).alias("audio_tempo_raw_bpm"), (F.col("l_discount").cast("double") * 1.5).alias("audio_rms"), (price / 17.31377).alias("audio_centroid_hz"),
         (F.col("l_tax").cast("double") * 2).alias("audio_zcr"), (quantity / 4).alias("audio_crest"), (quantity * 8).alias("audio_onset_strength"),
         F.lit(1.0).alias("audio_duration_seconds"), F.lit(0.5).alias("audio_vocal_band_ratio"))
     made = audio.audio_features(measures, F.col("given"))
