@@ -379,3 +379,26 @@ def test_assembly_keeps_raw_json(spark):
     failed, good = document["api_results"]["wiki"]
     assert failed["response"] is None and failed["code"] is None and failed["error"] == "failed"
     assert list(good["params"]) == ["z", "a"] and '{"data":{"title":"Z","text":"A"}}' in text_
+
+
+def test_a_needed_name_that_is_unknown_is_an_error(spark):
+    df = spark.createDataFrame([(i, f"Song {i}") for i in range(30)], "id int, name string")
+    assert filters.find_by_name(df, " song 7", "id", needed=True).first()["id"] == 7
+    with pytest.raises(ValueError, match="Song 0.*Song 19$"):
+        filters.find_by_name(df, "nothing", "id", needed=True)
+
+
+def test_segmenter_replaces_the_tokenizers(spark):
+    df = spark.createDataFrame([("1", "ab|cd|ab|7|x|the", "", "")], "song_id string, full_lyric string, lyric_excerpt string, language_tags string")
+    df = df.withColumn("language_tags", F.array())
+    row = features.lyric_terms(df, make_segmenter=lambda: lambda t: t.split("|")).first()
+    assert row["lyric_terms"][:2] == ["ab", "cd"] and "7" not in row["lyric_terms"] and "x" not in row["lyric_terms"]
+
+
+def test_publish_year_of_usual_date_forms(spark):
+    from tonearm.functions import numbers
+
+    values = ["1999-05-01", "1999", "1999-05", "1999/5/1", "1999.05.01", "19990501", "5/1/1999", "May 1, 1999", "1 May 1999", "May 1999", "2001-02-03T04:05:06", "soon", "", None, "13/40/1999"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r["y"] for r in df.select("i", numbers.publish_year("v").alias("y")).orderBy("i").collect()]
+    assert got == [1999] * 10 + [2001] + [None] * 4

@@ -33,3 +33,17 @@ def test_last_n_is_limited_before_the_shuffle(spark):
 def test_scan_reads_only_needed_columns(spark):
     plan = plan_of(catalogue.QUERIES["match_score"](spark, FOLDER))
     assert "l_comment" not in plan and "l_shipdate" not in plan
+
+
+def test_tag_job_puts_audio_tags_on_songs_that_have_a_file(spark):
+    from pyspark.sql import functions as F
+
+    from tonearm.operators import audio
+    from tonearm.queries import model, sounds
+
+    table = sounds.audio_table(audio.audio_features(audio.wave_measures(sounds.wave_files(spark, FOLDER))))
+    rows = model.tag_job(spark, FOLDER, audio_table=table).select("song_id", "audio_feature_tags", "audio_tags").collect()
+    with_file = {r["song_id"] for r in table.select("song_id").collect()}
+    tagged = {r["song_id"] for r in rows if r["audio_feature_tags"]}
+    assert tagged and tagged == {r["song_id"] for r in rows} & with_file
+    assert table.where(F.col("song_id").endswith("wav")).count() == 0

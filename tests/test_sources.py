@@ -138,3 +138,15 @@ def test_the_later_part_of_a_stored_table_wins(spark, tmp_path, kind, later_is_l
     read = {"csv": files.read_csv, "json": files.read_jsonl, "parquet": files.read_parquet}[kind]
     got = {r["song_id"]: r["style_tags"] for r in read(spark, written).collect()}
     assert {got[str(i)] for i in range(small)} == {"part 1"} and got["9999"] == "new"
+
+
+def test_embeddings_of_mixed_sizes_or_none_are_an_error(spark, tmp_path):
+    np.save(tmp_path / "1.npy", np.zeros(3))
+    assert files.read_embeddings(spark, str(tmp_path)).count() == 1
+    np.save(tmp_path / "2.npy", np.zeros(4))
+    with pytest.raises(ValueError, match="different sizes"):
+        files.read_embeddings(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    np.save(tmp_path / "none" / "1.npy", np.zeros(0))
+    with pytest.raises(ValueError, match="no usable vectors"):
+        files.read_embeddings(spark, str(tmp_path / "none"))

@@ -113,8 +113,15 @@ def duration_text(value: ColumnLike) -> Column:
     return F.when(number.isNull(), "").when(hours != 0, long).otherwise(short)
 
 
+# Forms of a date beside the ISO ones, tried in this order; of two numbers the month is first.
+DATE_FORMS = ("yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "M/d/yyyy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/M", "MMMM yyyy")
+
+
 def publish_year(value: ColumnLike) -> Column:
-    return F.year(strip(col(value).cast("string")).try_cast("date"))
+    """Year of a date text in ISO or another usual form; null for anything else."""
+    shown = strip(col(value).cast("string"))
+    others = [F.try_to_timestamp(shown, F.lit(form)).cast("date") for form in DATE_FORMS]
+    return F.year(F.coalesce(shown.try_cast("date"), *others))
 
 
 def decade_tag(value: ColumnLike, suffix: str = vocab.DECADE_SUFFIX) -> Column:

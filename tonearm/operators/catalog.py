@@ -210,9 +210,3 @@ def tempo_text(tempo: Column, source: Column, raw: Column) -> Column:
         .otherwise("")
     )
     return F.when(tempo == "", "").otherwise(F.concat(shown, F.lit(" BPM"), note))
-
-
-def history_tags(entry_tags: str = "all_tags", limit: int = 6) -> Column:
-    return F.array_join(F.slice(F.col(entry_tags), 1, limit), " | ")
-
-

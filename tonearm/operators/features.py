@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm import vocab
-from tonearm.functions import arrays, numbers, text
+from tonearm.functions import arrays, numbers, text, udfs
 
 FEATURE_COLUMNS = {feature: column for feature, column, _label, _scale in vocab.SCORED_FEATURES}
 
@@ -18,9 +18,19 @@ FEATURE_COLUMNS = {feature: column for feature, column, _label, _scale in vocab.
 HOT_SHARES = 4
 
 
-def lyric_terms(df: DataFrame, limit: int = 40, stop_words: Sequence[str] = tuple(vocab.STOP_WORDS)) -> DataFrame:
-    """Add ``lyric_terms``: the most frequent words of the whole lyric, counted inside the row."""
+def lyric_terms(
+    df: DataFrame, limit: int = 40, stop_words: Sequence[str] = tuple(vocab.STOP_WORDS),
+    make_segmenter: Callable[[], Callable[[str], list[str]]] | None = None,
+) -> DataFrame:
+    """Add ``lyric_terms``: the most frequent words of the whole lyric, counted inside the row.
+
+    ``make_segmenter`` gives a word segmenter, text -> words, that replaces the built-in tokenizers.
+    """
     lyric = F.coalesce(F.nullif(F.col("full_lyric"), F.lit("")), F.col("lyric_excerpt"))
+    if make_segmenter is not None:
+        segmented = df.withColumn("_found", udfs.segment_words(text.clean_lyric(lyric), make_segmenter))
+        found = text.lyric_words("_found", "language_tags", stop_words, F.col("_found"))
+        return segmented.withColumn("lyric_terms", arrays.most_common(found, limit)).drop("_found")
     words = numbers.bind(
         text.clean_lyric(lyric),
         lambda cleaned: numbers.bind(

@@ -121,9 +121,16 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return positioned.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
 
 
-def find_by_name(df: DataFrame, name: str, order: str, column: str = "name") -> DataFrame:
-    """First row whose stripped, lower-case name equals the text, else the first containing it."""
+def find_by_name(df: DataFrame, name: str, order: str, column: str = "name", needed: bool = False) -> DataFrame:
+    """First row whose stripped, lower-case name equals the text, else the first containing it.
+
+    With ``needed`` an unknown name is an error that shows the first 20 names.
+    """
     wanted = name.strip().casefold()
     have = F.lower(text.safe_text(column))
     matching = df.where(F.contains(have, F.lit(wanted)))
-    return matching.orderBy((have == wanted).desc(), F.col(order)).limit(1)
+    found = matching.orderBy((have == wanted).desc(), F.col(order)).limit(1)
+    if needed and found.isEmpty():
+        known = [row["n"] for row in df.orderBy(order).select(text.safe_text(column).alias("n")).limit(20).collect()]
+        raise ValueError(f"no entry named {name!r}; there are: {', '.join(known)}")
+    return found

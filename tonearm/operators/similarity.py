@@ -46,10 +46,6 @@ def restrict_candidates(candidates: DataFrame, vectors: DataFrame, key: str = "s
     return ids.join(vectors.select(key), key, "left_semi")
 
 
-def cosine_scores(vectors: DataFrame, query: Column, vector: str = "vector") -> Column:
-    return arrays.dot(arrays.l2_normalize(vector), arrays.l2_normalize(query))
-
-
 def search_similar(
     vectors: DataFrame,
     query: Sequence[float] | DataFrame,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,15 @@ def full_tag_table(
         table = joins.with_features(table, affect_table)
         table = tags.merge_feature_tags(table, "emotion_tags", "mert_emotion_tags")
     return table
+
+
+def only_new(stored: DataFrame | None, songs: DataFrame, build: Callable[[DataFrame], DataFrame], key: str = "song_id") -> DataFrame:
+    """Results of ``build`` (matches, measures, vectors) for all songs; those that are stored are not made again.
+
+    Stored results of songs that are gone are left out.
+    """
+    if stored is None:
+        return build(songs)
+    ids = songs.select(key).distinct()
+    fresh = build(songs.join(stored.select(key).distinct(), key, "left_anti"))
+    return stored.join(ids, key, "left_semi").unionByName(fresh)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tonearm import vocab
 from tonearm.operators import catalog, features, filters, joins, profile
+from tonearm.plans import tags as tag_plan
 from tonearm.queries import model, scores
 from tonearm.queries.registry import query, table
 
@@ -161,6 +162,21 @@ def dataset_profile(spark, folder):
     return profile.dataset_profile({name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names})
 
 
+@query("file_profile", "SELECT '/library/' || source AS folder, count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM documents GROUP BY source")
+def file_profile(spark, folder):
+    listed = table(spark, folder, "documents").select(F.concat(F.lit("/library/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("n_chars").alias("length"))
+    return profile.file_profile(listed)
+
+
+@query("only_new_results", """
+SELECT CAST(doc_id AS VARCHAR) AS song_id, CASE WHEN doc_id % 3 = 0 THEN 'stored' ELSE 'made' END AS origin, n_chars FROM documents WHERE doc_id % 5 <> 0""")
+def only_new_results(spark, folder):
+    """A second run of a job over four fifths of the songs, when a third of all are stored."""
+    songs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("song_id"), "n_chars", "doc_id")
+    stored = songs.where("doc_id % 3 = 0").select("song_id", F.lit("stored").alias("origin"), "n_chars")
+    return tag_plan.only_new(stored, songs.where("doc_id % 5 <> 0"), lambda new: new.select("song_id", F.lit("made").alias("origin"), "n_chars"))
+
+
 @query("filtered_profile", BASE + """, kept AS (SELECT * FROM wide_base WHERE popularity >= 20)
 SELECT 'artists' AS feature, item, count(*) AS cnt FROM (SELECT DISTINCT song_id, unnest(artist_list) AS item FROM kept) GROUP BY item
 UNION ALL SELECT 'tags', item, count(*) FROM (SELECT DISTINCT song_id, unnest(string_split(all_tags, ' | ')) AS item FROM kept WHERE all_tags <> '') GROUP BY item

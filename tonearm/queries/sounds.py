@@ -124,6 +124,11 @@ def chunk_windows(spark, folder):
     return audio.chunk_windows(recordings, "n", "rate", 5.0, 2.5).select("o_orderkey", "chunk_start", "chunk_length")
 
 
+def audio_table(measured):
+    """Features by song: a file is named by its song."""
+    return measured.withColumn("song_id", F.regexp_replace("path", r"\.wav\z", "")).drop("path")
+
+
 @query("build_tags_job")
 def build_tags_job(spark, folder):
     """The whole tag job: rules, best file per song, audio features, affect."""
@@ -132,6 +137,6 @@ def build_tags_job(spark, folder):
 
     found = matching.best_file_per_song(matching.fuzzy_match(matches.files(spark, folder), matches.catalog(spark, folder)))
     measured = audio.audio_features(audio.wave_measures(wave_files(spark, folder)))
-    features = measured.withColumn("song_id", F.regexp_replace("path", r"\.wav\z", "")).drop("path")
+    features = audio_table(measured)
     affect = vectors.emotion_from_affect(spark, folder).select(F.col("vec_id").cast("string").alias("song_id"), F.col("tags").alias("mert_emotion_tags"))
     return model.tag_job(spark, folder, matches=found, audio_table=features, affect_table=affect)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tonearm import vocab
 from tonearm.functions import text
-from tonearm.operators import merge, snapshots
+from tonearm.operators import merge, similarity, snapshots
 
 AUDIO_EXTENSIONS = ("mp3", "flac", "wav", "m4a", "aac", "ogg")  # fixed value
 
@@ -121,7 +121,10 @@ def read_parquet(spark: SparkSession, path: str, ordered: bool = False) -> DataF
 
 
 def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """(song_id, vector) from a folder of ``.npy`` files, one vector each."""
+    """(song_id, vector) from a folder of ``.npy`` files, one vector each.
+
+    No vector at all, or vectors of different sizes, are an error.
+    """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,7 +134,7 @@ def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
     stems = F.regexp_extract("path", r"([^/]*)\.npy\z", 1)
     loaded = files.select(stems.alias("stem"), "content").mapInPandas(decode, "song_id string, vector array<float>")
-    return loaded.where((F.col("song_id") != "") & (F.size("vector") > 0))
+    return similarity.check_vectors(loaded.where(F.col("song_id") != ""))
 
 
 def list_audio(spark: SparkSession, folder: str) -> DataFrame:

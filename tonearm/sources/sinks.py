@@ -171,6 +171,7 @@ def stored_fingerprint(spark: SparkSession, path: str) -> str | None:
 
 def load_or_build(spark: SparkSession, path: str, fingerprint: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feature tables, rebuilt only if the sources changed since they were written."""
-    if stored_fingerprint(spark, path) != fingerprint:
+    stored = stored_fingerprint(spark, path)
+    if files.is_stale([stored] if stored else [], fingerprint):
         write_feature_tables(build(), path, fingerprint)
     return read_feature_tables(spark, path)
