@@ -266,7 +266,7 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
     tokens reach the driver. Gradients are summed in a tree.
 
     Null and empty texts are the end alone. Very long texts are scored whole. Repeated rows are scored and counted
-    each. A null doc_id stays null (it is in the group of id 0); a null ``held_out`` counts as false. Without training
+    each. A null doc_id stays null; a null ``held_out`` counts as false. Without training
     rows counts are 0 and every token has an even share. Other columns are not looked at, and an empty table gives
     no rows.
     """

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 # Bytes of text that one pass of the array code takes; bounds the memory of a task.
 SLICE_BYTES = 4 << 20
+# Bytes hashed at one time, with several 64-bit numbers for each.
+HASH_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -100,7 +102,7 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     at = 0
     while at < len(start):
         base = start[at]
-        stop = max(at + 1, int(np.searchsorted(end, base + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(end, base + HASH_BYTES, "right")))
         part = data[base : end[stop - 1]]
         power, inverse = _powers(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
