@@ -68,9 +68,9 @@ def toxicity(spark, folder):
     return factor_machine.score(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(3) == 1)
 
 
-@query("op5_url_markov")
+@query("op5_url_markov", url_markov.judge_sql())
 def url_verdicts(spark, folder):
-    return url_markov.judge(table(spark, folder, "pages"))
+    return url_markov.judge(table(spark, folder, "pages")).withColumn("score", F.round("score", 6))
 
 
 @query("op6_bpe_automaton")

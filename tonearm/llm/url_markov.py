@@ -128,3 +128,41 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     bound = threshold(scored.join(taught, "url"))
     method = F.when(F.col("score") > F.lit(bound), "block").otherwise("allow") if bound is not None else F.lit("allow")
     return rows.join(scored, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "score")
+
+
+def judge_sql(pages: str = "pages") -> str:
+    """The same as SQL, with the score to six digits."""
+    capitals = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{s}')" for _, d, s in ordered]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r[1] + r[2]}'" for f, r in zip(fits, ordered)) + " END"
+    decided = "CASE " + " ".join(f"WHEN {f} THEN '{r[0]}'" for f, r in zip(fits, ordered)) + " END"
+    span, width = ORDER + 1, 8.0 / BINS
+    strings = " UNION ALL ".join(
+        f"SELECT right(gram, {n + 1}) AS string, 0 AS ahead, good, bad FROM grams UNION ALL SELECT right(left(gram, {ORDER}), {n}), 1, good, bad FROM grams"
+        for n in range(span))
+    joins = " ".join(
+        f"LEFT JOIN model o{n} ON o{n}.ahead = 0 AND o{n}.string = right(p.gram, {n + 1}) LEFT JOIN model b{n} ON b{n}.ahead = 1 AND b{n}.string = right(left(p.gram, {ORDER}), {n})"
+        for n in range(span))
+    chance = {}
+    for side in ("good", "bad"):
+        chance[side] = f"(1.0::DOUBLE / {ALPHABET})"
+        for n in range(span):
+            chance[side] = f"((coalesce(o{n}.{side}, 0) + {PRIOR} * {chance[side]}) / (coalesce(b{n}.{side}, 0) + {PRIOR}))"
+    spelt = f"repeat(chr(2), {ORDER}) || translate(url, '0123456789', '0000000000') || chr(3)"
+    return f"""
+    WITH rest AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}),
+    parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), {capitals}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    ruled AS MATERIALIZED (SELECT *, {rule} AS rule, {decided} AS decided FROM parts),
+    urls AS MATERIALIZED (SELECT url, {spelt} AS spelt, count(*) FILTER (WHERE decided = 'allow') AS good, count(*) FILTER (WHERE decided = 'block') AS bad FROM ruled WHERE url IS NOT NULL GROUP BY url),
+    places AS MATERIALIZED (SELECT url, good, bad, substr(spelt, place, {span}) AS gram FROM (SELECT *, unnest(range(1, length(spelt) - {ORDER} + 1)) AS place FROM urls)),
+    grams AS (SELECT gram, sum(good) AS good, sum(bad) AS bad FROM places GROUP BY gram HAVING sum(good + bad) > 0),
+    model AS MATERIALIZED (SELECT string, ahead, CAST(sum(good) AS DOUBLE) AS good, CAST(sum(bad) AS DOUBLE) AS bad FROM ({strings}) GROUP BY ALL
+        HAVING sum(good + bad) >= (SELECT sum(good + bad) / {KEPT} FROM grams)),
+    scored AS MATERIALIZED (SELECT url, avg(ln({chance['bad']}) - ln({chance['good']})) AS score FROM places p {joins} GROUP BY url),
+    bins AS (SELECT least(greatest(floor((score + 4) / {width}), 0), {BINS - 1}) AS bin, sum(good) AS good, sum(bad) AS bad FROM scored JOIN urls USING (url) WHERE good + bad > 0 GROUP BY ALL),
+    sides AS (SELECT edge, coalesce(sum(good) FILTER (WHERE bin < edge), 0) / sum(good) + coalesce(sum(bad) FILTER (WHERE bin >= edge), 0) / sum(bad) AS value
+        FROM bins, range(0, {BINS + 1}) e(edge) GROUP BY edge HAVING sum(good) > 0 AND sum(bad) > 0),
+    best AS (SELECT (min(edge) + max(edge)) / 2 * {width} - 4 AS bound FROM sides WHERE round(value, 12) = (SELECT max(round(value, 12)) FROM sides))
+    SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score > (SELECT bound FROM best) THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score
+    FROM ruled LEFT JOIN scored USING (url)"""
