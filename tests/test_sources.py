@@ -150,3 +150,14 @@ def test_embeddings_of_mixed_sizes_or_none_are_an_error(spark, tmp_path):
     np.save(tmp_path / "none" / "1.npy", np.zeros(0))
     with pytest.raises(ValueError, match="no usable vectors"):
         files.read_embeddings(spark, str(tmp_path / "none"))
+
+
+def test_old_versions_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for n in range(4):
+        sinks.write_version(spark.range(n + 1), path, "parquet")
+    sinks.prune(spark, path)
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["version-000003", "version-000004"]
+    assert spark.read.parquet(sinks.latest_version(spark, path)).count() == 4
+    sinks.prune(spark, path)
+    assert sinks.latest_version(spark, path).endswith("version-000004")

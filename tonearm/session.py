@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session may fall back to
-    a temporary folder of this machine; a cluster without the setting is an error.
+    a temporary folder of this machine, which goes when Python ends; a cluster without the setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -42,6 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix=f"tonearm-{os.getpid()}-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 

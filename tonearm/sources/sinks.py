@@ -48,6 +48,18 @@ def write_version(df: DataFrame, path: str, kind: str, **options: str) -> str:
     return target
 
 
+def prune(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete versions older than the newest ``keep`` complete ones."""
+    complete = [number for number, done in _versions(spark, path) if done]
+    if len(complete) <= keep:
+        return
+    jvm = spark.sparkContext._jvm
+    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for number, _done in _versions(spark, path):
+        if number < complete[-keep]:
+            system.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{_PREFIX}{number:06d}"), True)
+
+
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
 
 

@@ -36,6 +36,7 @@ def keep_last_n(
         both = batch if stored is None else stored.unionByName(batch, allowMissingColumns=True)
         unique = both.dropDuplicates([*by, *order])
         sinks.write_version(history.last_n(unique, n, order, by), path, "parquet")
+        sinks.prune(batch.sparkSession, path)
 
     writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -48,6 +49,7 @@ def upsert_stream(results: DataFrame, path: str, checkpoint: str, order: str = "
         stored = _stored(batch.sparkSession, path)
         existing = batch.limit(0) if stored is None else stored
         sinks.write_version(snapshots.upsert_results(existing, batch, order), path, "parquet")
+        sinks.prune(batch.sparkSession, path)
 
     writer = results.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
