@@ -45,10 +45,20 @@ def test_repeated_kmers_are_told_apart_and_order_counts():
     words = np.array([1, 2, 3, 4, 5] * 4, np.uint64)
     assert len(set(order_minhash.labelled(words).tolist())) == len(words) - 4
     forth, back = np.arange(100, dtype=np.uint64), np.arange(100, dtype=np.uint64).reshape(2, 50)[::-1].ravel()
-    same = [(order_minhash.sketch(order_minhash.labelled(x), 200)[0]) for x in (forth, back)]
-    minima = [(order_minhash.sketch(order_minhash.labelled(x), 200)[1]) for x in (forth, back)]
+    one, two = ([order_minhash.signatures(order_minhash.labelled(x), 200, picks) for x in (forth, back)] for picks in (1, 2))
     # Swapped halves share nearly all k-mers, but about half of all picks of two change their order.
-    assert (minima[0] == minima[1]).mean() > 0.85 and (same[0] == same[1]).mean() < 0.65
+    assert (one[0] == one[1]).mean() > 0.85 and (two[0] == two[1]).mean() < 0.65
+
+
+def test_word_sketches_let_pairs_at_the_bound_pass():
+    random_ = np.random.default_rng(9)
+    for n in (10, 60, 300, 3000):
+        words = random_.integers(0, 1 << 62, (400, n), dtype=np.uint64)
+        for share, low, high in ((0.81, 0.99, 1), (0.5, 0, 0.25 if n > 50 else 1)):
+            other = words.copy()
+            other[:, : n - int(np.ceil(n * share))] += np.uint64(1)
+            a, b = (np.array([order_minhash.word_sketch(w) for w in x]) for x in (words, other))
+            assert low <= order_minhash.may_align(a, b, 0.8)[0].mean() <= high
 
 
 def copies(n=160):
@@ -267,6 +277,11 @@ def test_url_rules_and_models_brute_force(spark):
     assert sum((r.score > bound) == (r.verdict == "block") for r in decided) >= 0.85 * len(decided)
 
 
+def test_urls_sql(spark):
+    for folder in (FOLDER, "/root/testdata/sf0.01"):
+        assert compare.difference(spark, compare.connect(folder), folder, queries.QUERIES["op5_url_markov"], queries.ORACLE["op5_url_markov"]) is None
+
+
 def test_url_plan_is_native(spark):
     plan = queries.QUERIES["op5_url_markov"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -18,9 +18,9 @@ WORDS = 5  # words of a k-mer
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKS = 2  # minima of a sketch
-# Pairs of an open bucket are aligned if at least so many of the single minima agree: below that the
-# texts share too few k-mers to be aligned at the bound with a chance worth counting.
-AGREE = 3
+# Bins of a text's word sketch, and the standard errors by which its estimate may fall short.
+BINS = 256
+ERRORS = 3.0
 BLOCK = 1024
 _CELLS = 1 << 20
 _STEP = np.random.default_rng(20).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -59,13 +59,13 @@ def labelled(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return out
 
 
-def sketch(grams: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> tuple[np.ndarray, np.ndarray]:
-    """A signature and the single minimum of each sketch.
+def signatures(grams: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
+    """A signature for each sketch.
 
     Each sketch orders the k-mers by a hash of its own, takes the ``picks`` smallest and keeps them
     in the order of the text.
     """
-    signatures, minima = np.empty(sketches, np.uint64), np.empty(sketches, np.uint64)
+    out = np.empty(sketches, np.uint64)
     step = max(1, _CELLS // len(grams))
     picks = min(picks, len(grams))
     for at in range(0, sketches, step):
@@ -73,13 +73,35 @@ def sketch(grams: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> t
         values = (grams[None, :] ^ _seeds[0, use][:, None]) * _seeds[1, use][:, None]
         values ^= values >> np.uint64(32)
         chosen = np.argpartition(values, picks - 1, axis=1)[:, :picks] if picks < len(grams) else np.broadcast_to(np.arange(picks), (len(use), picks))
-        minima[use] = values.min(axis=1)
         chosen = np.sort(chosen, axis=1)
         total = use.astype(np.uint64) * _seeds[2, 254]
         for i in range(picks):
             total = spans.mix(total + grams[chosen[:, i]] * _seeds[2, i])
-        signatures[use] = total
-    return signatures, minima
+        out[use] = total
+    return out
+
+
+def word_sketch(words: np.ndarray) -> np.ndarray:
+    """One byte for each of BINS bins of the hash range: of the smallest occurrence-labelled word in it, 0 if none."""
+    ordered = np.sort(labelled(words, 1))
+    place = (ordered >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    out = np.zeros(BINS, np.uint8)
+    out[place[first]] = 1 + (ordered[first] % np.uint64(255)).astype(np.uint8)
+    return out
+
+
+def may_align(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether texts with these word sketches (rows) can have a similarity of ``least``, and how much alike the sketches are.
+
+    Aligned words are words in common, so at the bound the two bags of words have a Jaccard similarity of
+    least / (2 - least) or more. The sketches estimate it from the bins in use; a pair passes unless the
+    estimate is short by more than ERRORS standard errors.
+    """
+    used = ((a > 0) | (b > 0)).sum(axis=1)
+    share = least / (2 - least)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return same >= share * used - ERRORS * np.sqrt(share * (1 - share) * used), same / np.maximum(used, 1)
 
 
 def common(a: list[int], b: list[int], band: int) -> int:
@@ -127,24 +149,23 @@ def _fingerprints(docs: DataFrame, size: int, sketches: int, picks: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, words, cuts in word_hashes(batch.column(1)):
-                digests, signatures, minima = [], [], []
+                digests, signed, sketched = [], [], []
                 counts = np.diff(cuts)
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if a == b:
-                        digests.append(None), signatures.append(None), minima.append(None)
+                        digests.append(None), signed.append(None), sketched.append(None)
                         continue
                     own = words[a:b]
-                    signature, low_values = sketch(labelled(own, size), sketches, picks)
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    signatures.append(signature.view(np.int64))
-                    minima.append((low_values >> np.uint64(32)).astype("<u4").tobytes())
+                    signed.append(signatures(labelled(own, size), sketches, picks).view(np.int64))
+                    sketched.append(word_sketch(own).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, len(counts)), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()),
-                     pa.array(signatures, pa.list_(pa.int64())), pa.array(minima, pa.binary())],
-                    ["id", "digest", "n_words", "signatures", "minima"],
+                     pa.array(signed, pa.list_(pa.int64())), pa.array(sketched, pa.binary())],
+                    ["id", "digest", "n_words", "signatures", "sketch"],
                 )
 
-    schema = "id long, digest binary, n_words long, signatures array<long>, minima binary"
+    schema = "id long, digest binary, n_words long, signatures array<long>, sketch binary"
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, schema)
 
 
@@ -173,40 +194,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(rows: DataFrame, least: float, agree: int) -> DataFrame:
-    """Pairs of a bucket that are in different components, of lengths that can align, with like minima."""
+def _fitting(first: np.ndarray, second: np.ndarray, same: bool, words: np.ndarray, classes: np.ndarray, sketches: np.ndarray, least: float):
+    """Pairs of a block pair across components whose lengths and word sketches can meet the bound."""
+    ratio = least / (2 - least)
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for at in range(0, len(first), 256):
+        part = first[at : at + 256]
+        x, y = words[part][:, None], words[second][None, :]
+        fit = (np.minimum(x, y) >= ratio * np.maximum(x, y)) & (classes[part][:, None] != classes[second][None, :])
+        if same:
+            fit &= part[:, None] < second[None, :]
+        i, j = np.nonzero(fit)
+        for low in range(0, len(i), _CELLS // 64):
+            p, q = part[i[low : low + _CELLS // 64]], second[j[low : low + _CELLS // 64]]
+            passed, alike = may_align(sketches[p], sketches[q], least)
+            for place, values in enumerate((p, q, alike)):
+                out[place].append(values[passed])
+    return [np.concatenate(x) for x in out]
+
+
+def _nearest(p: np.ndarray, q: np.ndarray, alike: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row outside the largest component its most alike partner: row, partner, likeness."""
+    names, counts = np.unique(classes, return_counts=True)
+    rows, partners, values = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([alike, alike])
+    small = classes[rows] != names[counts.argmax()]
+    rows, partners, values = rows[small], partners[small], values[small]
+    order = np.lexsort((partners, -values, rows))
+    rows, partners, values = rows[order], partners[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
+    return rows[first], partners[first], values[first]
+
+
+def _open_pairs(rows: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs of a bucket across components that can align; with ``nearest`` one for each text of the smaller components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = least / (2 - least)
         for table, cuts in blocks.runs(batches, 3):
             ids, classes, words = (table.column(i).to_numpy() for i in (3, 4, 5))
             in_a = table.column(6).to_numpy(zero_copy_only=False)
             same = table.column(1).to_numpy() == table.column(2).to_numpy()
             blob = table.column(7).to_pylist()
-            left, right = [], []
+            out = [[], [], []]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a < 2:
                     continue
-                minima = np.frombuffer(b"".join(blob[a:b]), np.uint32).reshape(b - a, -1)
+                sketches = np.frombuffer(b"".join(blob[a:b]), np.uint8).reshape(b - a, BINS)
                 first = np.arange(b - a) if same[a] else np.flatnonzero(in_a[a:b])
                 second = first if same[a] else np.flatnonzero(~in_a[a:b])
-                for at in range(0, len(first), 256):
-                    part = first[at : at + 256]
-                    x, y = words[a:b][part][:, None], words[a:b][second][None, :]
-                    fit = (np.minimum(x, y) >= ratio * np.maximum(x, y)) & (classes[a:b][part][:, None] != classes[a:b][second][None, :])
-                    if same[a]:
-                        fit &= part[:, None] < second[None, :]
-                    i, j = np.nonzero(fit)
-                    for low in range(0, len(i), _CELLS // 16):
-                        p, q = part[i[low : low + _CELLS // 16]], second[j[low : low + _CELLS // 16]]
-                        like = (minima[p] == minima[q]).sum(axis=1) >= agree
-                        left.append(ids[a:b][p[like]])
-                        right.append(ids[a:b][q[like]])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+                found = _fitting(first, second, bool(same[a]), words[a:b], classes[a:b], sketches, least)
+                p, q, alike = _nearest(*found, classes[a:b]) if nearest else found
+                for place, values in enumerate((ids[a:b][p], ids[a:b][q], alike)):
+                    out[place].append(values)
+            if out[0]:
+                x, y, alike = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(x), pa.array(alike)], ["a", "b", "of", "alike"])
+
+    found = rows.mapInArrow(run, "a long, b long, of long, alike double")
+    if nearest:
+        return found.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("best")).select("best.*").distinct()
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = WORDS, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
@@ -219,9 +265,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = WORD
     with a chance of about the square (for two picks) of the share of k-mers that two texts have in
     common in the same order.
 
-    A bucket is not expanded into pairs. Its members are aligned with its smallest id; that settles a
-    group of copies. Buckets left with several components are gone through pair by pair in blocks, for pairs
-    across components whose lengths and minima can meet the bound, so no link between candidates is lost
+    A bucket is not expanded into pairs. Its smallest id leads it, and a text is aligned with the leader of
+    most of its buckets, and with its other leaders if that gives no link; that settles a group of
+    copies. Buckets left with several components are gone through in blocks: first each text outside the
+    largest component with its most alike partner, as long as most of these are links, then all pairs
+    across components whose lengths and word sketches can meet the bound, so no link between candidates is lost
     to a large bucket.
 
     Null and empty texts and texts without a letter or digit are like no other: class_id is their id.
@@ -230,30 +278,46 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = WORD
     """
     prints = materialize(_fingerprints(docs, size, sketches, picks))
     present = prints.where("digest is not null and id is not null")
-    folded = materialize(present.groupBy("digest").agg(F.min(F.struct("id", "n_words", "signatures", "minima")).alias("own")).select("digest", "own.*"))
+    folded = materialize(present.groupBy("digest").agg(F.min(F.struct("id", "n_words", "signatures", "sketch")).alias("own")).select("digest", "own.*"))
     members = folded.select("id", F.explode("signatures").alias("bucket"))
     leaders = materialize(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = materialize(members.join(leaders, "bucket").select("bucket", "id", "leader", "n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     wanted = folded.select("id", "digest")
-    first_pairs = shared.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    in_pairs = shared.select("id").distinct()
-    texts = materialize(texts.join(in_pairs, "id", "left_semi"))
-    links = materialize(_verified(first_pairs, texts, least))
-    classes = connected(links)
-    known = shared.where("n > 2").join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
-    mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
-    open_rows = known.join(mixed, "bucket")
-    dealt = blocks.paired(open_rows, ["bucket"], "id", BLOCK).join(folded.select("id", "n_words", "minima"), "id")
-    keys = ["bucket", "block_a", "block_b"]
-    more = _open_pairs(blocks.grouped(dealt.select(*keys, "id", "class", "n_words", "in_a", "minima"), keys), least, AGREE).distinct()
-    more = materialize(more.join(first_pairs, ["a", "b"], "left_anti"))
-    more_links = materialize(_verified(more, texts, least))
-    if more_links.isEmpty():
-        final = classes
-    else:
-        final = connected(links.unionByName(more_links))
-    named = wanted.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
+    # The leader that a text shares most signatures with; for a copy that is its group's smallest id.
+    offers = shared.where("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("signatures"))
+    offers = materialize(offers.select(F.col("id").alias("a"), F.col("leader").alias("b"), "signatures"))
+    best = materialize(offers.groupBy("a").agg(F.max_by("b", F.struct("signatures", -F.col("b"))).alias("b")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = materialize(texts.join(shared.select("id").distinct(), "id", "left_semi"))
+    links = materialize(_verified(best, texts, least))
+    # Texts that this left alone try their other leaders.
+    linked = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
+    others = materialize(offers.join(linked, "a", "left_anti").select("a", "b").join(best, ["a", "b"], "left_anti"))
+    links = materialize(links.unionByName(_verified(others, texts, least)))
+    classes = materialize(connected(links))
+    tried = best.unionByName(others)
+
+    def opened(nearest: bool) -> DataFrame:
+        known = shared.join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
+        mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
+        dealt = blocks.paired(known.join(mixed, "bucket"), ["bucket"], "id", BLOCK).join(folded.select("id", "n_words", "sketch"), "id")
+        keys = ["bucket", "block_a", "block_b"]
+        rows = blocks.grouped(dealt.select(*keys, "id", "class", "n_words", "in_a", "sketch"), keys)
+        return materialize(_open_pairs(rows, least, nearest).join(tried, ["a", "b"], "left_anti"))
+
+    nearest = True
+    while True:
+        pairs = opened(nearest)
+        links = materialize(_verified(pairs, texts, least))
+        n_pairs, n_links = pairs.count(), links.count()
+        tried = tried.unionByName(pairs)
+        if n_links:
+            classes = materialize(connected(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
+        if not nearest:
+            break
+        # Once few of the nearest partners are links, all pairs that are left across components are gone through.
+        nearest = 2 * n_links > n_pairs
+    named = wanted.join(classes, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     return prints.join(named, "digest", "left").select(
         F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce(F.col("id") == F.coalesce("class_id", "id"), F.lit(True)).alias("kept"))
