@@ -25,6 +25,7 @@ DECAY = 2e-6
 FACTOR_DECAY = 1e-2
 BATCH = 256
 THRESHOLD = 0.7
+_PLACES = 1 << 20
 
 
 def terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -54,11 +55,14 @@ class Machine:
 
     def place(self, found: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the known terms, and their row offsets."""
-        if not len(self.known):
-            return np.zeros(0, np.int64), np.zeros_like(cuts)
-        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
-        hit = self.known[at] == found
-        return at[hit], np.concatenate([[0], np.cumsum(hit)])[cuts]
+        at, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(found) if len(self.known) else 0, _PLACES):
+            part = found[low : low + _PLACES]
+            near = np.minimum(np.searchsorted(self.known, part), len(self.known) - 1)
+            hit = np.flatnonzero(self.known[near] == part)
+            at.append(near[hit])
+            hits.append(hit + low)
+        return np.concatenate(at), np.searchsorted(np.concatenate(hits), cuts)
 
     def margins(self, at: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """bias + sum of weights + sum over pairs of terms of the products of their factors."""
@@ -74,23 +78,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def chosen_terms(found: np.ndarray, row: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def chosen_terms(found: np.ndarray, cuts: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Terms that are common enough and go with the label, in ascending order."""
-    known, which = np.unique(found, return_inverse=True)
-    texts = np.bincount(which, minlength=len(known)).astype(np.float64)
-    toxic = np.bincount(which, labels[row], len(known))
+    ordered = np.sort(found)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    texts = np.diff(np.append(first, len(ordered)))
+    common = texts >= LEAST_TEXTS
+    known, texts = ordered[first[common]], texts[common].astype(np.float64)
+    del ordered, first
+    marked = found[np.repeat(labels > 0, np.diff(cuts))]
+    at, _ = Machine(known, 0.0, np.zeros(0), np.zeros((0, 0))).place(marked, np.zeros(1, np.int64))
+    toxic = np.bincount(at, minlength=len(known)).astype(np.float64)
     n, positive = len(labels), labels.sum()
     expected = texts * positive / n
     spread = expected * (1 - positive / n) * (1 - texts / n) + 1e-12
     chi2 = (toxic - expected) ** 2 / spread
-    good = np.flatnonzero((texts >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2))
+    good = np.flatnonzero(chi2 >= LEAST_CHI2)
     return known[np.sort(good[np.argsort(-chi2[good], kind="stable")[:TERMS]])]
 
 
 def train(found: np.ndarray, cuts: np.ndarray, labels: np.ndarray, odds: float) -> Machine:
     """Fit by mini-batch gradients with per-weight rates; ``odds`` corrects the bias for the sample's classes."""
-    row = np.repeat(np.arange(len(labels)), np.diff(cuts))
-    known = chosen_terms(found, row, labels) if len(labels) else found
+    known = chosen_terms(found, cuts, labels) if len(labels) else found
     random = np.random.default_rng(4)
     base = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     machine = Machine(known, base, np.zeros(len(known)), random.normal(0, 0.01, (len(known), FACTORS)))
@@ -139,9 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     marks = got.column("label").to_numpy().astype(np.float64)
     # The order in which rows arrive depends on the cluster; theirs must not.
     order = sorted(range(len(blobs)), key=lambda i: (blobs[i], marks[i]))
-    blobs, marks = [blobs[i] for i in order], marks[order]
-    found = np.frombuffer(b"".join(blobs), np.uint32)
-    cuts = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
+    marks = marks[order]
+    cuts = np.concatenate([[0], np.cumsum([len(blobs[i]) // 4 for i in order])]).astype(np.int64)
+    found = np.frombuffer(b"".join([blobs[i] for i in order]), np.uint32)
+    del got, blobs
     taken = [max(1.0, float((marks == y).sum())) for y in (0, 1)]
     odds = (max(counts.get(1, 0), 1) / taken[1]) / (max(counts.get(0, 0), 1) / taken[0])
     return train(found, cuts, marks, odds)
