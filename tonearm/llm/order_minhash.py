@@ -225,6 +225,15 @@ def _nearest(p: np.ndarray, q: np.ndarray, alike: np.ndarray, classes: np.ndarra
     return rows[first], partners[first], values[first]
 
 
+def _first_shared(signed: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The first signature that both texts of each pair have: of their buckets in common, one is theirs."""
+    out = np.zeros(len(p), np.int64)
+    for low in range(0, len(p), _CELLS // 64):
+        a, b = signed[p[low : low + _CELLS // 64]], signed[q[low : low + _CELLS // 64]]
+        out[low : low + len(a)] = a[np.arange(len(a)), (a == b).argmax(axis=1)]
+    return out
+
+
 def _open_pairs(rows: DataFrame, least: float, nearest: bool) -> DataFrame:
     """Pairs of a bucket across components that can align; with ``nearest`` one for each text of the smaller components."""
 
@@ -234,6 +243,8 @@ def _open_pairs(rows: DataFrame, least: float, nearest: bool) -> DataFrame:
             in_a = table.column(6).to_numpy(zero_copy_only=False)
             same = table.column(1).to_numpy() == table.column(2).to_numpy()
             blob = table.column(7).to_pylist()
+            signed = table.column(8).flatten().to_numpy().reshape(table.num_rows, -1)
+            buckets = table.column(0).to_numpy()
             out = [[], [], []]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a < 2:
@@ -242,7 +253,12 @@ def _open_pairs(rows: DataFrame, least: float, nearest: bool) -> DataFrame:
                 first = np.arange(b - a) if same[a] else np.flatnonzero(in_a[a:b])
                 second = first if same[a] else np.flatnonzero(~in_a[a:b])
                 found = _fitting(first, second, bool(same[a]), words[a:b], classes[a:b], sketches, least)
-                p, q, alike = _nearest(*found, classes[a:b]) if nearest else found
+                if nearest:
+                    p, q, alike = _nearest(*found, classes[a:b])
+                else:
+                    p, q, alike = found
+                    once = _first_shared(signed[a:b], p, q) == buckets[a]
+                    p, q, alike = p[once], q[once], alike[once]
                 for place, values in enumerate((ids[a:b][p], ids[a:b][q], alike)):
                     out[place].append(values)
             if out[0]:
@@ -300,9 +316,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = WORD
     def opened(nearest: bool) -> DataFrame:
         known = shared.join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
         mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
-        dealt = blocks.paired(known.join(mixed, "bucket"), ["bucket"], "id", BLOCK).join(folded.select("id", "n_words", "sketch"), "id")
+        dealt = blocks.paired(known.join(mixed, "bucket"), ["bucket"], "id", BLOCK).join(folded.select("id", "n_words", "sketch", "signatures"), "id")
         keys = ["bucket", "block_a", "block_b"]
-        rows = blocks.grouped(dealt.select(*keys, "id", "class", "n_words", "in_a", "sketch"), keys)
+        rows = blocks.grouped(dealt.select(*keys, "id", "class", "n_words", "in_a", "sketch", "signatures"), keys)
         return materialize(_open_pairs(rows, least, nearest).join(tried, ["a", "b"], "left_anti"))
 
     nearest = True
