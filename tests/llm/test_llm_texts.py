@@ -287,6 +287,17 @@ def test_url_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("common", [1, 200])
+def test_url_models_keep_rare_strings(spark, monkeypatch, common):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url")
+    want = {r.page_id: (r.verdict, r.score) for r in url_markov.judge(pages).collect()}
+    monkeypatch.setattr(url_markov, "KEPT", common)  # nearly all strings are too rare to be broadcast
+    got = {r.page_id: (r.verdict, r.score) for r in url_markov.judge(pages).collect()}
+    assert got.keys() == want.keys()
+    for i, (verdict, score) in want.items():
+        assert got[i] == (verdict, score if score is None else pytest.approx(score, abs=1e-9))
+
+
 def test_urls_without_rules_are_allowed(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.org/x"), (3, None)], "page_id long, url string")
     assert {r.verdict for r in url_markov.judge(pages).collect()} == {"allow"}

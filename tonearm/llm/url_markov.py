@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.session import materialize
 
 ORDER = 4
-# A string of characters is in the models if it makes up at least one in so many places of the URLs
-# learnt from; so no more than this many strings of a length are known, whatever the input.
+# A gram is common if it makes up at least one in so many places of the URLs; so no more than this many
+# are, whatever the input. Common ones are broadcast to the places, all others are joined by a shuffle.
 KEPT = 50_000
 PRIOR = 4.0  # places that the next shorter context counts for
 ALPHABET = 256
@@ -50,40 +50,45 @@ def _places(urls: DataFrame, *columns: str) -> DataFrame:
         *columns, F.substring("spelt", F.col("at"), F.lit(ORDER + 1)).alias("gram"))
 
 
-def counts(urls: DataFrame) -> DataFrame:
-    """Strings of up to ORDER + 1 characters that are common enough, with how often each class has them (url, good, bad)."""
-    grams = _places(urls, "good", "bad").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    grams = materialize(grams)
-    least = grams.agg((F.sum(F.col("good") + F.col("bad")) / KEPT)).first()[0] or 0
-    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda n: F.struct(
-        F.substring("gram", ORDER + 2 - n, n).alias("string"), F.lit(0).alias("ahead")))
-    befores = F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda n: F.struct(
-        F.substring("gram", ORDER + 1 - n, n).alias("string"), F.lit(1).alias("ahead")))
-    every = grams.select("good", "bad", F.explode(F.concat(ends, befores)).alias("x")).select("good", "bad", "x.*")
-    total = every.groupBy("string", "ahead").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return total.where(F.col("good") + F.col("bad") >= least)
-
-
-def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """url and score: the mean over its places of log p(rejected) - log p(accepted).
+def gains(grams: DataFrame) -> DataFrame:
+    """gram and gain, log p(rejected) - log p(accepted) of its last character, for each row of grams (gram, good, bad).
 
     A model's probability of a character mixes the contexts of 0 to ORDER characters: each counts
     with its places, and the next shorter one with PRIOR. A context that is not known adds nothing.
+    Every string is counted. The joins go from a string to the one without its first character, and from
+    one to all with another last character, so a key has at most as many rows as there are characters.
     """
-    rows = _places(urls, "url")
-    good = bad = F.lit(1.0 / ALPHABET)
-    for n in range(ORDER + 1):
-        own = model.where((F.col("ahead") == 0) & (F.length("string") == n + 1)).select(
-            F.col("string").alias(f"own{n}"), F.col("good").alias(f"own_good{n}"), F.col("bad").alias(f"own_bad{n}"))
-        before = model.where((F.col("ahead") == 1) & (F.length("string") == n)).select(
-            F.col("string").alias(f"before{n}"), F.col("good").alias(f"before_good{n}"), F.col("bad").alias(f"before_bad{n}"))
-        # At most KEPT rows each.
-        rows = rows.join(F.broadcast(own), F.substring("gram", ORDER + 1 - n, n + 1) == F.col(f"own{n}"), "left")
-        rows = rows.join(F.broadcast(before), F.substring("gram", ORDER + 1 - n, n) == F.col(f"before{n}"), "left")
-        zero = F.lit(0)
-        good = (F.coalesce(f"own_good{n}", zero) + PRIOR * good) / (F.coalesce(f"before_good{n}", zero) + PRIOR)
-        bad = (F.coalesce(f"own_bad{n}", zero) + PRIOR * bad) / (F.coalesce(f"before_bad{n}", zero) + PRIOR)
-    return rows.select("url", (F.log(bad) - F.log(good)).alias("gain")).groupBy("url").agg(F.avg("gain").alias("score"))
+    levels = [grams.select(F.col("gram").alias("string"), "good", "bad")]
+    for n in range(ORDER, 0, -1):
+        levels.insert(0, levels[0].groupBy(F.substring("string", 2, n).alias("string")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    whole = levels[0].agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+
+    def share(side: str, shorter: Column | float, before: Column) -> Column:
+        return (F.col(side) + PRIOR * shorter) / (before + PRIOR)
+
+    even = F.lit(1.0 / ALPHABET)
+    known = levels[0].select("string", *[share(side, even, F.lit(whole[side] or 0)).alias(f"p_{side}") for side in ("good", "bad")])
+    for n in range(1, ORDER + 1):
+        same = Window.partitionBy(F.substring("string", 1, n))
+        rows = levels[n].select("string", "good", "bad", F.sum("good").over(same).alias("before_good"), F.sum("bad").over(same).alias("before_bad"))
+        shorter = known.select(F.col("string").alias("shorter"), "p_good", "p_bad")
+        known = rows.join(shorter, F.substring("string", 2, n) == F.col("shorter")).select(
+            "string", *[share(side, F.col(f"p_{side}"), F.col(f"before_{side}")).alias(f"p_{side}") for side in ("good", "bad")])
+    return known.select(F.col("string").alias("gram"), (F.log("p_bad") - F.log("p_good")).alias("gain"))
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """id and score of urls (id, url, good, bad): the mean gain over the places of a URL."""
+    grams = materialize(_places(urls, "good", "bad").groupBy("gram").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    known = materialize(gains(grams).join(grams.select("gram", "n"), "gram"))
+    least = (grams.agg(F.sum("n")).first()[0] or 0) / KEPT
+    common, rare = known.where(F.col("n") >= least).select("gram", "gain"), known.where(F.col("n") < least).select("gram", F.col("gain").alias("rare_gain"))
+    # At most KEPT rows are common; each of the others has less than a KEPT-th of all places.
+    rows = _places(urls, "id").join(F.broadcast(common), "gram", "left")
+    parts = rows.where("gain is not null").select("id", "gain")
+    if not rare.isEmpty():
+        parts = parts.unionByName(rows.where("gain is null").select("id", "gram").join(rare.hint("shuffle_merge"), "gram").select("id", F.col("rare_gain").alias("gain")))
+    return parts.groupBy("id").agg(F.avg("gain").alias("score"))
 
 
 def threshold(scored: DataFrame) -> float | None:
@@ -122,12 +127,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumns({"rule": rule, "decided": word})
     urls = rows.where("url is not null").groupBy("url").agg(
         F.count_if(F.col("decided") == "allow").alias("good"), F.count_if(F.col("decided") == "block").alias("bad"))
-    urls = materialize(urls)
-    taught = urls.where("good + bad > 0")
-    scored = materialize(scores(urls, materialize(counts(taught))))
-    bound = threshold(scored.join(taught, "url"))
+    urls = materialize(urls.withColumn("id", F.monotonically_increasing_id()))
+    scored = materialize(scores(urls).join(urls, "id").select("url", "score", "good", "bad"))
+    bound = threshold(scored.where("good + bad > 0"))
     method = F.when(F.col("score") > F.lit(bound), "block").otherwise("allow") if bound is not None else F.lit("allow")
-    return rows.join(scored, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "score")
+    return rows.join(scored.select("url", "score"), "url", "left").select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "score")
 
 
 def judge_sql(pages: str = "pages") -> str:
