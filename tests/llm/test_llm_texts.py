@@ -171,6 +171,42 @@ def test_license_sequences(spark, odd_documents, no_documents):
     assert license_rules.scan(no_documents).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+NAMES = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of FITNESS. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <http://www.gnu.org/licenses/>."""
+NOTICES = ((MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + NAMES, "BSD-3-Clause"), (GPL.format(":", 3), "GPL-3.0-or-later"), (GPL.format(";", 2), "GPL-2.0-or-later"))
+
+
+def test_wrapped_and_commented_licenses(spark):
+    import textwrap
+
+    rows, want = [], []
+    for notice, name in NOTICES:
+        for width in (50, 72, 80):
+            for first, leader, last in (("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("", ";; ", ""), ("", "REM ", ""), ("<!--\n", "   ", "\n-->")):
+                for end in ("\n", "\r\n"):
+                    lines = ["Copyright (c) 2020 Someone"] + [y for x in notice.split("\n") for y in textwrap.wrap(x, width) or [""]]
+                    rows.append((len(rows), first + end.join(leader + x for x in lines) + last + end + "int main() {}"))
+                    want.append([name])
+    got = license_rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == want
+    # A blank line still ends a sentence, and so does a full stop.
+    apart = [(0, "Released under\n\nthe MIT License."), (1, "Released under. the MIT License."), (2, "Not released under\nthe MIT License."), (3, "Released under\nthe MIT License with more")]
+    assert all(r.licenses == [] for r in license_rules.scan(spark.createDataFrame(apart, "doc_id long, text string")).collect())
+
+
 # Toxicity
 
 

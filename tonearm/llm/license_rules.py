@@ -64,10 +64,34 @@ RULES = (
 )
 
 
+# Ends of a sentence, and ends of a line or of a part before ``;``: a sentence may go on over these.
+_HARD, _SOFT = "\r", "\n"
+# Comment leaders that are letters; signs are no part of a sentence anyway.
+_LEADER = "(?:(?:rem|dnl|c) )?"
+
+
+def stretches(text: Column) -> Column:
+    """A text's words in lower case, one space apart, with _SOFT and _HARD where sentences may or must end.
+
+    Sentences end at .!? before white space and at lines without letters or digits. They may end at a
+    line's end and at ``;`` before white space.
+    """
+    lines = F.regexp_replace(F.translate(text, "\r", " "), r"\n[^A-Za-z0-9\n]+", "\n")
+    ended = F.regexp_replace(F.regexp_replace(lines, r"\n\n+", _HARD), r"[.!?][ \t\n\r]+", _HARD)
+    parted = F.regexp_replace(ended, r";[ \t\n]+", _SOFT)
+    words = F.lower(F.regexp_replace(parted, r"[^A-Za-z0-9\n\r]+", " "))
+    return F.concat(F.lit(_HARD), F.regexp_replace(words, r"^ | $| ?([\n\r]) ?", "$1"), F.lit(_HARD))
+
+
 def sentences(text: Column) -> Column:
-    """Sentences of a text, normalised: they end at a line's end, and at .!?; before white space."""
-    parts = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    return F.transform(parts, lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+    """The known sentences of a text in order, normalised; of those that start at one place the longest.
+
+    A sentence fills a stretch from one end to another, over any number of line ends between.
+    """
+    gap = f"(?: |{_SOFT}{_LEADER})"
+    known = "|".join(gap.join(s.split(" ")) for s in sorted(SENTENCES, key=len, reverse=True))
+    pattern = f"(?<=[{_SOFT}{_HARD}]){_LEADER}({known})(?=[{_SOFT}{_HARD}])"
+    return F.transform(F.regexp_extract_all(stretches(text), F.lit(pattern), F.lit(1)), lambda s: F.regexp_replace(s, _SOFT + _LEADER, " "))
 
 
 def _sequence(identifiers: tuple[str, ...]) -> str:
@@ -77,15 +101,15 @@ def _sequence(identifiers: tuple[str, ...]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids and licenses of every whole text of ``docs``, both as arrays in the order of text.
 
-    ``sentence_ids`` are the identifiers of the sentences that are known; unknown ones don't part a
-    sequence. ``licenses`` are the distinct licences whose rules match stretches of it; a sentence is
+    ``sentence_ids`` are the identifiers of the sentences that are known, on one line or wrapped over several, in
+    comments too; unknown ones don't part a sequence. ``licenses`` are the distinct licences whose rules match stretches of it; a sentence is
     used by one rule at most, longer rules first.
 
     Null and empty texts have empty arrays. Very long texts are read whole. Repeated rows stay; a null doc_id
     stays null. Other columns are not looked at, and an empty table gives no rows.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    found = F.filter(F.transform(F.filter(sentences(F.coalesce("text", F.lit(""))), lambda s: s.isin(*SENTENCES)), lambda s: known[s]), lambda x: x.isNotNull())
+    found = F.transform(sentences(F.coalesce("text", F.lit(""))), lambda s: known[s])
     rows = docs.select("doc_id", found.alias("sentence_ids"))
     spelt = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
     matched = reduce(lambda text, rule: F.replace(text, F.lit(_sequence(rule[1])), F.lit(f"<={rule[0]}>")), RULES, spelt)
