@@ -383,6 +383,29 @@ def test_model_sums_to_one():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_contexts_reach_the_word(spark):
+    """Words of one class that differ in what stands before them."""
+    pick = random.Random(5)
+    pairs = list(range(400)) * 6
+    pick.shuffle(pairs)
+    rows = [(n, " ".join(f"k{i}aa v{i}zz" for i in pairs[n * 8 : n * 8 + 8])) for n in range(300)]
+    rows += [(1000 + i, f"k{i}aa v{i}zz") for i in range(40)] + [(2000 + i, f"k{i}aa v{i + 1}zz") for i in range(40)] + [(3000, "k1aa unseenzz")]
+    got = {r.doc_id: r.score for r in maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert all(got[1000 + i] > got[2000 + i] + 1 for i in range(40))
+    assert all(math.isfinite(x) and x < 0 for x in got.values())
+
+
+def test_shares_of_a_context_sum_up():
+    found, cuts = maxent_lm.tokens(*spans.utf8(pa.array(["the cat sat on the mat", "the cat ran", "a dog sat on a cat", "the cat sat"])))
+    keys, counts = np.unique(maxent_lm.ngrams(found, cuts), return_counts=True)
+    seen, given = maxent_lm.shares(counts, *maxent_lm.totals(keys, counts))
+    heads = keys >> np.uint64(24)
+    for head in np.unique(heads):
+        own = heads == head
+        assert seen[own].sum() == pytest.approx(given[own][0]) and 0 <= given[own][0] < 1 and len(set(given[own])) == 1
+    assert given.max() > 0
+
+
 # Pipeline
 
 

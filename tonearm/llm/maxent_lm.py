@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,12 @@ TEMPLATES = 3
 ROUNDS = 2
 RATE = 0.15
 STEP_TOKENS = 1 << 15
+NGRAM_BUCKETS = 3  # buckets of n-grams for each bucket of words
+KINDS = (slice(0, 2), slice(2, 3))  # n-grams counted at a time
+DOUBT = 2  # tokens that a context needs to count as much as the shorter one
 _LOW = np.uint64(SHAPES - 1)
+# An n-gram's key: 40 bits of its context, 23 of its token, and one that says whether it is learnt from.
+_TAIL, _LEARNT = np.uint64((1 << 24) - 1), np.uint64(1)
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 # The end of a text, and what stands before its start.
 END = np.uint64(0xE0D0_0000_0000_0000)
@@ -114,6 +120,120 @@ def _count(table: pa.Table) -> pa.Table:
 _COUNTED = "chunk long, bucket int, counts binary, wide boolean, shape_tokens array<long>, shape_words array<long>, top_words array<long>, top_counts array<long>"
 
 
+def _before(found: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before every token, and the second before."""
+    place = np.arange(len(found)) - np.repeat(cuts[:-1], np.diff(cuts))
+    one, two = np.full(len(found), BEFORE), np.full(len(found), BEFORE)
+    one[1:] = np.where(place[1:] >= 1, found[:-1], BEFORE)
+    two[2:] = np.where(place[2:] >= 2, found[:-2], BEFORE)
+    return one, two
+
+
+def ngrams(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Keys of every token with its contexts, shorter ones first: the second token before alone, the one before, both."""
+    one, two = _before(found, cuts)
+    tail = spans.mix(found * _MIX[3]) & _TAIL & ~_LEARNT
+    heads = (spans.mix(two * _MIX[2]), spans.mix(one * _MIX[0]), spans.mix(one * _MIX[1] + spans.mix(two)))
+    return np.stack([spans.mix(h + np.uint64(t)) & ~_TAIL | tail for t, h in enumerate(heads)])
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The values' size in bytes, then their bytes, all first ones first, compressed."""
+    return values.nbytes.to_bytes(8, "little") + pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), "lz4", asbytes=True)
+
+
+def _values(planes, kind: str) -> np.ndarray:
+    packed, wide = pa.py_buffer(planes), np.dtype(kind).itemsize
+    size = int.from_bytes(packed.slice(0, 8).to_pybytes(), "little")
+    raw = np.frombuffer(pa.decompress(packed.slice(8), size, "lz4"), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, -1).T).view(kind).ravel()
+
+
+def _ngram_requests(buckets: int, first_bucket: int, kinds: slice):
+    """Distinct n-grams of some kinds of a group of documents and how often its training documents have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        train = table.column("train").to_numpy(zero_copy_only=False)
+        parts = []
+        for low, found, cuts in _of(table.column("text")):
+            used = np.repeat(train[low : low + len(cuts) - 1], np.diff(cuts)).astype(np.uint64)
+            parts.append((ngrams(found, cuts)[kinds] | used).ravel())
+        keys = np.concatenate(parts)
+        del parts
+        keys.sort()
+        first = _starts(keys & ~_LEARNT)
+        counts = np.add.reduceat((keys & _LEARNT).astype("<u4"), first, dtype="<u4")
+        keys = keys[first] & ~_LEARNT
+        at = _buckets(keys, buckets).tolist()
+        chunk = table.column("chunk")[0].as_py()
+        return pa.table({
+            "bucket": pa.array(range(first_bucket, first_bucket + buckets), pa.int32()), "chunk": pa.array([chunk] * buckets, pa.int64()),
+            "keys": pa.array([_planes(keys[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+            "counts": pa.array([_planes(counts[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+        })
+
+    return run
+
+
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending distinct n-grams, how many tokens its context has, and how many in n-grams seen once."""
+    first = _starts(keys & ~_TAIL)
+    if not len(first):
+        return counts, counts
+    size = np.diff(np.append(first, len(keys)))
+    return np.repeat(np.add.reduceat(counts, first), size), np.repeat(np.add.reduceat((counts == 1).astype(np.int64), first), size)
+
+
+def shares(counts: np.ndarray, n: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each n-gram gets from its context, and what all of that context get together.
+
+    A context of n tokens, of which some are in n-grams seen once, gives out (n - once) / (n + DOUBT) by
+    relative frequency; a shorter context gives out the rest.
+    """
+    given = (n - once) / (n + DOUBT)
+    return given * counts / np.maximum(n, 1), given
+
+
+def _ngram_count(table: pa.Table) -> pa.Table:
+    """Counts over the corpus for every request of a bucket; a context's totals stand at its first n-gram, one up, then zeros."""
+    keys = [_values(x, "<u8") for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([_values(x, "<u4") for x in table.column("counts").to_pylist()])
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    n, once = totals(distinct, total)
+    kind = "<u8" if n.max(initial=0) >> 31 else "<u4"
+    out, at = [[], [], []], 0
+    for own in keys:
+        place = which[at : at + len(own)]
+        at += len(own)
+        first = _starts(own & ~_TAIL)
+        out[0].append(_planes(total[place].astype(kind)))
+        for column, values in zip(out[1:], (n, once)):
+            spelt = np.zeros(len(own), kind)
+            spelt[first] = values[place[first]] + 1
+            column.append(_planes(spelt))
+    return pa.table({
+        "chunk": table.column("chunk"), "bucket": table.column("bucket"), "wide": pa.array([kind == "<u8"] * len(keys), pa.bool_()),
+        **{name: pa.array(x, pa.binary()) for name, x in zip(("seen", "n", "once"), out)},
+    })
+
+
+def _shares_of(known: pa.Table, buckets: range) -> tuple[np.ndarray, np.ndarray]:
+    """Shares from the counts of a group's buckets, in order of bucket; one bucket at a time to save memory."""
+    place = {b: i for i, b in enumerate(known.column("bucket").to_pylist())}
+    parts = []
+    for i in (place[b] for b in buckets if b in place):
+        kind = "<u8" if known.column("wide")[i].as_py() else "<u4"
+        seen, n, once = (_values(known.column(c)[i].as_buffer(), kind) for c in ("seen", "n", "once"))
+        first = np.maximum.accumulate(np.where(n > 0, np.arange(len(n)), 0))
+        parts.append([x.astype(np.float32) for x in shares(seen, n[first].astype(np.int64) - 1, once[first].astype(np.int64) - 1)])
+    return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.float32)]) for k in range(2))
+
+
 class Corpus:
     """What scoring needs to know of the training tokens: bounded in size, whatever the corpus."""
 
@@ -143,10 +263,7 @@ class Corpus:
 
 def contexts(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Slots of the features of every token: the token before, the two before, and the second before alone."""
-    place = np.arange(len(found)) - np.repeat(cuts[:-1], np.diff(cuts))
-    one, two = np.full(len(found), BEFORE), np.full(len(found), BEFORE)
-    one[1:] = np.where(place[1:] >= 1, found[:-1], BEFORE)
-    two[2:] = np.where(place[2:] >= 2, found[:-2], BEFORE)
+    one, two = _before(found, cuts)
     slots = np.uint64(SLOTS - 1)
     keys = (one * _MIX[0], one * _MIX[1] + spans.mix(two), two * _MIX[2])
     return np.stack([(spans.mix(k) & slots).astype(np.int64) + t * SLOTS for t, k in enumerate(keys)])
@@ -218,11 +335,20 @@ def _scores(buckets: int, shared):
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         weights, corpus = shared.value
+        each = NGRAM_BUCKETS * buckets
+        shares_by_kind = [_shares_of(answers, range(buckets + k * each, buckets + (k + 1) * each)) for k in range(len(KINDS))]
+        answers = answers.select(["bucket", "counts", "wide"]).filter(pc.is_valid(answers.column("counts")))
         order = np.argsort(answers.column("bucket").to_numpy())
+        pa.default_memory_pool().release_unused()
         blobs, wide = answers.column("counts").to_pylist(), answers.column("wide").to_pylist()
         counts = np.concatenate([np.frombuffer(blobs[i], "<u8" if wide[i] else "<u4") for i in order] or [np.zeros(0)]).astype(np.float64)
         groups = list(_of(texts.column("text")))
         words = np.unique(np.concatenate([np.unique(found) for _, found, _ in groups])) if groups else np.zeros(0, np.uint64)
+        keys = []
+        for kinds in KINDS:
+            own = np.concatenate([ngrams(found, cuts)[kinds].ravel() for _, found, cuts in groups] or [np.zeros(0, np.uint64)])
+            own.sort()
+            keys.append(own[_starts(own)])
         base_of = np.log10((counts + 1) / (corpus.n + corpus.v + 1))
         shape = (words & _LOW).astype(np.int64)
         within = np.log10((counts + 1) / (corpus.rest_tokens + corpus.rest_words + 1)[shape])
@@ -236,6 +362,13 @@ def _scores(buckets: int, shared):
                 part = slice(low, low + STEP_TOKENS)
                 values = _activations(weights, features[:, part])
                 model[part] += values[np.arange(len(values)), target[part]] / np.log(10)
+            chance = 10.0**model
+            found_pairs = ngrams(found, cuts)
+            for kinds, asked, (seen, given) in zip(KINDS, keys, shares_by_kind):
+                for row in found_pairs[kinds]:
+                    own = np.searchsorted(asked, row)
+                    chance = seen[own] + (1 - given[own].astype(np.float64)) * chance
+            model = np.log10(chance)
             lengths = np.diff(cuts)
             for place, values in enumerate((lengths, np.add.reduceat((counts[at] > 0).astype(np.int64), cuts[:-1]),
                                             np.add.reduceat(base_of[at], cuts[:-1]), np.add.reduceat(model, cuts[:-1]))):
@@ -250,12 +383,26 @@ def _scores(buckets: int, shared):
     return run
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """materialize(), and the shuffle files behind the stored table go at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(key, before)
+
+
 def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     Learns from the rows where ``held_out`` is false. Tokens are words parted by ASCII white space, A-Z
     lower-cased, and one end for each text. ``base_score`` is the log10 probability under add-one
-    unigrams. ``score`` is that of the model p(class | context) p(token | class): the class factor is
+    unigrams. ``score`` is that of all n-grams of the training texts (the second token before, the one before,
+    both, each with the token): every context gives out a part of the probability by its counts, and
+    what it leaves goes to the next shorter one (``shares``). The last one leaves its rest to
+    the model p(class | context) p(token | class): the class factor is
     a softmax over hashed features (the token before, the two before, the second before alone), the
     token factor has token features only, whose maximum-entropy solution is the add-one share within
     the class; unseen tokens have one share of each class. The ``FREQUENT`` most common tokens are classes of
@@ -263,7 +410,8 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
 
     Counts cover all training tokens. Documents are dealt into groups of bounded size; a group asks for the
     counts of its distinct tokens, bucket by bucket, and only the class totals and the most common
-    tokens reach the driver. Gradients are summed in a tree.
+    tokens reach the driver. Gradients are summed in a tree. The n-grams are counted in buckets of their own, so that
+    no task holds the table of all; they are compared by 40 bits of a hash of the context and 23 of the token.
 
     Null and empty texts are the end alone. Very long texts are scored whole. Repeated rows are scored and counted
     each. A null doc_id stays null; a null ``held_out`` counts as false. Without training
@@ -278,7 +426,7 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
     rows = docs.select(ids.alias("id"), F.col("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.select(F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.octet_length("text")), F.lit(chunks)).alias("chunk"), "id", "text", "held_out", (~F.col("held_out")).alias("train"))
     asked = rows.select("chunk", "text", "train").groupBy("chunk").applyInArrow(_requests(buckets), "bucket int, chunk long, words binary, counts binary")
-    counted = materialize(asked.groupBy("bucket").applyInArrow(_count, _COUNTED))
+    counted = _stored(asked.groupBy("bucket").applyInArrow(_count, _COUNTED))
     totals = counted.where("chunk is null")
     shapes = totals.select(F.posexplode(F.arrays_zip("shape_tokens", "shape_words")).alias("shape", "x")).groupBy("shape").agg(
         F.sum("x.shape_tokens").alias("n"), F.sum("x.shape_words").alias("v")).collect()
@@ -289,6 +437,11 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
     corpus = Corpus(tokens_of, words_of, [(r.top_words, r.top_counts) for r in tops])
     weights = _train(rows, corpus, rounds)
     shared = spark.sparkContext.broadcast((weights, corpus))
-    answers = counted.where("chunk is not null").select("chunk", "bucket", "counts", "wide")
+    pairs = []
+    for number, kinds in enumerate(KINDS):
+        each = NGRAM_BUCKETS * buckets
+        wanted = rows.select("chunk", "text", "train").groupBy("chunk").applyInArrow(_ngram_requests(each, buckets + number * each, kinds), "bucket int, chunk long, keys binary, counts binary")
+        pairs.append(_stored(wanted.groupBy("bucket").applyInArrow(_ngram_count, "chunk long, bucket int, wide boolean, seen binary, n binary, once binary")))
+    answers = counted.where("chunk is not null").select("chunk", "bucket", "counts", "wide").unionByName(pairs[0].unionByName(pairs[1]), allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.select("chunk", "id", "text", "held_out").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(buckets, shared), schema)
