@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import bpe_automaton, factor_machine, license_rules, maxent_lm, order_minhash, packing, sign_hash, string_kernel, tiled_topk, url_markov
+from tonearm.llm import bpe_automaton, exact_dedup, factor_machine, license_rules, maxent_lm, merkle_manifest, order_minhash, packing, sign_hash, spans, string_kernel, tiled_topk, url_markov
+from tonearm.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +108,26 @@ def vector_near_duplicates(spark, folder):
 def packed_sequences(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_exact_dedup", """
+    WITH d AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    ), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+    SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""")
+def exact_copies(spark, folder):
+    found = exact_dedup.deduplicate(spark, f"{folder}/documents.parquet")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
+
+
+@query("op13_merkle_manifest", merkle_manifest.manifest_sql())
+def dataset_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    values = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(remainder(5) == 0, merkle_manifest.leaf(*values, spans.ascii_lower(F.col("text"))))
+    leaves = materialize(docs.select("doc_id", "source", merkle_manifest.leaf(*values, F.col("text")).alias("leaf"), tampered.alias("tampered")))
+    proved = merkle_manifest.manifest(leaves, "source", ["doc_id"])
+    folded = F.aggregate("proof", F.coalesce("tampered", "leaf"), lambda d, step: F.sha2(F.concat(step["left"], d, step["right"]), 256))
+    siblings = F.array_join(F.transform("proof", lambda step: F.concat(step["left"], step["right"])), "")
+    checked = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))

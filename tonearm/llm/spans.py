@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Bytes of text that one pass of the array code takes; bounds the memory of a task.
 SLICE_BYTES = 4 << 20
@@ -29,6 +32,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def ascii_lower(text: Column) -> Column:
+    """A text with A-Z, and nothing else, in lower case."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     values = (values ^ (values >> np.uint64(31))) * _SPREAD
