@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from tonearm.llm import hot_keys, spans
 from tonearm.session import materialize, scratch
 
-# State in RocksDB with one bounded cache for all stores of an executor, uploading changes only.
+# State in RocksDB with one bounded cache for all stores of an executor, uploading changes only. Stores don't reserve
+# disk ahead (4 MB each otherwise, whatever they hold).
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 # Bits of the map of digests that were hit: 8 MB at most, whatever the number of digests. It only keeps texts that
 # nobody shares out of the shuffle; beyond some tens of millions of hits it lets more of them through.
