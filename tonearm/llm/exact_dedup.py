@@ -113,8 +113,11 @@ def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _by_bytes(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Groups (digest, words, keeper, size) of equal whole texts among those whose digest is one of ``keys``."""
-    chosen = _maybe(texts, keys).join(keys.select("digest"), "digest", "left_semi")
+    """Groups (digest, words, keeper, size) of equal whole texts among those whose digest is one of ``keys``.
+
+    An inner join with the distinct keys, as Spark would move a semi join in front of the bitmap and shuffle all texts.
+    """
+    chosen = _maybe(texts, keys).join(keys.select("digest"), "digest")
     return chosen.groupBy("digest", "words").agg(F.max(F.struct("id", *LOCATOR)).alias("keeper"), F.count(F.lit(1)).alias("size"))
 
 
