@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import bpe_automaton, exact_dedup, factor_machine, license_rules, maxent_lm, merkle_manifest, order_minhash, packing, sign_hash, spans, string_kernel, tiled_topk, url_markov
+from tonearm.llm import bpe_automaton, conversation_repair, exact_dedup, factor_machine, license_rules, maxent_lm, merkle_manifest, order_minhash, packing, sign_hash, spans, string_kernel, tiled_topk, url_markov
 from tonearm.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,28 @@ def packed_sequences(spark, folder):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault in about a quarter of the rows, by the crc32 of conv_id and turn; nulls are one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")])
+    filled = conversations.select(
+        "conv_id", "turn", *[F.coalesce(F.col(name), F.lit(" ")).alias(name) for name in ("role", "text")],
+        (F.crc32(key.cast("binary")) % 20).alias("_fault")).where("_fault != 0")
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("_fault") == 3, 2).otherwise(1)))
+    return filled.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+@query("op11_conversation_repair")
+def repaired_conversations(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    found = conversation_repair.repair(damaged(conversations)).withColumnRenamed("conv_id", "_id")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    counts = {name: F.coalesce(name, F.lit(0)).cast("long") for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    empty = {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return every.withColumns(counts | empty)
+
+
 @query("op12_exact_dedup", """
     WITH d AS (
         SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
