@@ -1,13 +1,12 @@
 """Readers and writers on small folders."""
 
-import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.sources import files, sinks
+from tonearm.sources import buckets, files, sinks
 
 
 def write(folder, name, content):
@@ -97,21 +96,25 @@ def test_fingerprint_follows_content_changes(spark, tmp_path):
 def test_incomplete_version_is_ignored(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("1", "a", 0)], "song_id string, v string, place int")
-    first = sinks.merge_csv(path, df, "place")
-    write(path, "version-000002/part-0.csv", "song_id,v\n9,z\n")
-    assert sinks.latest_version(spark, path).endswith("version-000001") and first.endswith("version-000001")
-    second = sinks.merge_csv(path, df.withColumn("v", F.lit("b")), "place")
-    assert second.endswith("version-000003")
-    assert [(r["song_id"], r["v"]) for r in files.read_csv(spark, second).collect()] == [("1", "b")]
+    sinks.merge_csv(path, df, "place")
+    write(path, "buckets-000002/table_bucket=0/part-0.csv", "song_id,v\n9,z\n")
+    assert buckets.manifest(spark, path).version == 1
+    assert [(r["song_id"], r["v"]) for r in sinks.read_merged(spark, path).collect()] == [("1", "a")]
+    sinks.merge_csv(path, df.withColumn("v", F.lit("b")), "place")
+    assert buckets.manifest(spark, path).version == 3
+    assert [(r["song_id"], r["v"]) for r in sinks.read_merged(spark, path).collect()] == [("1", "b")]
 
 
 def test_first_tag_table_keeps_duplicates_but_semantics_do_not(spark, tmp_path):
     df = spark.createDataFrame([("1", "a", 0), ("1", "b", 1)], "song_id string, v string, place int")
     tag = sinks.merge_csv(str(tmp_path / "tags"), df, "place")
     semantic = sinks.merge_csv(str(tmp_path / "semantics"), df, "place", semantics_writer=True)
-    assert files.read_csv(spark, tag).count() == 2
-    assert [r["v"] for r in files.read_csv(spark, semantic).collect()] == ["b"]
-    assert json.dumps(files.read_csv(spark, semantic).columns[:2]) == '["song_id", "v"]'
+    assert sinks.read_merged(spark, tag).count() == 2
+    assert [r["v"] for r in sinks.read_merged(spark, semantic).collect()] == ["b"]
+    assert sinks.read_merged(spark, semantic).columns == ["song_id", "v"]
+    # The merge after the first one reduces all keys, also those that it doesn't bring.
+    sinks.merge_csv(tag, df.withColumn("song_id", F.lit("2")).limit(1), "place")
+    assert sorted((r["song_id"], r["v"]) for r in sinks.read_merged(spark, tag).collect()) == [("1", "b"), ("2", "a")]
 
 
 @pytest.mark.parametrize("later_is_larger", [True, False])
@@ -134,9 +137,7 @@ def test_the_later_part_of_a_stored_table_wins(spark, tmp_path, kind, later_is_l
         crc.rename(crc.with_name(f".part-{number:05d}{part.suffix}.crc"))
     new = spark.createDataFrame([("9999", "new", 0)], "song_id string, style_tags string, at int")
     merge = {"csv": sinks.merge_csv, "json": sinks.merge_jsonl, "parquet": sinks.merge_parquet}[kind]
-    written = merge(path, new, "at")
-    read = {"csv": files.read_csv, "json": files.read_jsonl, "parquet": files.read_parquet}[kind]
-    got = {r["song_id"]: r["style_tags"] for r in read(spark, written).collect()}
+    got = {r["song_id"]: r["style_tags"] for r in sinks.read_merged(spark, merge(path, new, "at")).collect()}
     assert {got[str(i)] for i in range(small)} == {"part 1"} and got["9999"] == "new"
 
 

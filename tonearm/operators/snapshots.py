@@ -287,9 +287,12 @@ def _with_members(json_object: Column, **members: Column) -> Column:
     return F.concat(F.substr(json_object, F.lit(1), F.length(json_object) - 1), *added, F.lit("}"))
 
 
+RESULT_KEY = ("song_id", "endpoint", "params_hash")
+
+
 def upsert_results(existing: DataFrame, incoming: DataFrame, order: str = "collected_at") -> DataFrame:
     """Insert, or replace on (song_id, endpoint, params_hash); the latest collection wins."""
-    keys = ["song_id", "endpoint", "params_hash"]
+    keys = list(RESULT_KEY)
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     values = [name for name in existing.columns if name not in keys]
     latest = F.max_by(F.struct(*values), F.struct(order, "_new"))

@@ -8,7 +8,7 @@ from tonearm import session
 from tonearm.operators import features
 from tonearm.queries import documents, model
 from tonearm.queries.registry import query, table
-from tonearm.sources import files, sinks
+from tonearm.sources import buckets, files, sinks
 from tonearm.streaming import history as streams
 
 SONG_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS song_id, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part"
@@ -42,7 +42,7 @@ def csv_round_trip(spark, folder):
     path = session.scratch(spark)
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("song_id"), "text", "lang", F.col("doc_id").alias("place"))
     stored = sinks.merge_csv(path, docs, "place")
-    return files.read_csv(spark, stored).select("song_id", "text", "lang", F.length("text").cast("long").alias("n"))
+    return sinks.read_merged(spark, stored).select("song_id", "text", "lang", F.length("text").cast("long").alias("n"))
 
 
 @query("csv_union", """
@@ -66,7 +66,7 @@ def merge_sink(spark, folder):
     path = session.scratch(spark)
     sinks.merge_csv(path, _part(spark, folder), "place")
     stored = sinks.merge_csv(path, _update(spark, folder), "place")
-    return _blank_filled(files.read_csv(spark, stored), "song_id", "name", "brand", "size", "kind")
+    return _blank_filled(sinks.read_merged(spark, stored), "song_id", "name", "brand", "size", "kind")
 
 
 @query("jsonl_round_trip", MERGED_SQL)
@@ -74,7 +74,7 @@ def jsonl_round_trip(spark, folder):
     path = session.scratch(spark)
     sinks.merge_jsonl(path, _part(spark, folder), "place", semantics_writer=True)
     stored = sinks.merge_jsonl(path, _update(spark, folder), "place", semantics_writer=True)
-    return _blank_filled(files.read_jsonl(spark, stored), "song_id", "name", "brand", "size", "kind")
+    return _blank_filled(sinks.read_merged(spark, stored), "song_id", "name", "brand", "size", "kind")
 
 
 @query("parquet_round_trip", MERGED_SQL)
@@ -82,7 +82,7 @@ def parquet_round_trip(spark, folder):
     path = session.scratch(spark)
     sinks.merge_parquet(path, _part(spark, folder), "place")
     stored = sinks.merge_parquet(path, _update(spark, folder), "place")
-    return _blank_filled(files.read_parquet(spark, stored), "song_id", "name", "brand", "size", "kind")
+    return _blank_filled(sinks.read_merged(spark, stored), "song_id", "name", "brand", "size", "kind")
 
 
 @query("lyric_files", """
@@ -189,7 +189,7 @@ def last_n_stream(spark, folder):
     log = _log(spark, folder)
     path = session.scratch(spark)
     streams.keep_last_n(_as_stream(spark, log), path, session.scratch(spark), 10, ["event_id"], ["user_id"]).awaitTermination()
-    return spark.read.parquet(sinks.latest_version(spark, path)).select("event_id", "user_id", "song_id")
+    return buckets.read(spark, path).select("event_id", "user_id", "song_id")
 
 
 @query("history_stream", "WITH " + HISTORY_LOG_SQL + """
@@ -210,6 +210,6 @@ def history_stream(spark, folder):
 def upsert_stream(spark, folder):
     path = session.scratch(spark)
     streams.upsert_stream(_as_stream(spark, documents._results(spark, folder)), path, session.scratch(spark)).awaitTermination()
-    return spark.read.parquet(sinks.latest_version(spark, path)).select("song_id", "endpoint", "params_hash", "response_json", "collected_at")
+    return buckets.read(spark, path).select("song_id", "endpoint", "params_hash", "response_json", "collected_at")
 
 

@@ -7,6 +7,7 @@ leaves the last good version in place.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tonearm import vocab
 from tonearm.functions import text
 from tonearm.operators import features, merge, snapshots
-from tonearm.sources import files
+from tonearm.sources import buckets, files
 
 _PREFIX = "version-"
 
@@ -62,68 +63,122 @@ def prune(spark: SparkSession, path: str, keep: int = 2) -> None:
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
 
+# Where a row of a merged table stands: the version that brought its key last, and the place in that.
+PLACE = ("row_version", "row_place")
 
-def _merge(
-    path: str, df: DataFrame, read: Callable[[SparkSession, str], DataFrame], order: str,
-    trim_values: bool, keep_blank_columns: bool, dedup_first: bool,
-) -> DataFrame:
-    spark = df.sparkSession
-    added = normalize_key_only(df.drop("row_order", "source_csv")).withColumns(
-        {"file_order": F.lit(1), "row_order": F.struct(
-            F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.col(order).cast("long").alias("at"))}
-    )
-    if order not in ("song_id",) and order in added.columns:
-        added = added.drop(order)
-    stored = latest_version(spark, path)
-    if stored is None:
-        if not dedup_first:
-            return added.orderBy("row_order").drop("file_order", "row_order")
-        both = added
-    else:
-        existing = normalize_key_only(read(spark, stored).drop("source_csv")).withColumn("file_order", F.lit(0))
-        both = existing.unionByName(added.select(*[_text(added, name) for name in added.columns]), allowMissingColumns=True)
-    merged = merge.latest_nonblank(both, trim_values=trim_values, keep_blank_columns=keep_blank_columns)
-    return merged.orderBy("last_order").drop("last_order")
 
+def normalize_key_only(df: DataFrame, key: str = "song_id") -> DataFrame:
+    return df.toDF(*[name.strip() for name in df.columns]).withColumn(key, text.safe_text(key)).where(F.col(key) != "")
 
-def _text(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in ("file_order", "row_order") else F.col(name).cast("string").alias(name)
 
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(name) if name in PLACE else F.col(name).cast("string").alias(name) for name in df.columns])
 
-def normalize_key_only(df: DataFrame, key: str = "song_id") -> DataFrame:
-    return df.toDF(*[name.strip() for name in df.columns]).withColumn(key, text.safe_text(key)).where(F.col(key) != "")
 
+def _digits(number: Column) -> Column:
+    """A number as a text that compares as the number does."""
+    return F.lpad((number.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
 
-def merge_csv(path: str, df: DataFrame, order: str, semantics_writer: bool = False) -> str:
-    """Append rows to a CSV table, then keep the latest non-blank value per key and column.
+
+def _plain(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """Rows of a plain table, a version folder without a manifest, in the order of its parts."""
+    stored = latest_version(spark, path)
+    if stored is None:
+        return None
+    read = {"csv": files.read_csv, "json": partial(files.read_jsonl, ordered=True), "parquet": partial(files.read_parquet, ordered=True)}[kind]
+    rows = normalize_key_only(read(spark, stored).drop("source_csv"))
+    at = F.concat_ws("/", "row_order.file", _digits(F.col("row_order.block")), _digits(F.col("row_order.at")))
+    return _texts(rows.withColumns({"row_version": F.lit(0).cast("long"), "row_place": at}).drop("row_order"))
+
+
+def _merge(
+    path: str, df: DataFrame, kind: str, order: str, trim_values: bool, keep_blank_columns: bool, dedup_first: bool, n: int,
+) -> str:
+    """Merge rows into the bucketed table at ``path``: only buckets of the keys that come are read and written.
+
+    A plain table found there is taken over with the first merge. A first table that is stored as it came is reduced
+    with the merge after it.
+    """
+    spark = df.sparkSession
+    known = buckets.manifest(spark, path)
+    plain = _plain(spark, path, kind) if known is None else None
+    known = known or buckets.Manifest(kind, ("song_id",), n, notes={"columns": ["song_id"], "filled": {}, "raw": []})
+    added = normalize_key_only(df.drop("row_order", "source_csv")).withColumns(
+        {"row_version": F.lit(known.version + 1).cast("long"), "row_place": _digits(F.col(order).cast("long"))})
+    if order != "song_id" and order in added.columns:
+        added = added.drop(order)
+    added = _texts(added)
+
+    whole = range(known.buckets) if plain is not None else ()
+    changed = sorted({*buckets.touched(added, known), *known.notes["raw"], *whole})
+    stored = buckets.read(spark, path, known, changed) if plain is None else plain
+    rows = added if stored is None else stored.unionByName(added, allowMissingColumns=True)
+    as_it_came = known.version == 0 and plain is None and not dedup_first
+    if not as_it_came:
+        reduced = merge.latest_nonblank(rows, order=PLACE, trim_values=trim_values)
+        rows = reduced.select(*[name for name in reduced.columns if name != "last_order"], "last_order.*")
+    names = [name for name in rows.columns if name not in PLACE]
+    if kind == "json":
+        rows = rows.select(*[text.safe_raw(name).alias(name) for name in names], *PLACE)
+
+    def note(written: DataFrame | None) -> dict:
+        columns = [*known.notes["columns"], *(name for name in names if name not in known.notes["columns"])]
+        filled = {b: found for b, found in known.notes["filled"].items() if int(b) not in set(changed)}
+        if written is not None:
+            filled |= _filled(written, known, names)
+        used = set().union(*filled.values())
+        every = keep_blank_columns or as_it_came
+        return {"columns": columns, "shown": [name for name in columns if every or name == "song_id" or name in used],
+                "filled": filled, "raw": changed if as_it_came else []}
+
+    buckets.rewrite(rows, path, known, changed, note)
+    return path
+
+
+def _filled(rows: DataFrame, known: buckets.Manifest, names: Sequence[str]) -> dict[str, list[str]]:
+    """Of each bucket the columns with a value that isn't blank: one row a bucket comes back to the driver."""
+    place = buckets.bucket_of(known.key, known.buckets).alias("b")
+    found = rows.groupBy(place).agg(F.array_compact(F.array(*[F.when(F.max(~text.is_blank(name)), F.lit(name)) for name in names])).alias("names"))
+    return {str(row["b"]): list(row["names"]) for row in found.collect()}
+
+
+def read_merged(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """A table that merges made, without its places; ``ordered`` sorts rows by them."""
+    known = buckets.manifest(spark, path)
+    rows = buckets.read(spark, path, known)
+    shown = known.notes["shown"]
+    if rows is None:
+        return spark.createDataFrame([], ", ".join(f"`{name}` string" for name in shown))
+    if ordered:
+        rows = rows.orderBy(*PLACE)
+    return rows.select(*[F.col(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in shown])
+
+
+def export_merged(spark: SparkSession, path: str, target: str) -> str:
+    """Write a merged table as a plain one, in order, for readers that know nothing of buckets."""
+    kind = buckets.manifest(spark, path).kind
+    options = {"csv": CSV_OPTIONS, "json": {"ignoreNullFields": "false"}, "parquet": {}}[kind]
+    return write_version(read_merged(spark, path, ordered=True), target, kind, **options)
+
+
+def merge_csv(path: str, df: DataFrame, order: str, semantics_writer: bool = False, n: int = buckets.BUCKETS) -> str:
+    """Append rows to a CSV table, then keep the latest non-blank value per key and column; gives the table's path.
 
     The tag writer trims values, drops blank columns and writes a first table as it is; the
     semantics writers keep both and always reduce to one row per key. ``order`` is a numeric column
-    with the order of the new rows.
+    with the order of the new rows. ``n`` is the number of buckets of a new table. See ``read_merged``.
     """
-    merged = _merge(path, df, files.read_csv, order, not semantics_writer, semantics_writer, semantics_writer)
-    return write_version(merged, path, "csv", **CSV_OPTIONS)
-
+    return _merge(path, df, "csv", order, not semantics_writer, semantics_writer, semantics_writer, n)
 
-def _read_jsonl_ordered(spark: SparkSession, path: str) -> DataFrame:
-    return files.read_jsonl(spark, path, ordered=True)
 
-
-def merge_jsonl(path: str, df: DataFrame, order: str, semantics_writer: bool = False) -> str:
+def merge_jsonl(path: str, df: DataFrame, order: str, semantics_writer: bool = False, n: int = buckets.BUCKETS) -> str:
     """As ``merge_csv``, one JSON object per line; missing values are blank texts."""
-    merged = _merge(path, df, _read_jsonl_ordered, order, not semantics_writer, semantics_writer, semantics_writer)
-    filled = merged.select(*[text.safe_raw(name).alias(name) for name in merged.columns])
-    return write_version(filled, path, "json", ignoreNullFields="false")
+    return _merge(path, df, "json", order, not semantics_writer, semantics_writer, semantics_writer, n)
 
 
-def merge_parquet(path: str, df: DataFrame, order: str) -> str:
+def merge_parquet(path: str, df: DataFrame, order: str, n: int = buckets.BUCKETS) -> str:
     """As ``merge_csv`` for a Parquet table."""
-
-    def read(spark: SparkSession, stored: str) -> DataFrame:
-        df = files.read_parquet(spark, stored, ordered=True)
-        return df.select(*[_text(df, name) for name in df.columns])
-
-    return write_version(_merge(path, df, read, order, True, False, False), path, "parquet")
+    return _merge(path, df, "parquet", order, True, False, False, n)
 
 
 def write_flat_songs(documents: DataFrame, path: str, include_lyrics: bool = False, keep_unlicensed: bool = False) -> str:

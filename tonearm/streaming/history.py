@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tonearm import vocab
 from tonearm.operators import history, snapshots
-from tonearm.sources import sinks
+from tonearm.sources import buckets as tables
 
 
 def history_entries(events: DataFrame, songs: DataFrame, selection_writes_history: bool = True) -> DataFrame:
@@ -17,39 +17,49 @@ def history_entries(events: DataFrame, songs: DataFrame, selection_writes_histor
     return history.history_entry(history.recorded(events, selection_writes_history), songs)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    version = sinks.latest_version(spark, path)
-    return spark.read.parquet(version) if version else None
+# One pass over what is there; a continuous run takes {"processingTime": "10 seconds"} instead.
+ONCE = {"availableNow": True}
+
+
+def _folded(
+    stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], fold: Callable[[DataFrame | None, DataFrame], DataFrame],
+    buckets: int, trigger: Mapping[str, object],
+) -> StreamingQuery:
+    """Fold every batch into a bucketed table. A batch rewrites the buckets of its keys; one that comes again changes nothing."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        tables.merge(held, path, key, fold, buckets=buckets, batch=number)
+        held.unpersist()
+        tables.prune(batch.sparkSession, path)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def keep_last_n(
     events: DataFrame, path: str, checkpoint: str, n: int = vocab.HISTORY_SIZE,
     order: Sequence[str] = ("selected_at", "event_id"), by: Sequence[str] = ("user_id",),
+    buckets: int = tables.BUCKETS, trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
-    """Keep the last n entries per user. State is the stored table, at most n rows per user.
+    """Keep the last n entries per user in a bucketed table: at most n rows per user, spread by user.
 
-    A replayed batch changes nothing: entries are deduplicated by their order columns.
+    A batch reads and writes the buckets of its users. Entries with equal order columns are one entry.
     """
 
-    def fold(batch: DataFrame, _batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path)
+    def fold(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
         both = batch if stored is None else stored.unionByName(batch, allowMissingColumns=True)
-        unique = both.dropDuplicates([*by, *order])
-        sinks.write_version(history.last_n(unique, n, order, by), path, "parquet")
-        sinks.prune(batch.sparkSession, path)
+        return history.last_n(both.dropDuplicates([*by, *order]), n, order, by)
 
-    writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return _folded(events, path, checkpoint, by, fold, buckets, trigger)
 
 
-def upsert_stream(results: DataFrame, path: str, checkpoint: str, order: str = "collected_at") -> StreamingQuery:
-    """Keep the latest result per (song, endpoint, parameters). Replaying a batch changes nothing."""
+def upsert_stream(
+    results: DataFrame, path: str, checkpoint: str, order: str = "collected_at",
+    buckets: int = tables.BUCKETS, trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """Keep the latest result per (song, endpoint, parameters); a batch reads and writes the buckets of its songs' results."""
 
-    def fold(batch: DataFrame, _batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path)
-        existing = batch.limit(0) if stored is None else stored
-        sinks.write_version(snapshots.upsert_results(existing, batch, order), path, "parquet")
-        sinks.prune(batch.sparkSession, path)
+    def fold(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return snapshots.upsert_results(batch.limit(0) if stored is None else stored, batch, order)
 
-    writer = results.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return _folded(results, path, checkpoint, snapshots.RESULT_KEY, fold, buckets, trigger)
