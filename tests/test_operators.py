@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm import vocab
-from tonearm.operators import audio, features, filters, history, matching, merge, scoring, similarity, snapshots, tags
+from tonearm.operators import audio, features, filters, history, matching, merge, neighbors, scoring, similarity, snapshots, tags
 
 
 def test_dedup_prefers_complete_then_later(spark):
@@ -174,7 +174,7 @@ def test_nearest_neighbors_equal_brute_force_with_many_copies(spark):
     vectors["zero"] = [0.0] * 6
     df = spark.createDataFrame(list(vectors.items()), "song_id string, vector array<double>")
     got = {}
-    for r in similarity.nearest_neighbors(df, 4, pivots=7, block_rows=16).orderBy("song_id", "rank").collect():
+    for r in neighbors.nearest_neighbors(df, 4, pivots=7, block_rows=16).orderBy("song_id", "rank").collect():
         got.setdefault(r["song_id"], []).append((r["neighbor_id"], round(r["similarity"], 6)))
     want = brute_force_neighbors(vectors, 4)
     assert got.keys() == want.keys()
@@ -184,6 +184,36 @@ def test_nearest_neighbors_equal_brute_force_with_many_copies(spark):
             assert [o for o, _s in got[song]] == [o for o, _s in want[song]]
 
 
+@pytest.mark.parametrize("pivots, block_rows, size", [(3, 2, 200), (4, 1, 300), (64, 16, 250), (2, 1000, 90)])
+def test_nearest_neighbors_through_trees_of_one_and_two_levels(spark, pivots, block_rows, size):
+    rng = np.random.default_rng(size)
+    centers = rng.normal(size=(9, 5))
+    points = centers[rng.integers(0, 9, size)] + 0.05 * rng.normal(size=(size, 5))
+    vectors = {f"v{i:04d}": [float(x) for x in point] for i, point in enumerate(points)}
+    df = spark.createDataFrame(list(vectors.items()), "song_id string, vector array<double>")
+    got = {}
+    for r in neighbors.nearest_neighbors(df, 3, pivots=pivots, block_rows=block_rows).orderBy("song_id", "rank").collect():
+        got.setdefault(r["song_id"], []).append((r["neighbor_id"], round(r["similarity"], 6)))
+    want = brute_force_neighbors(vectors, 3)
+    assert got.keys() == want.keys()
+    for song in want:
+        assert [s for _o, s in got[song]] == pytest.approx([s for _o, s in want[song]], abs=1e-6)
+
+
+def test_visits_grow_clearly_below_quadratic_on_clustered_vectors(spark):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(400, 8))
+    counts = []
+    for size in (2000, 4000, 8000):
+        points = centers[rng.integers(0, size // 20, size)] + 0.02 * rng.normal(size=(size, 8))
+        df = spark.createDataFrame([(f"v{i:05d}", [float(x) for x in p]) for i, p in enumerate(points)], "vid string, v array<double>")
+        blocked, seen = neighbors.visits(df, size, neighbors._unit(points[:4]), 5, 4, 32)
+        assert blocked.groupBy("home").count().agg({"count": "max"}).first()[0] <= 32
+        counts.append(seen.count())
+    # Quadratic growth would be a factor of 4 each time.
+    assert counts[1] < 2.9 * counts[0] and counts[2] < 2.9 * counts[1], counts
+
+
 def test_vector_checks(spark):
     mixed = spark.createDataFrame([("1", [1.0]), ("2", [1.0, 2.0])], "song_id string, vector array<double>")
     with pytest.raises(ValueError):

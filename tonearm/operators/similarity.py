@@ -1,16 +1,14 @@
-"""Vectors: look-up, top-k search, exact nearest neighbours, clusters, affect."""
+"""Vectors: look-up, top-k search, lists of neighbours, clusters, affect."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tonearm import session, vocab
+from tonearm import vocab
 from tonearm.functions import arrays, numbers, text
 
 
@@ -85,145 +83,6 @@ def attach_similarity(df: DataFrame, results: DataFrame, key: str = "song_id") -
     return df.join(scored, key, "inner")
 
 
-# --- exact k nearest neighbours --------------------------------------------------------------------
-
-PIVOTS = 256
-BLOCK_ROWS = 1024
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows; on unit vectors they order like cosine and obey the triangle rule."""
-    squares = (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2.0 * left @ right.T
-    return np.sqrt(np.maximum(squares, 0.0))
-
-
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.vstack(series.to_numpy()).astype(np.float64)
-
-
-def _top(similarity: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best entries per row; equal scores prefer the smaller id."""
-    order = np.lexsort((np.broadcast_to(ids, similarity.shape), -similarity), axis=1)[:, :k]
-    rows = np.repeat(np.arange(similarity.shape[0]), order.shape[1])
-    return rows, order.ravel()
-
-
-def nearest_neighbors(
-    vectors: DataFrame, k: int = 5, vector: str = "vector", key: str = "song_id",
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(song_id, neighbor_id, similarity, rank): the k nearest other vectors of every vector, exact.
-
-    1. Copies of one vector are folded into one row that knows its k + 1 smallest ids.
-    2. Every vector goes to its nearest pivot (a bounded sample); large cells are cut into blocks.
-    3. Inside its own block each vector finds an upper bound for its k-th distance.
-    4. A vector visits another cell only if (distance to its pivot - cell radius) is within that
-       bound, by the triangle inequality; nothing nearer can be missed. Visits are grouped by
-       (target block, home block), so a task holds two blocks and returns k rows per visitor.
-    """
-    spark = vectors.sparkSession
-    dense = vectors.select(F.col(key).alias("id"), arrays.finite(vector).alias("v"))
-    order = Window.partitionBy("v").orderBy("id")
-    copies = dense.withColumn("_copy", F.row_number().over(order)).where(F.col("_copy") <= k + 1)
-    distinct = copies.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    distinct = distinct.withColumn("vid", F.element_at("ids", 1))
-
-    # About one pivot per block of rows; at most ``pivots`` vectors come to the driver, whatever the
-    # data size.
-    pivots = min(pivots, max(1, -(-dense.count() // block_rows)))
-    sample = dense.orderBy(F.xxhash64("id"), "id").select("v").limit(pivots).collect()
-    if not sample:
-        return spark.createDataFrame([], "song_id string, neighbor_id string, similarity double, rank int")
-    centers = _unit(np.array([row["v"] for row in sample], dtype=np.float64))
-
-    def to_cells(batches):
-        for pdf in batches:
-            unit = _unit(_matrix(pdf["v"]))
-            gaps = _distances(unit, centers)
-            yield pd.DataFrame(
-                {"vid": pdf["vid"], "ids": pdf["ids"], "u": list(unit), "cell": gaps.argmin(axis=1), "gap": gaps.min(axis=1)}
-            )
-
-    # Read by the four steps below; stored once.
-    celled = session.materialize(
-        distinct.mapInPandas(to_cells, "vid string, ids array<string>, u array<double>, cell int, gap double")
-    )
-    cells = celled.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    blocked = celled.join(F.broadcast(cells.select("cell", "blocks")), "cell").select(
-        "vid", "u", F.struct("cell", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("part")).alias("home")
-    )
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = _matrix(pdf["u"])
-        gaps = _distances(unit, unit)
-        np.fill_diagonal(gaps, np.inf)
-        kth = np.partition(gaps, k - 1, axis=1)[:, k - 1] if len(pdf) > k else np.full(len(pdf), np.inf)
-        pivot_gaps = _distances(unit, centers)
-        return pd.DataFrame(
-            {"vid": pdf["vid"], "u": pdf["u"], "home": pdf["home"], "limit": kth, "pivot_gaps": list(pivot_gaps)}
-        )
-
-    schema = "vid string, u array<double>, home struct<cell:int,part:int>, limit double, pivot_gaps array<double>"
-    bounded = blocked.groupBy("home").applyInPandas(bound, schema)
-    # One row per cell, at most ``pivots`` rows: a scalar array usable inside each row.
-    cell_list = cells.agg(F.collect_list(F.struct("cell", "radius", "blocks")).alias("cells"))
-    slack = 1e-6  # rounding of distances
-    visits = bounded.withColumn("_cells", cell_list.scalar()).withColumn(
-        "_cells",
-        F.filter(
-            "_cells",
-            lambda cell: F.get("pivot_gaps", cell["cell"]) - cell["radius"] <= F.col("limit") + F.lit(slack),
-        ),
-    )
-    visits = visits.select("vid", "u", "home", F.explode("_cells").alias("to")).select(
-        "vid", "u", "home",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("to.blocks") - 1),
-                              lambda part: F.struct(F.col("to.cell").alias("cell"), part.alias("part")))).alias("target"),
-    )
-    pairs = visits.select("home", "target").distinct()
-    hosts = blocked.select("vid", "u", F.col("home").alias("target")).join(pairs, "target").select(
-        "vid", "u", F.col("target").alias("host_target"), F.col("home").alias("host_home")
-    )
-
-    def visit(_key, guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
-        if guests.empty or residents.empty:
-            return pd.DataFrame({"vid": [], "other": [], "similarity": []})
-        guest_ids, ids = guests["vid"].to_numpy(), residents["vid"].to_numpy()
-        similarity = _matrix(guests["u"]) @ _matrix(residents["u"]).T
-        rank_of = np.argsort(np.argsort(ids))
-        rows, columns = _top(similarity, rank_of, k + 1)
-        return pd.DataFrame(
-            {"vid": guest_ids[rows], "other": ids[columns], "similarity": similarity[rows, columns]}
-        )
-
-    found = visits.groupBy("target", "home").cogroup(hosts.groupBy("host_target", "host_home")).applyInPandas(
-        visit, "vid string, other string, similarity double"
-    )
-    # k + 1 distinct vectors (itself included) always cover the k nearest rows.
-    near = Window.partitionBy("vid").orderBy(F.desc("similarity"), "other")
-    kept = found.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k + 1).drop("_rank")
-    ids = celled.select(F.col("vid").alias("other"), "ids")
-    offered = kept.join(ids, "other").select("vid", "similarity", F.explode("ids").alias("neighbor_id"))
-    lists = offered.groupBy("vid").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("minus"), "neighbor_id"))).alias("near")
-    )
-    # Every copy gets the list of its vector, without itself.
-    owner = dense.join(distinct.select("v", "vid"), "v").select("id", "vid")
-    others = owner.join(lists, "vid").withColumn(
-        "near", F.slice(F.filter("near", lambda item: item["neighbor_id"] != F.col("id")), 1, k)
-    )
-    return others.select("id", F.posexplode("near").alias("pos", "item")).select(
-        F.col("id").alias(key), F.col("item.neighbor_id").alias("neighbor_id"),
-        (-F.col("item.minus")).alias("similarity"), (F.col("pos") + 1).alias("rank"),
-    )
-
-
 def neighbor_lists(neighbors: DataFrame, key: str = "song_id") -> DataFrame:
     """Joined ids and four-decimal scores per row, nearest first (at most k items each)."""
     listed = F.array_sort(F.collect_list(F.struct("rank", "neighbor_id", F.bround("similarity", 4).alias("s"))))

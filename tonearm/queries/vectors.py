@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tonearm import vocab
 from tonearm.functions import arrays, text
-from tonearm.operators import audio, semantics, similarity
+from tonearm.operators import audio, neighbors, semantics, similarity
 from tonearm.queries.registry import query, table
 
 
@@ -70,12 +70,12 @@ NEIGHBORS_SQL = f"""neighbors AS (
 
 @query("nearest_neighbors", "WITH " + NEIGHBORS_SQL + " SELECT song_id, neighbor_id, round(similarity, 4) AS similarity, CAST(rank AS INTEGER) AS rank FROM neighbors")
 def nearest_neighbors(spark, folder):
-    return similarity.nearest_neighbors(vectors(spark, folder)).withColumn("similarity", F.round("similarity", 4))
+    return neighbors.nearest_neighbors(vectors(spark, folder)).withColumn("similarity", F.round("similarity", 4))
 
 
 @query("neighbor_lists", "WITH " + NEIGHBORS_SQL + " SELECT song_id, string_agg(neighbor_id, ' | ' ORDER BY rank) AS mert_neighbor_song_ids FROM neighbors GROUP BY song_id")
 def neighbor_lists(spark, folder):
-    near = similarity.nearest_neighbors(vectors(spark, folder), pivots=16, block_rows=64)
+    near = neighbors.nearest_neighbors(vectors(spark, folder), pivots=4, block_rows=64)
     return similarity.neighbor_lists(near).select("song_id", "mert_neighbor_song_ids")
 
 
