@@ -205,22 +205,43 @@ def _prefix_length(size: Column, length: Column, bound: float, by_pairs: bool) -
     return size - F.greatest(overlap, F.lit(1)) + 1
 
 
-def prefix_tokens(left: DataFrame, right: DataFrame, bound: float) -> tuple[DataFrame, DataFrame]:
-    """(value, token) rows of both sides under one rarest-first token order."""
-    by_pairs = pairs_suffice(bound)
-    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    listed = sides.where(F.col("value") != "").withColumn("tokens", _tokens(F.col("value"), by_pairs))
-    rows = listed.select("side", "value", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+def token_index(values: DataFrame, by_pairs: bool) -> DataFrame:
+    """(token, df, value, size, place): every token of every string with its place among the string's tokens, rarest first.
+
+    ``df`` is the number of strings that have the token. The index holds for any bound; it is stored, and both
+    the search and the ranking of other strings' tokens read it.
+    """
+    rows = values.where(F.col("value") != "").select("value", _tokens(F.col("value"), by_pairs).alias("tokens"))
+    rows = rows.select("value", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     weight = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rows.join(weight, "token").groupBy("side", "value", "size").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")
-    )
-    length = F.length("value")
-    kept = ranked.select(
-        "side", "value",
-        F.explode(F.slice("ranked", F.lit(1), _prefix_length(F.col("size"), length, bound, by_pairs).cast("int"))).alias("t"),
-    ).select("side", "value", F.col("t.token").alias("token"))
-    return kept.where("side = 0").drop("side"), kept.where("side = 1").drop("side")
+    return session.materialize(_placed(rows.join(weight, "token")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    ranked = rows.groupBy("value", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    return ranked.select("value", "size", F.posexplode("ranked").alias("at", "t")).select(
+        F.col("t.token").alias("token"), F.col("t.df").alias("df"), "value", "size", (F.col("at") + 1).alias("place"))
+
+
+def probe_tokens(values: DataFrame, index: DataFrame, by_pairs: bool) -> DataFrame:
+    """Tokens of other strings in the order of the index, as it has them; tokens that it lacks are the rarest."""
+    rows = values.where(F.col("value") != "").select("value", _tokens(F.col("value"), by_pairs).alias("tokens"))
+    rows = rows.select("value", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    weight = index.groupBy("token").agg(F.first("df").alias("df"))
+    ranked = rows.join(weight, "token", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    return session.materialize(_placed(ranked))
+
+
+def prefix(index: DataFrame, bound: float, by_pairs: bool) -> DataFrame:
+    """Rows of an index by which a string must be found so that no partner with a ratio >= ``bound`` is missed."""
+    return index.where(F.col("place") <= _prefix_length(F.col("size"), F.length("value"), bound, by_pairs))
+
+
+def _enough(l_len: Column, r_len: Column, bound: float, by_pairs: bool) -> Column:
+    """Fewest shared tokens of two strings of these lengths with a ratio >= bound, 1 at least."""
+    total = l_len + r_len
+    matched = F.ceil(bound * total / 2 - 1e-9)
+    return F.greatest(matched - (total - 2 * matched + 1) if by_pairs else matched, F.lit(1))
 
 
 def _containment(short_side: DataFrame, long_side: DataFrame) -> DataFrame:
@@ -247,18 +268,22 @@ def _containment(short_side: DataFrame, long_side: DataFrame) -> DataFrame:
     return pairs.where(F.contains("long", F.col("short"))).select("short", "long")
 
 
-def similar_strings(left: DataFrame, right: DataFrame, bound: float) -> DataFrame:
-    """(l, r) candidate pairs of distinct strings: a superset of those with similarity >= bound."""
-    left_tokens, right_tokens = prefix_tokens(left, right, bound)
+def similar_strings(left: DataFrame, right: DataFrame, probes: DataFrame, index: DataFrame, bound: float, by_pairs: bool) -> DataFrame:
+    """(l, r) candidate pairs of distinct strings: a superset of those with similarity >= bound.
+
+    Strings meet on a token of both prefixes if their lengths allow the bound and if enough tokens are left: of the first token
+    that they share, at most it and the tokens behind it on either side can be shared.
+    """
     share = bound / (2 - bound)
     l_len, r_len = F.length("l"), F.length("r")
-    by_token = (
-        left_tokens.withColumnRenamed("value", "l")
-        .join(right_tokens.withColumnRenamed("value", "r"), "token")
+    l_rows = prefix(probes, bound, by_pairs).select("token", F.col("value").alias("l"), (F.col("size") - F.col("place")).alias("l_rest"))
+    r_rows = prefix(index, bound, by_pairs).select("token", F.col("value").alias("r"), (F.col("size") - F.col("place")).alias("r_rest"))
+    found = (
+        l_rows.join(r_rows, "token")
         .where(F.least(l_len, r_len) >= F.greatest(l_len, r_len) * (share - 1e-9))
+        .where(1 + F.least("l_rest", "r_rest") >= F.when((l_len == 1) | (r_len == 1), 1).otherwise(_enough(l_len, r_len, bound, by_pairs)))
         .select("l", "r")
     )
-    found = by_token
     if CONTAINED_RATIO >= bound:
         inner = _containment(left, right).select(F.col("short").alias("l"), F.col("long").alias("r"))
         outer = _containment(right, left).select(F.col("long").alias("l"), F.col("short").alias("r"))
@@ -289,13 +314,18 @@ def candidate_pairs(file_keys: DataFrame, catalog_keys: DataFrame, threshold: fl
     columns = [*f_keys.columns, *c_keys.columns, "title_score", "artist_score"]
 
     def values(keys: DataFrame, name: str) -> DataFrame:
-        return keys.select(F.col(name).alias("value")).where(F.col("value") != "").distinct()
+        return session.materialize(keys.select(F.col(name).alias("value")).where(F.col("value") != "").distinct())
+
+    f_values, c_values = ({name: values(keys, f"{side}_{name}") for name in KEY} for side, keys in (("f", f_keys), ("c", c_keys)))
 
     def related(field: str, at_least: float, score: str) -> DataFrame:
-        """Distinct strings of a field on both sides whose similarity reaches a bound."""
-        found = similar_strings(values(f_keys, f"f_{field}"), values(c_keys, f"c_{field}"), at_least)
+        """Distinct strings of a field on both sides whose similarity reaches a bound, stored."""
+        by_pairs = pairs_suffice(at_least)
+        index = token_index(c_values[field], by_pairs)
+        probes = probe_tokens(f_values[field], index, by_pairs)
+        found = similar_strings(f_values[field], c_values[field], probes, index, at_least, by_pairs)
         rated = with_ratio(found, "l", "r", score, at_least - 1e-9).where(F.col(score) >= at_least - 1e-9)
-        return rated.withColumnsRenamed({"l": f"f_{field}", "r": f"c_{field}"})
+        return session.materialize(rated.withColumnsRenamed({"l": f"f_{field}", "r": f"c_{field}"}))
 
     def reaching(pairs: DataFrame) -> DataFrame:
         weighted = F.col("title_score") * TITLE_WEIGHT + F.col("artist_score") * ARTIST_WEIGHT
@@ -316,7 +346,10 @@ def candidate_pairs(file_keys: DataFrame, catalog_keys: DataFrame, threshold: fl
 
     # Then the artist: titles must still be related, so the pair meets on a title token as well.
     artists = related("artist_norm", bound, "artist_score")
-    f_tokens, c_tokens = prefix_tokens(values(f_keys, "f_title_norm"), values(c_keys, "c_title_norm"), title_bound)
+    by_pairs = pairs_suffice(title_bound)
+    index = token_index(c_values["title_norm"], by_pairs)
+    probes = probe_tokens(f_values["title_norm"], index, by_pairs)
+    f_tokens, c_tokens = (prefix(rows, title_bound, by_pairs).select("value", "token") for rows in (probes, index))
     by_artist = (
         f_keys.join(artists, "f_artist_norm")
         .join(f_tokens.withColumnRenamed("value", "f_title_norm"), "f_title_norm")
