@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tonearm.operators import audio
+from tonearm import session
+from tonearm.operators import audio, similarity
+from tonearm.plans import tags as tag_plan
+from tonearm.queries import matches, model, vectors
 from tonearm.queries.registry import query, table
 
 RATE, REPEATS = 8000, 100
@@ -133,10 +137,47 @@ def audio_table(measured):
 def build_tags_job(spark, folder):
     """The whole tag job: rules, best file per song, audio features, affect."""
     from tonearm.operators import matching
-    from tonearm.queries import matches, model, vectors
 
     found = matching.best_file_per_song(matching.fuzzy_match(matches.files(spark, folder), matches.catalog(spark, folder)))
     measured = audio.audio_features(audio.wave_measures(wave_files(spark, folder)))
     features = audio_table(measured)
     affect = vectors.emotion_from_affect(spark, folder).select(F.col("vec_id").cast("string").alias("song_id"), F.col("tags").alias("mert_emotion_tags"))
     return model.tag_job(spark, folder, matches=found, audio_table=features, affect_table=affect)
+
+
+def _emotions_of(vectors):
+    """Emotion tags of vectors by valence and arousal in their first two elements."""
+    first, second = ((F.get("vector", at).cast("double") * scale + 1) / 2 for at, scale in ((0, 1), (1, 2)))
+    scored = vectors.select("song_id", first.alias("v"), second.alias("a")).withColumn("s", similarity.emotion_scores("v", "a"))
+    return scored.select("song_id", F.array_join(similarity.emotion_tags("s"), " | ").alias("mert_emotion_tags"))
+
+
+def _job_sql() -> str:
+    def joined(*columns: str) -> str:
+        items = ", ".join(f"string_split({column}, ' | ')" for column in columns)
+        return f"array_to_string(list_filter(flatten([{items}]), lambda x: x IS NOT NULL AND x <> ''), ' | ')"
+
+    def unique(items: str) -> str:
+        return f"""array_to_string(list_filter(string_split({items}, ' | '), lambda x, i: x <> '' AND list_position(string_split({items}, ' | '), x) = i), ' | ')"""
+
+    local = f"CASE WHEN m.file_path IS NULL THEN NULL ELSE '{model.LOCAL_TAG}' END"
+    return f"""WITH {model.TAGS_SQL}, matches AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY match_score DESC, file_path) AS rn FROM ({matches.FUZZY_SQL})) WHERE rn = 1),
+emotions AS (SELECT CAST(vec_id AS VARCHAR) AS song_id, tags FROM ({vectors._emotion_sql()})),
+tagged AS (SELECT t.song_id, m.file_path, m.match_score, m.match_reason, e.tags AS feeling, t.emotion_tags AS felt,
+  {joined("t.audio_tags", local)} AS audio, {joined("t.all_tags", local)} AS every
+  FROM tag_table t LEFT JOIN matches m USING (song_id) LEFT JOIN emotions e ON e.song_id = t.song_id)
+SELECT song_id, coalesce(file_path, '') AS local_audio_path, match_score AS audio_match_score, coalesce(match_reason, '') AS audio_match_reason, coalesce(feeling, '') AS mert_emotion_tags,
+  audio AS audio_tags, {unique(joined("felt", "feeling"))} AS emotion_tags, {unique(joined("every", "feeling"))} AS all_tags FROM tagged"""
+
+
+@query("incremental_tag_job", _job_sql())
+def incremental_tag_job(spark, folder):
+    """The tag job run twice: first with a part of the files and vectors, then with all, of which only the rest is worked on."""
+    store = session.scratch(spark)
+    files, items = matches.files(spark, folder), vectors.vectors(spark, folder)
+    run = partial(tag_plan.run_tag_job, model.songs(spark, folder), store, catalog=matches.catalog(spark, folder), affect=_emotions_of, rules=model.RULES, local_tag=model.LOCAL_TAG)
+    run(files.where("duration > 100"), vectors=items.where("song_id like '%3%'"))
+    table = run(files, vectors=items)
+    return table.select(
+        "song_id", "local_audio_path", F.col("audio_match_score").try_cast("double").alias("audio_match_score"), "audio_match_reason",
+        F.coalesce("mert_emotion_tags", F.lit("")).alias("mert_emotion_tags"), "audio_tags", "emotion_tags", "all_tags")
