@@ -19,6 +19,14 @@ HARD = [
 ]
 
 
+def twins(steps=10):
+    """Two words that a polynomial hash modulo 2^64 can't tell apart, whatever its odd base."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
 def random_texts(n):
     pick = random.Random(6)
     signs = "abcdeehhtt  in\n.,'<|>é0"
@@ -45,6 +53,19 @@ def test_ids_of_texts_equal_the_library(kind, byte_bpe, word_bpe, documents):
         assert ids[at[i] : at[i + 1]].tolist() == want.ids, texts[i]
 
 
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_words_with_one_hash_keep_their_own_ids(kind, byte_bpe, word_bpe):
+    a, b = twins()
+    definition = byte_bpe if kind == "byte" else word_bpe
+    encoder = (bpe_automaton.Encoder if kind == "byte" else packing.Words)(definition)
+    library = Tokenizer.from_str(definition)
+    for texts in ([f"{a} {b} x {a}", b], [a], [f"plain {b}", f" {a}"], [f"{b} {a}"] * 3):
+        data, offsets = spans.utf8(pa.array(texts))
+        ids, at = encoder.texts(data, offsets)
+        got = [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))]
+        assert got == [library.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_small_automaton_accepts_what_merging_makes():
     """All words over three letters up to eight long, against merging step by step; merges overlap themselves."""
     merges = [("a", "a"), ("b", "a"), ("aa", "a"), ("a", "b"), ("ab", "ba"), ("aa", "aa"), ("c", "c"), ("ba", "ba")]
