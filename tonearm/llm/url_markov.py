@@ -161,8 +161,7 @@ def judge_sql(pages: str = "pages") -> str:
     urls AS MATERIALIZED (SELECT url, {spelt} AS spelt, count(*) FILTER (WHERE decided = 'allow') AS good, count(*) FILTER (WHERE decided = 'block') AS bad FROM ruled WHERE url IS NOT NULL GROUP BY url),
     places AS MATERIALIZED (SELECT url, good, bad, substr(spelt, place, {span}) AS gram FROM (SELECT *, unnest(range(1, length(spelt) - {ORDER} + 1)) AS place FROM urls)),
     grams AS (SELECT gram, sum(good) AS good, sum(bad) AS bad FROM places GROUP BY gram HAVING sum(good + bad) > 0),
-    model AS MATERIALIZED (SELECT string, ahead, CAST(sum(good) AS DOUBLE) AS good, CAST(sum(bad) AS DOUBLE) AS bad FROM ({strings}) GROUP BY ALL
-        HAVING sum(good + bad) >= (SELECT sum(good + bad) / {KEPT} FROM grams)),
+    model AS MATERIALIZED (SELECT string, ahead, CAST(sum(good) AS DOUBLE) AS good, CAST(sum(bad) AS DOUBLE) AS bad FROM ({strings}) GROUP BY ALL),
     scored AS MATERIALIZED (SELECT url, avg(ln({chance['bad']}) - ln({chance['good']})) AS score FROM places p {joins} GROUP BY url),
     bins AS (SELECT least(greatest(floor((score + 4) / {width}), 0), {BINS - 1}) AS bin, sum(good) AS good, sum(bad) AS bad FROM scored JOIN urls USING (url) WHERE good + bad > 0 GROUP BY ALL),
     sides AS (SELECT edge, coalesce(sum(good) FILTER (WHERE bin < edge), 0) / sum(good) + coalesce(sum(bad) FILTER (WHERE bin >= edge), 0) / sum(bad) AS value
