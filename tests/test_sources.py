@@ -25,6 +25,27 @@ def test_csv_union_by_name_with_bom_and_quotes(spark, tmp_path):
         ("1", 'x "y"\nz', "a.csv", 0), ("2", "first", "a.csv", 0), ("2", "later", "b.csv", 1)]
 
 
+def test_csv_folder_has_one_scan_for_each_header(spark, tmp_path):
+    for n in range(30):
+        content = "song_id,name\r\n%d,x\r\n" if n % 3 else "name,song_id\ny,%d\n"
+        write(tmp_path, f"{n:02d} a+b%{'' if n else '41'}_song_tags.csv", "\ufeff" * (n % 2) + content % n)
+    write(tmp_path, "empty_song_tags.csv", "")
+    write(tmp_path, "other.csv", "k\n1\n")
+    df = files.read_tag_csvs(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+    rows = df.orderBy("file_order", "row_order").collect()
+    assert [(r["file_order"], r["song_id"], r["name"]) for r in rows] == [(n, str(n), "x" if n % 3 else "y") for n in range(30)]
+    assert "k" not in df.columns
+    with pytest.raises(ValueError, match="no table"):
+        files.read_csv_union(spark, str(tmp_path), "*.tsv")
+
+
+def test_files_with_other_headers_are_no_set(spark, tmp_path):
+    paths = [write(tmp_path, "a.csv", "x,y\n1,2\n"), write(tmp_path, "b.csv", "y,x\n1,2\n")]
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, paths).collect()
+
+
 def test_lyrics_are_named_by_stem_and_stripped(spark, tmp_path):
     write(tmp_path, "1.txt", " 词\n")
     write(tmp_path, "a+b c.txt", b"bad \xff byte")
@@ -46,6 +67,18 @@ def test_jsonl_drops_blank_lines_and_non_objects(spark, tmp_path):
     assert [(r["song_id"], r["n"]) for r in rows] == [("1", "[1]"), ("2", None)]
 
 
+def test_jsonl_with_very_many_keys_is_read_by_name(spark, tmp_path):
+    lines = spark.range(20_000).select(F.to_json(F.create_map(F.concat(F.lit("k`"), "id"), "id", F.lit("v"), F.lit(-1).cast("long"))).alias("value"))
+    path = str(tmp_path / "wide")
+    lines.write.text(path)
+    with pytest.raises(ValueError, match="more than 10000 keys"):
+        files.read_jsonl(spark, path)
+    named = files.read_jsonl(spark, path, columns=["k`7", "v"]).where("`k``7` is not null").collect()
+    assert [r[:] for r in named] == [("7", "-1")]
+    records = files.read_records(spark, path)
+    assert records.where(F.try_variant_get("record", "$.v", "long") == -1).count() == 20_000
+
+
 def test_embeddings_from_npy(spark, tmp_path):
     for name, vector in (("1", [1.0, 2.0]), ("2", [[3.0, 4.0]]), ("3", [])):
         np.save(os.path.join(tmp_path, f"{name}.npy"), np.array(vector, dtype=np.float32))

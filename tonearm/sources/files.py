@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from io import BytesIO
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tonearm import vocab
 from tonearm.functions import text
 from tonearm.operators import merge, similarity, snapshots
 
+# Columns that ``read_jsonl`` finds by itself, at most; a table with more is read by the names of the wanted ones.
+JSONL_COLUMNS = 10_000
 AUDIO_EXTENSIONS = ("mp3", "flac", "wav", "m4a", "aac", "ogg")  # fixed value
 
 
@@ -32,16 +36,18 @@ def place() -> Column:
     )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], *extra: Column) -> DataFrame:
     """One CSV file or a set with equal headers, all text, with file and row order.
 
-    ``row_order`` is a struct that compares in the order of the parts (see ``place``).
+    ``row_order`` is a struct that compares in the order of the parts (see ``place``). Files whose headers differ are
+    an error. ``extra`` are further columns on the files' metadata.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8", enforceSchema=False)
     tagged = df.select(
         "*",
         F.col("_metadata.file_name").alias("source_csv"),
         place().alias("row_order"),
+        *extra,
     )
     return tagged.toDF(*[name.strip().lstrip("﻿") for name in tagged.columns])
 
@@ -58,17 +64,39 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     )
 
 
-def file_names(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Paths in name order. File lists are short metadata, one entry per input table."""
-    return [row["path"] for row in list_files(spark, folder, pattern).orderBy("name").collect()]
+def csv_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[tuple[str, list[tuple[int, str]]]]:
+    """Distinct headers of a folder's CSV files, each with the (place in name order, address) of its files.
+
+    One scan over the lines finds all headers; empty files have none and are left out. What comes to the driver
+    is a list of files, as Spark itself keeps one for every table.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    bare = F.regexp_replace("value", "^﻿", "")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.select(F.col("_metadata.file_path").alias("address"), bare.alias("line"), at.alias("at")).where("line <> ''").groupBy("address").agg(
+        F.min_by("line", "at").alias("header"))
+    found = sorted(first.collect(), key=lambda row: unquote(row["address"]).rsplit("/", 1)[-1])
+    groups: dict[str, list[tuple[int, str]]] = {}
+    for order, row in enumerate(found):
+        groups.setdefault(row["header"], []).append((order, row["address"]))
+    return list(groups.items())
 
 
 def read_csv_union(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """All CSV tables of a folder by column name, in file name order.
+    """All CSV tables of a folder by column name; ``file_order`` is a file's place in name order.
 
-    Every file is read under its own header; a multi-path read would match columns by position.
+    Files with one header are read by one scan, so the plan grows with the headers and not with the files. A single
+    read of all files would match columns by position.
     """
-    return merge.union_by_name([read_csv(spark, path) for path in file_names(spark, folder, pattern)])
+    groups = csv_headers(spark, folder, pattern)
+    if not groups:
+        raise ValueError(f"no table in {folder} matches {pattern}")
+    frames = []
+    for _header, members in groups:
+        order = spark.createDataFrame([(address, place) for place, address in members], "file_address string, file_order int")
+        rows = read_csv(spark, [unquote(address) for _place, address in members], F.col("_metadata.file_path").alias("file_address"))
+        frames.append(rows.join(order, "file_address").drop("file_address"))
+    return merge.union_by_name(frames)
 
 
 def read_tag_csvs(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,20 +125,36 @@ def read_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return readable, snapshots.unreadable(documents)
 
 
-def read_jsonl(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+def _json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(value, row_order): lines that hold a JSON object."""
+    lines = spark.read.text(path).select(text.strip(F.regexp_replace("value", "^﻿", "")).alias("value"), place().alias("row_order"))
+    return lines.where(F.coalesce(snapshots.is_object(F.try_parse_json("value")), F.lit(False)))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, row_order): one JSON object per line as a variant, whatever its keys; see ``read_jsonl``.
+
+    Nothing about the keys is gathered: ``try_variant_get`` reads single ones.
+    """
+    return _json_objects(spark, path).select(F.try_parse_json("value").alias("record"), "row_order")
+
+
+def read_jsonl(spark: SparkSession, path: str, ordered: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """One JSON object per line; blank lines and lines that are no object are dropped.
 
-    Columns keep their text form: nested values stay JSON. The schema is found by Spark in one pass.
+    Columns keep their text form: nested values stay JSON. ``columns`` names the wanted ones; without it a pass over the
+    keys finds all of them, and more than ``JSONL_COLUMNS`` are an error, as they are no table (see ``read_records``).
     ``ordered`` adds ``row_order`` (see ``place``).
     """
-    lines = spark.read.text(path).select(text.strip(F.regexp_replace("value", "^﻿", "")).alias("value"), place().alias("row_order"))
-    objects = lines.where(F.coalesce(snapshots.is_object(F.try_parse_json("value")), F.lit(False)))
-    keys = [
-        row["k"] for row in objects.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().orderBy("k").collect()
-    ]
-    fields = F.from_json("value", ", ".join(f"`{key}` string" for key in keys)) if keys else None
-    if not keys:
+    objects = _json_objects(spark, path)
+    if columns is None:
+        keys = objects.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().limit(JSONL_COLUMNS + 1)
+        columns = sorted(row["k"] for row in keys.collect())
+        if len(columns) > JSONL_COLUMNS:
+            raise ValueError(f"{path} has more than {JSONL_COLUMNS} keys: name the wanted columns or use read_records")
+    if not columns:
         return objects.limit(0)
+    fields = F.from_json("value", StructType([StructField(name, StringType()) for name in columns]))
     return objects.select(fields.alias("r"), "row_order").select("r.*", *["row_order"] * ordered)
 
 
