@@ -15,6 +15,7 @@ dedup_most_complete latest_nonblank_merge merge_tag_tables lyric_terms_topk titl
 frequency_distinct dynamic_score recommend chart_table batch last_n history_preference search_similar
 nearest_neighbors label_similarity catalog_variants match_shortcuts snapshot_flatten snapshot_upsert
 audio_measures chunk_windows merge_sink lyric_files last_n_stream upsert_stream history_stream
+tag_csv_folder lyric_folder snapshot_folder audio_folder embedding_files jsonl_records history_array_file
 """.split()
 NAMES = sorted(catalogue.ORACLE) if os.environ.get("ORACLE_ALL") else QUICK
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm import session
@@ -127,6 +132,109 @@ def file_listing(spark, folder):
     return listed.groupBy(stem.alias("stem")).agg(F.count(F.lit(1)).cast("int").alias("files"))
 
 
+def _write_files(rows: DataFrame, suffix: str, within: str = "", part: str = "text", **options: str) -> str:
+    """A folder with one file for each ``name`` of (name, ...): what a user's folder of small files looks like.
+
+    Spark writes a folder for each name; its one part is then renamed, ``name`` + ``suffix``, below the folder ``within``.
+    """
+    spark = rows.sparkSession
+    made, target = session.scratch(spark), session.scratch(spark)
+    rows.repartition("name").write.partitionBy("name").options(**options).format(part).save(made)
+    place, system = buckets._files(spark, made)
+    below = place(f"{target}/{within}" if within else target)
+    system.mkdirs(below)
+    for named in system.listStatus(place(made)):
+        if named.isDirectory():
+            name = named.getPath().getName().removeprefix("name=")
+            for found in system.globStatus(place(named.getPath(), "part-*")):
+                system.rename(found.getPath(), place(below, name + suffix))
+    return target
+
+
+@query("tag_csv_folder", """
+WITH p AS (SELECT *, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS b FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS song_id, CASE WHEN b % 2 = 0 THEN p_type END AS kind, CASE WHEN b % 2 = 1 THEN CAST(p_size AS VARCHAR) END AS size,
+  CAST(b AS VARCHAR) || '_song_tags.csv' AS source_csv, CAST(dense_rank() OVER (ORDER BY CAST(b AS VARCHAR) || '_song_tags.csv') - 1 AS INT) AS file_order FROM p""")
+def tag_csv_folder(spark, folder):
+    """A file for each brand with one of two headers, read as a folder."""
+    part = table(spark, folder, "part").withColumn("name", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int"))
+    key = F.col("p_partkey").cast("string").alias("song_id")
+    even = _write_files(part.where("name % 2 = 0").select("name", key, F.col("p_type").alias(" kind ")), "_song_tags.csv", part="csv", header="true")
+    odd = _write_files(part.where("name % 2 = 1").select("name", F.col("p_size").alias("size"), key), "_song_tags.csv", part="csv", header="true")
+    place, system = buckets._files(spark, even)
+    for found in system.listStatus(place(odd)):
+        system.rename(found.getPath(), place(even, found.getPath().getName()))
+    return files.read_tag_csvs(spark, even).select("song_id", "kind", "size", "source_csv", "file_order")
+
+
+@query("lyric_folder", "SELECT 'c ' || c_custkey AS song_id, c_name || chr(10) || '词 ' || c_mktsegment AS full_lyric FROM customer")
+def lyric_folder(spark, folder):
+    """A text file for each customer; names hold a blank, texts have white space around them."""
+    customer = table(spark, folder, "customer")
+    texts = customer.select(
+        F.concat(F.lit("c "), "c_custkey").alias("name"), F.concat(F.lit(" \n"), "c_name", F.lit("\n词 "), "c_mktsegment", F.lit(" \n")).alias("value"))
+    return files.read_lyrics(spark, _write_files(texts, ".txt")).select("song_id", "full_lyric")
+
+
+@query("snapshot_folder", """
+SELECT CAST(s_suppkey AS VARCHAR) AS stem, s_suppkey % 3 <> 0 AS readable, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS song_name FROM supplier""")
+def snapshot_folder(spark, folder):
+    """A JSON document for each supplier, every third one broken off; both outputs of the reader."""
+    supplier = table(spark, folder, "supplier")
+    whole = F.to_json(F.struct(F.struct(F.col("s_name").alias("name")).alias("song")))
+    texts = supplier.select(
+        F.col("s_suppkey").cast("string").alias("name"), F.when(F.col("s_suppkey") % 3 != 0, whole).otherwise(F.substring(whole, 1, 12)).alias("value"))
+    readable, errors = files.read_snapshots(spark, _write_files(texts, ".json"))
+    good = readable.select("stem", F.lit(True).alias("readable"), F.get_json_object("value", "$.song.name").alias("song_name"))
+    bad = errors.select(F.regexp_replace("file_name", r"\.json\z", "").alias("stem"), F.lit(False).alias("readable"), F.lit(None).cast("string").alias("song_name"))
+    return good.unionByName(bad)
+
+
+@query("audio_folder", """
+WITH k AS (SELECT s_suppkey, ['mp3', 'FLAC', 'txt', 'Wav', 'm4a', 'aac', 'Ogg', 'wave', 'mp4'][s_suppkey % 9 + 1] AS kind FROM supplier)
+SELECT s_suppkey || ' - a.b' AS stem, kind FROM k WHERE lower(kind) IN ('mp3', 'flac', 'wav', 'm4a', 'aac', 'ogg')""")
+def audio_folder(spark, folder):
+    """Files of nine extensions below a folder, listed by ``list_audio``."""
+    kinds = F.array(*map(F.lit, ("mp3", "FLAC", "txt", "Wav", "m4a", "aac", "Ogg", "wave", "mp4")))
+    kind = F.element_at(kinds, (F.col("s_suppkey") % 9 + 1).cast("int"))
+    rows = table(spark, folder, "supplier").select(F.concat("s_suppkey", F.lit(" - a.b."), kind).alias("name"), F.lit("x").alias("value"))
+    listed = files.list_audio(spark, _write_files(rows, "", within="disc 1/side a"))
+    return listed.select("stem", F.regexp_extract("name", r"([^.]*)\z", 1).alias("kind"))
+
+
+@query("embedding_files", "SELECT CAST(vec_id AS VARCHAR) AS song_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first, list_sum(CAST(embedding AS DOUBLE[])) AS total FROM embeddings")
+def embedding_files(spark, folder):
+    """A ``.npy`` file for each vector."""
+
+    @F.pandas_udf("binary")
+    def stored(vectors: pd.Series) -> pd.Series:
+        out = []
+        for vector in vectors:
+            content = io.BytesIO()
+            np.save(content, np.asarray(vector, dtype=np.float32))
+            out.append(content.getvalue())
+        return pd.Series(out)
+
+    # The text writer passes bytes on as they are.
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("name"), stored("embedding").cast("string").alias("value"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    vectors = files.read_embeddings(spark, _write_files(rows, ".npy"))
+    return vectors.select("song_id", F.size("vector").cast("long").alias("n"), F.col("vector")[0].cast("double").alias("first"), total.alias("total"))
+
+
+@query("jsonl_records", "SELECT CAST(doc_id AS VARCHAR) AS song_id, lang, length(text) AS n, source FROM documents")
+def jsonl_records(spark, folder):
+    """Documents as JSON lines with a key of their own each: named columns beside single values of the records."""
+    path = session.scratch(spark)
+    docs = table(spark, folder, "documents").select(
+        F.to_json(F.create_map(F.lit("song_id"), F.col("doc_id").cast("string"), F.lit("text"), "text", F.lit("lang"), "lang", F.concat(F.lit("k"), "doc_id"), "source")).alias("value"))
+    docs.write.text(path)
+    named = files.read_jsonl(spark, path, columns=["song_id", "lang", "text"]).select("song_id", "lang", F.length("text").cast("long").alias("n"))
+    record = files.read_records(spark, path).select(F.to_json("record").alias("r"))
+    own = record.select(F.get_json_object("r", "$.song_id").alias("song_id"), F.from_json("r", "map<string,string>").alias("m"))
+    return named.join(own.select("song_id", F.element_at("m", F.concat(F.lit("k"), "song_id")).alias("source")), "song_id")
+
+
 HISTORY_LOG_SQL = """log AS (SELECT event_id, user_id, event_type AS action, json_extract_string(props, '$.k') AS song_id FROM events)"""
 
 
@@ -140,6 +248,19 @@ def history_file(spark, folder):
     return spark.read.json(stored).select("event_id", "song_id")
 
 
+@query("history_array_file", """
+WITH h AS (SELECT event_id, event_type, user_id, row_number() OVER (ORDER BY event_id DESC) AS back FROM events)
+SELECT CAST(80 - back AS INT) AS position, CAST(event_id AS VARCHAR) AS song_id, event_type AS action, event_type || ',' || user_id AS all_tags FROM h WHERE back <= 80""")
+def history_array_file(spark, folder):
+    """The last 200 events as one JSON array with members that are no object in it, read with its limit of 80."""
+    path = session.scratch(spark)
+    last = table(spark, folder, "events").orderBy(F.desc("event_id")).limit(200)
+    entry = F.to_json(F.struct(F.col("event_id").cast("string").alias("song_id"), F.col("event_type").alias("action"), F.array("event_type", F.col("user_id").cast("string")).alias("all_tags")))
+    entries = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("e")))), lambda x: x["e"]).alias("e"))
+    entries.select(F.concat(F.lit("[\n5, "), F.array_join("e", ",\nnull, "), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    return files.read_history(spark, path).select("position", "song_id", "action", F.array_join("all_tags", ",").alias("all_tags"))
+
+
 @query("feature_tables", "WITH " + model.LONG_SQL + " SELECT feature, item, cnt FROM counts")
 def feature_tables(spark, folder):
     """Preprocessed catalogue stored with its counters; the second call reuses the stored tables."""
