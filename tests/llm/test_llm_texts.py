@@ -207,6 +207,53 @@ def test_wrapped_and_commented_licenses(spark):
     assert all(r.licenses == [] for r in license_rules.scan(spark.createDataFrame(apart, "doc_id long, text string")).collect())
 
 
+NAMED = """ * Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""
+STATEMENTS = (
+    (BSD + "\n" + NAMED.format("Google Inc. or the University of Somewhere, Berkeley"), ["BSD-3-Clause"]), (BSD + "\n" + NAMED.format("X"), ["BSD-3-Clause"]),
+    (ISC, ["ISC"]), (LGPL, ["LGPL-2.1-or-later"]),
+    ("This file is licensed under the MIT License.", ["MIT"]), ("the source code is made available under the terms of the Mozilla Public Licence, v. 2.0.", ["MPL-2.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("x\n# SPDX-License-Identifier: Apache-2.0\ny", ["Apache-2.0"]),
+    ("// SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)", ["MIT", "GPL-2.0-or-later"]), ("SPDX-License-Identifier: MIT-0 AND LGPL-2.1", ["MIT-0", "LGPL-2.1"]),
+    ("SPDX-License-Identifier: Nonesuch", []), ("licensed under the Foo License.", []), ("See: this file is licensed under the MIT License.", []),
+)
+
+
+def test_named_holders_statements_and_spdx_lines(spark):
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(STATEMENTS)], "doc_id long, text string")
+    assert [r.licenses for r in license_rules.scan(rows).orderBy("doc_id").collect()] == [names for _, names in STATEMENTS]
+    # Every known sentence is found and named, and every short statement gives its licence.
+    known = [*license_rules.SENTENCES.items(), *((s.replace("*", "some one"), i) for s, i in license_rules.SLOT_SENTENCES.items())]
+    known += [(f"this project is released under the terms of the {n}", None) for n in license_rules.NAMES]
+    known += [(f"SPDX-License-Identifier: {n}", None) for n in license_rules.SPDX]
+    found = license_rules.scan(spark.createDataFrame(list(enumerate(s for s, _ in known)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.sentence_ids for r, (_, i) in zip(found, known) if i] == [[i] for _, i in known if i]
+    stated = [r.licenses for r, (_, i) in zip(found, known) if i is None]
+    assert stated == [[n] for n in [*license_rules.NAMES.values(), *license_rules.SPDX]]
+
+
+def test_license_sql_on_wrapped_notices(spark, tmp_path):
+    import textwrap
+
+    texts = [None, "", *(text for text, _ in STATEMENTS)]
+    for notice in [text for text, _ in NOTICES] + [text for text, _ in STATEMENTS]:
+        for width in (30, 70):
+            for leader in ("", " * ", "REM ", "c "):
+                texts.append("Copyright\n" + "\r\n".join(leader + x for line in notice.split("\n") for x in textwrap.wrap(line, width) or [""]) + "\nend")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    want = con.execute(license_rules.scan_sql() + " ORDER BY doc_id").fetchall()
+    got = license_rules.scan(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, ",".join(r.sentence_ids), ",".join(r.licenses)) for r in got] == want
+
+
 # Toxicity
 
 
