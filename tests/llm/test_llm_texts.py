@@ -137,6 +137,69 @@ def test_kernel_is_cosine_of_gram_sets():
     assert string_kernel.kernel(points, unit)[0, 1] == pytest.approx(len(grams[0] & grams[1]) / math.sqrt(len(grams[0]) * len(grams[1])))
 
 
+def _least_windows(rows, quota):
+    """By brute force: of each language the distinct windows, in the order of their hashes."""
+    found = {}
+    for lang, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        cuts, _row = string_kernel.windows(data, np.array([0, len(data)]))
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            key = int(spans.hashes(data, np.array([low]), np.array([high]))[0]) >> 1
+            found.setdefault(lang, set()).add((key, bytes(data[low:high])))
+    return {lang: sorted(own)[:quota] for lang, own in found.items()}
+
+
+def test_copies_do_not_starve_a_language(spark, documents):
+    rows = [(r.lang, r.text) for r in documents.where("lang is not null and text rlike '[a-z]'").select("lang", "text").collect()]
+    names = {lang for lang, _ in rows}
+    heavy = [("en", "one text that repeats and repeats")] * 20_000
+    for added in ([], heavy):
+        docs = spark.createDataFrame(rows + added, "lang string, text string").repartition(7)
+        quota = 40
+        want = _least_windows(rows + added[:1], quota)
+        got = string_kernel._sampled(docs, quota * len(names))
+        assert sorted(got) == sorted((lang, window) for lang, own in want.items() for _, window in own)
+    assert sum(lang == "en" for lang, _ in got) == quota
+
+
+def test_languages_brute_force(spark, documents):
+    """Scores by sets of slots and the normal equations in the landmarks' own coordinates."""
+    docs = documents.where("lang is not null and text rlike '[a-z]'").select("lang", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    names = sorted({lang for lang, _ in rows})
+    model = string_kernel.fit(docs, 30 * len(names), 3 * len(names))
+    sample = sorted((key, lang, window) for lang, own in _least_windows(rows, 30).items() for key, window in own)
+
+    def slots(window):
+        text = [b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in window.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")]
+        codes = [(size, sum(b << 8 * (size - 1 - k) for k, b in enumerate(text[i : i + size]))) for size in (1, 2, 3) for i in range(len(text) - size + 1)]
+        return {(((code + (size << 26)) * 2654435761) & 0xFFFFFFFF) >> 19 for size, code in codes}
+
+    def cosine(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    points = [slots(window) for _, _, window in sample]
+    places, turns = Counter(), []
+    for i, (_, lang, _) in enumerate(sample):
+        turns.append((places[lang], i))
+        places[lang] += 1
+    # Landmarks of a turn come in the order of languages, as groups were made in the order of the sample.
+    chosen = {i for _, i in sorted(turns, key=lambda x: (x[0], x[1]))[: 3 * len(names)]}
+    marks = [points[i] for i in sorted(chosen)]
+    k_nm = np.array([[cosine(p, m) for m in marks] for p in points])
+    k_mm = np.array([[cosine(a, b) for b in marks] for a in marks])
+    y = np.array([[1.0 if lang == x else -1.0 for x in names] for _, lang, _ in sample])
+    c = string_kernel.RIDGE * len(sample) / len(marks)
+    weights = np.linalg.solve(k_nm.T @ k_nm + c * k_mm, k_nm.T @ y)
+    for _, text in rows[:40]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        cuts, _row = string_kernel.windows(data, np.array([0, len(data)]))
+        total = sum(np.array([cosine(slots(bytes(data[a:b])), m) for m in marks]) @ weights * (b - a) for a, b in zip(cuts[:-1], cuts[1:]))
+        shares = np.exp(string_kernel.SHARPNESS * total / len(data))
+        got = model.scores(data, np.array([0, len(data)]))[0]
+        assert got == pytest.approx(shares / shares.sum(), abs=2e-3)
+
+
 def test_languages_odd_rows(spark, odd_documents, no_documents):
     rows = string_kernel.classify(odd_documents, F.lit(False)).collect()
     assert len(rows) == odd_documents.count()

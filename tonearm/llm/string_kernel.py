@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,36 +80,57 @@ class Model:
         return total / total.sum(axis=1, keepdims=True)
 
 
+def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each batch of (lang, text): the languages, the windows' bytes and cuts, and (row, key) of each window."""
+    for batch in batches:
+        data, offsets = spans.utf8(batch.column(1))
+        cuts, row = windows(data, offsets)
+        keys = spans.hashes(data, cuts[:-1], cuts[1:]) if len(row) else np.zeros(0, np.uint64)
+        yield batch.column(0).to_pylist(), data, cuts, np.stack([row, (keys >> np.uint64(1)).astype(np.int64)])
+
+
 def _sampled(docs: DataFrame, sample: int) -> list:
-    """(lang, window) rows: at most ``sample``, evenly over the languages, chosen by a hash of the window."""
-    sizes = docs.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()
-    if not sizes:
-        return []
-    quota = max(1, sample // len(sizes))
-    share = {r.lang: min(1.0, 1.3 * quota / max(r.n, 1)) for r in sizes}
+    """(lang, window) rows: at most ``sample``, evenly over the languages, of each the distinct windows least by hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            data, offsets = spans.utf8(batch.column(1))
-            cuts, row = windows(data, offsets)
-            keys = spans.hashes(data, cuts[:-1], cuts[1:]) if len(row) else np.zeros(0, np.uint64)
-            bound = np.array([share[x] for x in langs])[row] * 2.0**64
-            kept = np.flatnonzero(keys.astype(np.float64) < bound)
+    A window counts once in its language, however many copies of it there are. The first pass ships keys alone: of
+    each task the least of each language; they give every language's greatest key that is taken. The second one ships
+    the windows up to it, each at most once a task.
+    """
+    languages = docs.select("lang").distinct().count()
+    if not languages:
+        return []
+    quota = max(1, sample // languages)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for langs, _data, _cuts, (row, keys) in _keys(batches):
+            own = np.array(langs, dtype=object)[row]
+            for lang in set(langs):
+                mine = keys[own == lang]
+                found[lang] = np.unique(np.append(found[lang], mine) if lang in found else mine)[:quota]
+        for lang, keys in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys)], ["lang", "key"])
+
+    texts = docs.select("lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    ranked = texts.mapInArrow(least, "lang string, key long").distinct().withColumn("place", place).where(F.col("place") <= quota)
+    bounds = {r.lang: r.bound for r in ranked.groupBy("lang").agg(F.max("key").alias("bound")).collect()}
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for langs, data, cuts, (row, keys) in _keys(batches):
+            bound = np.array([bounds.get(x, -1) for x in langs], np.int64)[row]
+            kept = {(langs[row[i]], int(keys[i])): i for i in np.flatnonzero(keys <= bound)}
+            new = [(lang, key, i) for (lang, key), i in kept.items() if (lang, key) not in seen]
+            seen.update((lang, key) for lang, key, _ in new)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[row[i]] for i in kept], pa.string()), pa.array((keys[kept] >> np.uint64(1)).astype(np.int64)),
-                 pa.array([data[cuts[i] : cuts[i + 1]].tobytes() for i in kept], pa.binary())],
+                [pa.array([x[0] for x in new], pa.string()), pa.array([x[1] for x in new], pa.int64()),
+                 pa.array([data[cuts[i] : cuts[i + 1]].tobytes() for *_, i in new], pa.binary())],
                 ["lang", "key", "window"],
             )
 
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, key long, window binary").orderBy("key").limit(2 * sample).collect()
-    taken: dict[str, int] = {}
-    out = []
-    for r in found:
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= quota:
-            out.append((r.lang, bytes(r.window)))
-    return out
+    found = texts.mapInArrow(taken, "lang string, key long, window binary").groupBy("lang", "key").agg(F.min("window").alias("window"))
+    return [(r.lang, bytes(r.window)) for r in found.orderBy("key", "lang").collect()]
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
@@ -147,9 +168,9 @@ def classify(docs: DataFrame, held_out: F.Column, sample: int = SAMPLE, carry: b
     With ``carry`` the whole row of ``docs`` comes along as the struct ``row``.
 
     Learns from the text and non-null lang of the rows where ``held_out`` is false, on a sample of at most
-    ``sample`` windows, the same number for each language. A text is cut into windows; a window's
+    ``sample`` distinct windows, the same number for each language (those with the least hashes). A text is cut into windows; a window's
     kernel point is the set of its byte n-grams of 1 to 3 (letters in lower case, all else a gap). The score
-    is the share of the predicted language, from 0 to 1.
+    is the share of the predicted language, from 0 to 1; of equal shares that of the first language in order of code points wins.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is everything if there is nothing to learn
     from. Very long texts are read whole. Repeated rows stay; a null doc_id stays null; a null ``held_out``
