@@ -547,3 +547,22 @@ def test_pipeline_odd_rows(spark, odd_documents, no_documents):
         if name == "near_duplicates":
             assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, 8, 9, 10, 11, None, None], key=str)
     assert corpus_pipeline.STAGES[-1][1](spark, no_documents, FOLDER).count() == 0
+
+
+def test_pipeline_packs_odd_rows(spark, odd_documents):
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd_documents, FOLDER).collect()
+    ids = Counter(r.doc_id for r in odd_documents.select("doc_id").collect())
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == ids
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    assert [r.doc_tokens for r in pieces if r.doc_id in (1, 2)] == [1, 1]
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """Rows are told apart by doc_id and text: no unique text goes because its doc_id is also a copy's."""
+    texts = {name: " ".join(f"{name}{i * 7 % 90}" for i in range(80)) for name in "abc"}
+    rows = [(1, texts["a"], "p"), (2, texts["a"], "q"), (2, texts["b"], "r"), (2, texts["b"], "s"), (3, texts["c"], "t"), (4, texts["c"] + " end", "u"), (3, None, "v"), (3, None, "w"), (None, texts["a"], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, position string")
+    left = corpus_pipeline.one_of_each(spark, docs, FOLDER)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(1, texts["a"]), (2, texts["b"]), (3, texts["c"]), (3, None), (None, texts["a"])], key=str)
