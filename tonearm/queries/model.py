@@ -238,7 +238,10 @@ TAGS_SQL = SONGS_SQL + ", " + _tags_sql()
 
 def wide(spark: SparkSession, folder: str, terms: bool = True) -> DataFrame:
     """Preprocessed catalogue: tags, derived columns, list features, search text."""
-    base = songs(spark, folder)
+    return derived(songs(spark, folder), terms)
+
+
+def derived(base: DataFrame, terms: bool = True) -> DataFrame:
     rules = tags.assemble_tags(tags.tag_texts(base), tags.tag_hits(RULES, base.columns)).drop("_summary", "_metadata", "_lyric", "_summary_lower", "_metadata_lower", "_style_lower", "_lyric_lower")
     named = rules.withColumnRenamed("language_tags", "generated_language_tags").withColumns(
         {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tonearm import session
 from tonearm.operators import features
+from tonearm.plans import feature_store
 from tonearm.queries import documents, model
 from tonearm.queries.registry import query, table
 from tonearm.sources import buckets, files, sinks
@@ -270,6 +271,18 @@ def feature_tables(spark, folder):
     return counts.select("feature", "item", "cnt")
 
 
+@query("feature_tables_refreshed", "WITH " + model.LONG_SQL + " SELECT feature, item, cnt FROM counts")
+def feature_tables_refreshed(spark, folder):
+    """Counters that follow the catalogue from an earlier state: songs were added, changed and removed since."""
+    path, songs, song = session.scratch(spark), model.songs(spark, folder), F.col("song_id").cast("long")
+    changed = F.when(song % 3 == 0, F.concat(F.lit("nigh grandand\n"), "full_lyric")).otherwise(F.col("full_lyric"))
+    earlier = songs.where(song % 5 != 0).withColumn("full_lyric", changed)
+    removed = songs.where(song % 7 == 0).withColumn("song_id", F.concat(F.lit("gone "), "song_id"))
+    feature_store.refresh(earlier.unionByName(removed), path, model.derived, "v1", n=8)
+    _wide, _rows, counts = feature_store.refresh(songs, path, model.derived, "v1", n=8)
+    return counts.select("feature", "item", "cnt")
+
+
 @query("feature_table_rows", "WITH " + model.LONG_SQL + " SELECT song_id, feature, item FROM feature_rows")
 def feature_table_rows(spark, folder):
     return features.feature_rows(model.wide(spark, folder)).select("song_id", "feature", "item")

@@ -117,6 +117,22 @@ def read(spark: SparkSession, path: str, known: Manifest | None = None, only: It
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else None
 
 
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table; one that has no rows left keeps its columns."""
+    known = manifest(spark, path)
+    if known is None:
+        raise ValueError(f"there is no table at {path}")
+    rows = read(spark, path, known)
+    if rows is not None:
+        return rows
+    return spark.createDataFrame([], StructType.fromJson(json.loads(known.schemas[known.version])))
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose manifest is still kept."""
+    return _numbers(spark, path, _MANIFEST)
+
+
 def rewrite(
     rows: DataFrame, path: str, known: Manifest, changed: Iterable[int], note: Callable[[DataFrame | None], dict] | None = None,
 ) -> Manifest:
