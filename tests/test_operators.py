@@ -432,3 +432,67 @@ def test_publish_year_of_usual_date_forms(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = [r["y"] for r in df.select("i", numbers.publish_year("v").alias("y")).orderBy("i").collect()]
     assert got == [1999] * 10 + [2001] + [None] * 4
+
+
+def test_history_entries_of_a_hot_song_are_dealt_over_tasks(spark):
+    events = spark.range(4000).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("song_id"))
+    rows = [("hot", "Hot", "x | x | y"), ("s1", "One", None), ("s2", "Two", "z"), ("s2", "Two again", "z"), ("unheard", "U", "")]
+    songs = spark.createDataFrame(rows, "song_id string, name string, artist_names string").withColumn("artist_list", F.split("artist_names", r" \| "))
+
+    def entries(**options):
+        found = history.history_entry(events, songs, **options)
+        return sorted((r["event_id"], r["song_id"], r["name"], r["artists"]) for r in found.collect())
+
+    plain = events.join(songs, "song_id", "left").where("song_id is not null or name is not null")
+    want = sorted((r["event_id"], r["song_id"], (r["name"] or "").strip() if r["name"] else None) for r in plain.collect())
+    got = entries()
+    assert [row[:3] for row in got] == want
+    assert got[0] == (0, "hot", "Hot", ["x", "y"])
+    # Outdated or foreign counts only change how rows are dealt.
+    for heat in ([("s2", 900), ("gone", 100)], []):
+        assert entries(clicks=spark.createDataFrame(heat, "song_id string, cnt long")) == got
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = {r["song_id"]: r["salts"] for r in history.hot_songs(history.song_clicks(events)).collect()}
+    assert hot["hot"] == math.ceil(1334 * features.HOT_SHARES * parts / 2667) and sum(hot.values()) <= 2 * features.HOT_SHARES * parts
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = history.history_entry(events, songs).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counts = sorted(r["count"] for r in dealt)
+    assert len(counts) == parts and counts[-1] <= 2 * counts[len(counts) // 2]
+
+
+def test_text_encoder_counts_the_trigrams_of_each_text():
+    from tonearm.functions import udfs
+
+    texts = ["", "a", "Ab", "歌词 日", "x" * 50, "\ud800", "ab" * 3]
+    want = np.zeros((len(texts), 16))
+    for row, value in enumerate(texts):
+        points = [32, *map(ord, value.lower()), 32]
+        for a, b, c in zip(points, points[1:], points[2:]):
+            want[row, ((a * udfs.TRIGRAM_FACTOR + b) * udfs.TRIGRAM_FACTOR + c) % udfs.TRIGRAM_PRIME % 16] += 1
+    want /= np.clip(np.linalg.norm(want, axis=1, keepdims=True), 1e-12, None)
+    encode = udfs.hashing_encoder(16)
+    assert np.allclose(encode(texts), want) and encode([]).shape == (0, 16) and encode(["", ""]).sum() == 0
+    together, udfs.TOGETHER = udfs.TOGETHER, 3
+    try:
+        assert np.allclose(encode(texts), want)
+    finally:
+        udfs.TOGETHER = together
+
+
+def test_constant_matrix_scores_as_its_rows_do(spark):
+    from tonearm.operators import semantics
+
+    rows = [[1.0, -0.1, 1e-9], [0.3333333333333333, 2.5e20, 0.0]]
+    df = spark.createDataFrame([([0.5, 0.25, 4.0],)], "v array<double>")
+    scored = df.select(semantics.label_scores("v", rows).alias("s"), similarity.linear_head("v", [[1.0, 0, 0], [0, 1.0, 0]], [0.25, 0.5]).alias("p"))
+    found = scored.first()
+    assert found["s"] == [sum(a * b for a, b in zip(row, (0.5, 0.25, 4.0))) for row in rows]
+    assert found["p"] == [0.5, 0.5]
+    assert "from_json" not in scored._jdf.queryExecution().optimizedPlan().toString()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.functions.numbers import bind
@@ -84,6 +87,20 @@ def dot(left: ColumnLike, right: ColumnLike) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, item: total + item)
 
 
+def constant_matrix(rows: Sequence[Sequence[float]]) -> Column:
+    """A constant array of vectors as one literal."""
+    return F.from_json(F.lit(json.dumps([[float(x) for x in row] for row in rows])), "array<array<double>>")
+
+
+def matrix_of(rows: DataFrame, vector: str, order: str) -> Column:
+    """The vectors of a small table, one row for each label, in order, as a scalar subquery.
+
+    Spark takes no subquery inside a lambda: put it into a column first.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(order, F.col(vector).alias("v"))))
+    return rows.agg(F.transform(listed, lambda row: row["v"]).alias("m")).scalar()
+
+
 def l2_normalize(values: ColumnLike) -> Column:
     """Unit-length vector; the norm is kept away from zero by 1e-12."""
     return bind(

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 # Keys whose text is harvested, keys searched for a marker.
 HARVEST_KEYS = ("summary", "content", "text", "desc", "description", "title", "name")
 MARKER_KEYS = ("message", "msg", "error")
+# Of the trigram hash; products of code points with them stay below 2^63.
+TRIGRAM_FACTOR, TRIGRAM_PRIME = 1_000_003, 2**31 - 1
+TOGETHER = 1 << 20
 
 
 @F.pandas_udf(T.DoubleType())
@@ -139,35 +142,69 @@ def has_marker(document: Column | str, marker: str) -> Column:
 
 
 def hashing_encoder(dimension: int = 256) -> Callable[[Sequence[str]], np.ndarray]:
-    """Default text encoder: hashed character trigrams, unit length. Needs no model files."""
+    """Default text encoder: hashed character trigrams of the lower-cased text between blanks, unit length.
 
-    def encode(texts: Sequence[str]) -> np.ndarray:
-        import zlib
+    A trigram's place is ((a * M + b) * M + c) mod P mod ``dimension`` of its code points. Needs no model files. Texts
+    are taken together up to a million characters, as one array of code points.
+    """
 
+    def counted(padded: Sequence[bytes]) -> np.ndarray:
+        points = np.frombuffer(b"".join(padded), np.uint32).astype(np.int64)
+        lengths = np.array([len(value) // 4 for value in padded])
+        places = ((points[:-2] * TRIGRAM_FACTOR + points[1:-1]) * TRIGRAM_FACTOR + points[2:]) % TRIGRAM_PRIME % dimension
+        row = np.repeat(np.arange(len(padded)), lengths)
+        # A trigram lies in one text: its first and last character are of the same.
+        inside = row[:-2] == row[2:]
+        counts = np.bincount(row[:-2][inside] * dimension + places[inside], minlength=len(padded) * dimension)
+        return counts.reshape(len(padded), dimension)
+
+    def encode(texts: Sequence[str]) -> np.ndarray:
         matrix = np.zeros((len(texts), dimension), dtype=np.float64)
-        for row, value in enumerate(texts):
-            padded = f" {value.lower()} "
-            for at in range(len(padded) - 2):
-                matrix[row, zlib.crc32(padded[at : at + 3].encode()) % dimension] += 1.0
+        held, size, low = [], 0, 0
+        for at, value in enumerate(texts):
+            held.append(f" {value.lower()} ".encode("utf-32-le", "surrogatepass"))
+            size += len(held[-1])
+            if size >= 4 * TOGETHER or at == len(texts) - 1:
+                matrix[low : at + 1] = counted(held)
+                held, size, low = [], 0, at + 1
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return matrix / np.clip(norms, 1e-12, None)
 
     return encode
 
 
+def _encoded(batches: Iterator[pd.Series], make_encoder: Callable[[], Callable]) -> Iterator[np.ndarray]:
+    encoder = make_encoder()
+    for batch in batches:
+        yield np.asarray(encoder(batch.fillna("").tolist()), dtype=np.float64)
+
+
 def encode_texts(value: Column | str, make_encoder: Callable[[], Callable] = hashing_encoder) -> Column:
     """Vectors of texts. ``make_encoder`` runs once per Python worker and returns texts -> matrix."""
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
-        for batch in batches:
-            matrix = np.asarray(encoder(batch.fillna("").tolist()), dtype=np.float64)
+        for matrix in _encoded(batches, make_encoder):
             yield pd.Series(list(matrix))
 
     return encode(value)
 
 
+def encoded_scores(value: Column | str, label_vectors: np.ndarray, make_encoder: Callable[[], Callable] = hashing_encoder) -> Column:
+    """Similarities of encoded texts to a few label vectors: one matrix product a batch, and no vector leaves the worker.
+
+    They are rounded to twelve places, so that labels which are equally alike are ties, whatever the order of the sum.
+    """
+    turned = np.ascontiguousarray(np.asarray(label_vectors, dtype=np.float64).T)
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for matrix in _encoded(batches, make_encoder):
+            yield pd.Series(list(np.round(matrix @ turned, 12)))
+
+    return score(value)
+
+
 def segment_words(value: Column | str, make_segmenter: Callable[[], Callable[[str], list[str]]]) -> Column:
     """Words of a text from an optional segmenter, loaded once per Python worker."""
 

@@ -17,11 +17,31 @@ ENTRY_FIELDS = ["song_id", "name", "artist_names", "album_name"]
 SWITCHED_ACTION = "select"  # fixed value: the one action the setting can turn off
 
 
-def history_entry(events: DataFrame, songs: DataFrame, key: str = "song_id") -> DataFrame:
+def song_clicks(events: DataFrame, key: str = "song_id") -> DataFrame:
+    """(key, cnt): interactions of each song, combined before the shuffle."""
+    return events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def hot_songs(clicks: DataFrame, key: str = "song_id") -> DataFrame:
+    """(key, salts): songs with more than a quarter of a shuffle partition's share of all interactions.
+
+    A song gets a salt for each such quarter, so there are at most HOT_SHARES times the partitions of songs here and at
+    most twice as many salts.
+    """
+    quarters = features.HOT_SHARES * int(clicks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = clicks.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")).first()["total"]
+    share = F.col("cnt") * F.lit(quarters).cast("long")
+    return clicks.where(share > total).select(key, F.ceil(share / F.lit(max(1, total))).cast("int").alias("salts"))
+
+
+def history_entry(events: DataFrame, songs: DataFrame, key: str = "song_id", clicks: DataFrame | None = None) -> DataFrame:
     """Join interactions with the catalogue: song fields and twelve distinct feature lists.
 
     Works for a static and for a streaming ``events`` (time, action and key columns). Entries
-    without id and name are dropped.
+    without id and name are dropped. ``clicks`` (key, cnt) says how often songs are chosen; a static log counts its own
+    if there is none, a stream takes those of its past. Interactions of a hot song are dealt over its salts, by a hash of
+    their columns, and its catalogue row is copied to each; only ids of hot songs are broadcast. Interactions without
+    a song are dealt out too. The result is that of the plain join, whatever ``clicks`` says.
     """
     lists = {feature: column for feature, column in features.FEATURE_COLUMNS.items() if column in songs.columns}
     payload = songs.select(
@@ -31,7 +51,19 @@ def history_entry(events: DataFrame, songs: DataFrame, key: str = "song_id") ->
         *[arrays.unique_items(arrays.coerce_list(column, True)).alias(feature)
           for feature, column in lists.items()],
     )
-    joined = events.join(payload, key, "left")
+    if clicks is None and not events.isStreaming:
+        clicks = song_clicks(events, key)
+    if clicks is None:
+        joined = events.join(payload, key, "left")
+    else:
+        hot = F.broadcast(hot_songs(clicks, key))
+        deal = F.xxhash64(*events.columns)
+        parts = F.lit(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salt = F.when(F.col(key).isNull(), F.pmod(deal, parts)).otherwise(F.pmod(deal, F.coalesce("salts", F.lit(1))))
+        dealt = events.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("salts")
+        every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        copied = payload.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("salts")
+        joined = dealt.join(copied, [key, "_salt"], "left").drop("_salt")
     return joined.where(~(text.is_blank(key) & text.is_blank("name")))
 
 

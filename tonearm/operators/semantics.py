@@ -35,9 +35,9 @@ def label_descriptions(labels: LabelSet) -> list[str]:
     return [labels.description.format(tag=tag, needles="、".join(needles)) for tag, needles in labels.rules]
 
 
-def label_scores(vector: str, label_vectors: Sequence[Sequence[float]]) -> Column:
-    """Similarity of a unit vector to each label vector (a constant of a few labels)."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in label_vectors])
+def label_scores(vector: str, label_vectors: Column | Sequence[Sequence[float]]) -> Column:
+    """Similarity of a unit vector to each label vector: one literal, or a column (``arrays.matrix_of``)."""
+    table = label_vectors if isinstance(label_vectors, Column) else arrays.constant_matrix(label_vectors)
     return F.transform(table, lambda row: arrays.dot(row, vector))
 
 
@@ -80,10 +80,8 @@ def label_by_similarity(
     make_encoder: Callable[[], Callable] = udfs.hashing_encoder, model: str = "hashing-trigrams",
     keyword_fallback: bool = True, key: str = "song_id",
 ) -> DataFrame:
-    """Encode the texts in Arrow batches, compare with the label vectors, keep accepted labels."""
+    """Encode the texts in Arrow batches, compare with the label vectors there, keep accepted labels."""
     # A handful of label sentences are encoded once, where the job is defined.
     vectors = make_encoder()(label_descriptions(labels))
-    scored = df.withColumn("_vector", udfs.encode_texts(content, make_encoder)).withColumn(
-        "_scores", label_scores("_vector", [list(row) for row in vectors])
-    )
+    scored = df.withColumn("_scores", udfs.encoded_scores(content, vectors, make_encoder))
     return label_texts(scored, labels, "_scores", content, model, keyword_fallback, key)

@@ -145,9 +145,9 @@ def emotion_tags(scores: Column | str, threshold: float = 0.16) -> Column:
     )
 
 
-def linear_head(vector: str, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
-    """Class probabilities softmax(Wx + b) for a small constant weight matrix."""
-    table = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
-    offsets = F.array(*[F.lit(float(b)) for b in bias])
+def linear_head(vector: str, weights: Column | Sequence[Sequence[float]], bias: Column | Sequence[float]) -> Column:
+    """Class probabilities softmax(Wx + b); the small weight matrix is one literal, or a column."""
+    table = weights if isinstance(weights, Column) else arrays.constant_matrix(weights)
+    offsets = bias if isinstance(bias, Column) else arrays.constant_matrix([bias])[0]
     logits = F.zip_with(table, offsets, lambda row, offset: arrays.dot(row, vector) + offset)
     return numbers.softmax(logits)

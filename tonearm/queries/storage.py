@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tonearm import session
 from tonearm.operators import features
+from tonearm.operators import history as past
 from tonearm.plans import feature_store
 from tonearm.queries import documents, model
 from tonearm.queries.registry import query, table
@@ -334,7 +335,7 @@ def history_stream(spark, folder):
         F.col("doc_id").cast("string").alias("song_id"), F.lit("n").alias("name"), F.concat_ws(" | ", "source", "lang").alias("artist_names"), F.lit("").alias("album_name"),
         F.split("lang", ",").alias("language_tags"))
     log = _log(spark, folder).withColumn("action", F.when(F.col("action") == "view", "select").otherwise(F.col("action")))
-    entries = streams.history_entries(_as_stream(spark, log), songs, False)
+    entries = streams.history_entries(_as_stream(spark, log), songs, False, clicks=past.song_clicks(log))
     path = session.scratch(spark)
     entries.writeStream.format("parquet").option("checkpointLocation", session.scratch(spark)).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.parquet(path).select("event_id", "song_id", F.coalesce("artist_names", F.lit("")).alias("artist_names"))

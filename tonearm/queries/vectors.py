@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonearm import vocab
-from tonearm.functions import arrays, text
+from tonearm.functions import arrays, text, udfs
 from tonearm.operators import audio, neighbors, semantics, similarity
 from tonearm.queries.registry import query, table
 
@@ -125,11 +125,11 @@ def affect_proxy(spark, folder):
     return measures.select("l_orderkey", F.round(valence, 6).alias("valence"), F.round(arousal, 6).alias("arousal"))
 
 
-def _label_vectors(spark, folder):
-    """One vector per label, the one with the smallest id (as many rows as there are labels)."""
+def _with_label_vectors(spark, folder, df):
+    """Add ``label_vectors``, one vector per label in the order of the labels: of each label the one with the smallest id."""
     first = table(spark, folder, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    unit = first.select("label", arrays.l2_normalize("v").alias("v")).orderBy("label")
-    return [row["v"] for row in unit.collect()]
+    unit = first.select("label", arrays.l2_normalize("v").alias("v"))
+    return df.withColumn("label_vectors", arrays.matrix_of(unit, "v", "label"))
 
 
 LABEL_VECTORS_SQL = "label_vectors AS (SELECT label, arg_min(embedding, vec_id) AS lv FROM embeddings GROUP BY label)"
@@ -139,10 +139,10 @@ LABEL_VECTORS_SQL = "label_vectors AS (SELECT label, arg_min(embedding, vec_id)
 logits AS (SELECT vec_id, l.label, {COSINE.format('embedding', 'lv')} * sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) + l.label * 0.1 AS z FROM embeddings, label_vectors l)
 SELECT vec_id, label, round(exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id), 5) AS p FROM logits""")
 def linear_head(spark, folder):
-    weights = _label_vectors(spark, folder)
-    probabilities = similarity.linear_head("v", weights, [0.1 * i for i in range(len(weights))])
+    weights = F.col("label_vectors")
+    probabilities = similarity.linear_head("v", weights, F.transform(weights, lambda _row, i: i * 0.1))
     dense = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return dense.select("vec_id", F.posexplode(probabilities).alias("label", "p")).select("vec_id", "label", F.round("p", 5).alias("p"))
+    return _with_label_vectors(spark, folder, dense).select("vec_id", F.posexplode(probabilities).alias("label", "p")).select("vec_id", "label", F.round("p", 5).alias("p"))
 
 
 LABELS = semantics.LabelSet(
@@ -168,20 +168,41 @@ SELECT CAST(e.vec_id AS VARCHAR) AS song_id, coalesce(a.tags, f.tags, '') AS lyr
 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN accepted a USING (vec_id) LEFT JOIN fallback f ON f.doc_id = e.vec_id""")
 def label_similarity(spark, folder):
     texts = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("song_id"), "text")
-    scored = vectors(spark, folder).join(texts, "song_id").withColumn("v", arrays.l2_normalize("vector")).withColumn(
-        "scores", semantics.label_scores("v", _label_vectors(spark, folder)))
+    unit = vectors(spark, folder).join(texts, "song_id").withColumn("v", arrays.l2_normalize("vector"))
+    scored = _with_label_vectors(spark, folder, unit).withColumn("scores", semantics.label_scores("v", F.col("label_vectors")))
     return semantics.label_texts(scored, LABELS, "scores", "text", "given")
 
 
 @query("topk_labels", f"WITH {LABEL_RANK_SQL} SELECT vec_id, string_agg('L' || label, ',' ORDER BY rank) AS labels FROM ranked WHERE rank <= 3 GROUP BY vec_id")
 def topk_labels(spark, folder):
     unit = table(spark, folder, "embeddings").select("vec_id", arrays.l2_normalize("embedding").alias("v"))
-    scored = unit.withColumn("s", semantics.label_scores("v", _label_vectors(spark, folder)))
+    scored = _with_label_vectors(spark, folder, unit).withColumn("s", semantics.label_scores("v", F.col("label_vectors")))
     names = text.constant_array([tag for tag, _needles in LABELS.rules])
     return scored.select("vec_id", F.array_join(F.transform(arrays.top_labels("s", names, 3), lambda item: item["label"]), ",").alias("labels"))
 
 
-@query("label_encoded_texts")
+def _encoded_sql() -> str:
+    """Trigram counts of texts and label sentences by place, their cosines, and the accepted labels."""
+    sentences = ", ".join(f"({i}, '{sentence}')" for i, sentence in enumerate(semantics.label_descriptions(LABELS)))
+    place = f"((p[i] * {udfs.TRIGRAM_FACTOR} + p[i + 1]) * {udfs.TRIGRAM_FACTOR} + p[i + 2]) % {udfs.TRIGRAM_PRIME} % 256"
+    return f"""WITH sentences(id, txt) AS (VALUES {sentences}), {_label_rules_sql()},
+said AS (SELECT 0 AS kind, doc_id AS id, coalesce(text, '') AS txt FROM documents UNION ALL SELECT 1, id, txt FROM sentences),
+points AS (SELECT kind, id, list_transform(string_split(' ' || lower(txt) || ' ', ''), lambda c: CAST(unicode(c) AS BIGINT)) AS p FROM said),
+grams AS (SELECT kind, id, unnest(list_transform(range(1, len(p) - 1), lambda i: {place})) AS place FROM points),
+counts AS (SELECT kind, id, place, count(*) AS n FROM grams GROUP BY ALL),
+norms AS (SELECT kind, id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY ALL),
+products AS (SELECT d.id, l.id AS label, sum(d.n * l.n) AS product FROM counts d JOIN counts l USING (place) WHERE d.kind = 0 AND l.kind = 1 GROUP BY ALL),
+scores AS (SELECT p.id, label, round(product / d.norm / l.norm, 12) AS score FROM products p JOIN norms d ON d.kind = 0 AND d.id = p.id JOIN norms l ON l.kind = 1 AND l.id = label),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rank, max(score) OVER (PARTITION BY id) AS best FROM scores),
+accepted AS (SELECT id, string_agg('L' || label, ' | ' ORDER BY rank) AS tags, string_agg('L' || label || ':' || printf('%.4f', score), ' | ' ORDER BY rank) AS scores
+  FROM ranked WHERE rank <= 3 AND score >= 0.2 AND best - score <= 0.04 GROUP BY id),
+fallback AS (SELECT doc_id, string_agg(tag, ' | ' ORDER BY rule) AS tags FROM (SELECT DISTINCT doc_id, rule, tag FROM documents, label_rules WHERE contains(lower(text), needle)) GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS song_id, coalesce(a.tags, f.tags, '') AS lyric_semantic_tags, coalesce(a.scores, '') AS lyric_semantic_scores, 'hashing-trigrams' AS lyric_semantic_model,
+  CASE WHEN a.tags IS NULL AND f.tags IS NOT NULL THEN 'model_low_confidence_keyword_fallback' ELSE '' END AS lyric_semantic_error
+FROM documents d LEFT JOIN accepted a ON a.id = d.doc_id AND trim(text) <> '' LEFT JOIN fallback f ON f.doc_id = d.doc_id"""
+
+
+@query("label_encoded_texts", _encoded_sql())
 def label_encoded_texts(spark, folder):
     """Encoder path: hashed trigram vectors of whole texts against label sentences."""
     texts = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("song_id"), "text")

@@ -12,9 +12,15 @@ from tonearm.operators import history, snapshots
 from tonearm.sources import buckets as tables
 
 
-def history_entries(events: DataFrame, songs: DataFrame, selection_writes_history: bool = True) -> DataFrame:
-    """Stream of history entries: recorded interactions joined with the static catalogue."""
-    return history.history_entry(history.recorded(events, selection_writes_history), songs)
+def history_entries(
+    events: DataFrame, songs: DataFrame, selection_writes_history: bool = True, clicks: DataFrame | None = None,
+) -> DataFrame:
+    """Stream of history entries: recorded interactions joined with the static catalogue.
+
+    ``clicks`` (song_id, cnt), how often songs were chosen so far, tells which of them are hot; it is looked at when the stream is
+    defined. A song that becomes hot later is only slower.
+    """
+    return history.history_entry(history.recorded(events, selection_writes_history), songs, clicks=clicks)
 
 
 # One pass over what is there; a continuous run takes {"processingTime": "10 seconds"} instead.
