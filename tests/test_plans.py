@@ -26,6 +26,25 @@ def test_row_wise_tags_need_no_shuffle(spark):
     assert "Exchange" not in plan_of(tags.song_tags(songs, model.RULES))
 
 
+def test_texts_in_many_splits_are_not_shuffled_for_row_wise_work(spark, tmp_path):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    documents.repartition(64).write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, dealt in ((str(tmp_path), False), (FOLDER, True)):
+        df = catalogue.QUERIES["clean_lyric_text"](spark, folder)
+        assert ("Exchange" in plan_of(df)) == dealt
+    many = catalogue.QUERIES["clean_lyric_text"](spark, str(tmp_path))
+    assert sorted(map(str, many.collect())) == sorted(map(str, df.collect()))
+
+
+def test_stored_recommendation_makes_no_terms(spark, tmp_path):
+    from tonearm.plans import feature_store, recommend
+    from tonearm.queries import model, scores
+
+    feature_store.refresh(model.songs(spark, FOLDER), str(tmp_path), model.derived, "v1", n=4)
+    plan = plan_of(recommend.recommend_stored(spark, str(tmp_path), scores.REQUEST))
+    assert "regexp" not in plan and "documents.parquet" not in plan and "CartesianProduct" not in plan
+
+
 def test_last_n_is_limited_before_the_shuffle(spark):
     assert plan_of(catalogue.QUERIES["last_n"](spark, FOLDER)).count("WindowGroupLimit") >= 2
 

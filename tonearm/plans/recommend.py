@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm import session, vocab
 from tonearm.operators import features, filters, history, scoring, similarity
+from tonearm.plans import feature_store
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,11 @@ def recommend(
     return result
 
 
+def recommend_stored(spark: SparkSession, path: str, request: Request = Request(), **options) -> DataFrame:
+    """As ``recommend`` on the tables that ``feature_store.refresh`` keeps at ``path``: no text is tagged or tokenised for a request."""
+    return recommend(*feature_store.read(spark, path), request, **options)
+
+
 def recommend_from(wide: DataFrame, request: Request = Request(), **options) -> DataFrame:
     """As ``recommend`` for a catalogue that is not stored yet.
 

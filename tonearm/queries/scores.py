@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonearm import vocab
+from tonearm import session, vocab
 from tonearm.operators import catalog, features, filters, joins, scoring
+from tonearm.plans import feature_store
 from tonearm.plans import features as feature_plan
 from tonearm.plans import recommend as plan
 from tonearm.queries import model
@@ -214,3 +215,13 @@ SELECT song_id, name, dynamic_score, score_breakdown FROM passing ORDER BY dynam
 def recommend(spark, folder):
     found = plan.recommend_from(model.wide(spark, folder), REQUEST)
     return joins.top_candidates(found).select("song_id", "name", "dynamic_score", "score_breakdown")
+
+
+@query("recommend_stored", recommend_sql(score_sql(vocab.DEFAULT_DIMENSION_WEIGHTS), DEFAULT_THRESHOLD_SQL) + """
+SELECT song_id, name, dynamic_score, score_breakdown FROM passing ORDER BY dynamic_score DESC, comment_total DESC, song_id LIMIT 20""")
+def recommend_stored(spark, folder):
+    """The same request on stored features."""
+    store = session.scratch(spark)
+    feature_store.refresh(model.songs(spark, folder), store, model.derived, "v1", n=8)
+    found = plan.recommend_stored(spark, store, REQUEST)
+    return joins.top_candidates(found).select("song_id", "name", "dynamic_score", "score_breakdown")

@@ -66,7 +66,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly before steps that are heavy per row, whatever parts the input is stored in."""
+    """Deal the rows of a stored table out evenly if it has fewer splits than there are cores.
+
+    A table of many splits is read as it lies: its texts are not shuffled before steps that work row by row.
+    """
     spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts)
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
