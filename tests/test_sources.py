@@ -195,3 +195,20 @@ def test_old_versions_are_pruned(spark, tmp_path):
     assert spark.read.parquet(sinks.latest_version(spark, path)).count() == 4
     sinks.prune(spark, path)
     assert sinks.latest_version(spark, path).endswith("version-000004")
+
+
+def test_files_are_written_in_place_and_read_in_few_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.lit("a+b "), "id", F.lit(".txt")).alias("name"), F.encode(F.concat(F.lit(" x\n"), "id"), "UTF-8").alias("value"))
+    folder = str(tmp_path / "one 100%" / "two")
+    assert sinks.write_files(rows, folder) == 300
+    assert sorted(os.listdir(folder)) == sorted(f"a+b {n}.txt" for n in range(300))
+    with open(f"{folder}/a+b 7.txt", "rb") as one:
+        assert one.read() == b" x\n7"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        read = files.read_lyrics(spark, folder)
+        assert read.rdd.getNumPartitions() <= 64
+        assert files.list_files(spark, folder).rdd.getNumPartitions() <= 64
+        assert {(r["song_id"], r["full_lyric"]) for r in read.collect()} == {(f"a+b {n}", f"x\n{n}") for n in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

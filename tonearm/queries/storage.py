@@ -134,22 +134,28 @@ def file_listing(spark, folder):
     return listed.groupBy(stem.alias("stem")).agg(F.count(F.lit(1)).cast("int").alias("files"))
 
 
-def _write_files(rows: DataFrame, suffix: str, within: str = "", part: str = "text", **options: str) -> str:
-    """A folder with one file for each ``name`` of (name, ...): what a user's folder of small files looks like.
+def _write_tables(rows: DataFrame, suffix: str) -> str:
+    """A folder with one CSV file for each ``name`` of (name, ...), of which there are few.
 
-    Spark writes a folder for each name; its one part is then renamed, ``name`` + ``suffix``, below the folder ``within``.
+    Spark writes a folder for each name; its one part is then renamed, ``name`` + ``suffix``.
     """
     spark = rows.sparkSession
     made, target = session.scratch(spark), session.scratch(spark)
-    rows.repartition("name").write.partitionBy("name").options(**options).format(part).save(made)
+    rows.repartition("name").write.partitionBy("name").option("header", "true").csv(made)
     place, system = buckets._files(spark, made)
-    below = place(f"{target}/{within}" if within else target)
-    system.mkdirs(below)
+    system.mkdirs(place(target))
     for named in system.listStatus(place(made)):
         if named.isDirectory():
             name = named.getPath().getName().removeprefix("name=")
             for found in system.globStatus(place(named.getPath(), "part-*")):
-                system.rename(found.getPath(), place(below, name + suffix))
+                system.rename(found.getPath(), place(target, name + suffix))
+    return target
+
+
+def _write_files(rows: DataFrame, suffix: str, within: str = "") -> str:
+    """What a user's folder of small files looks like: one for each row, ``name`` + ``suffix``, below the folder ``within``."""
+    target = session.scratch(rows.sparkSession)
+    sinks.write_files(rows.withColumn("name", F.concat("name", F.lit(suffix))), f"{target}/{within}" if within else target)
     return target
 
 
@@ -161,8 +167,8 @@ def tag_csv_folder(spark, folder):
     """A file for each brand with one of two headers, read as a folder."""
     part = table(spark, folder, "part").withColumn("name", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int"))
     key = F.col("p_partkey").cast("string").alias("song_id")
-    even = _write_files(part.where("name % 2 = 0").select("name", key, F.col("p_type").alias(" kind ")), "_song_tags.csv", part="csv", header="true")
-    odd = _write_files(part.where("name % 2 = 1").select("name", F.col("p_size").alias("size"), key), "_song_tags.csv", part="csv", header="true")
+    even = _write_tables(part.where("name % 2 = 0").select("name", key, F.col("p_type").alias(" kind ")), "_song_tags.csv")
+    odd = _write_tables(part.where("name % 2 = 1").select("name", F.col("p_size").alias("size"), key), "_song_tags.csv")
     place, system = buckets._files(spark, even)
     for found in system.listStatus(place(odd)):
         system.rename(found.getPath(), place(even, found.getPath().getName()))
@@ -217,8 +223,7 @@ def embedding_files(spark, folder):
             out.append(content.getvalue())
         return pd.Series(out)
 
-    # The text writer passes bytes on as they are.
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("name"), stored("embedding").cast("string").alias("value"))
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("name"), stored("embedding").alias("value"))
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
     vectors = files.read_embeddings(spark, _write_files(rows, ".npy"))
     return vectors.select("song_id", F.size("vector").cast("long").alias("n"), F.col("vector")[0].cast("double").alias("first"), total.alias("total"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tonearm import vocab
+from tonearm import session, vocab
 from tonearm.functions import text
 from tonearm.operators import merge, similarity, snapshots
 
@@ -57,7 +57,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    listed = reader.load(folder)
+    listed = session.gather(reader.load(folder))
     return listed.select(
         "path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), "length",
         F.col("modificationTime").alias("modified"),
@@ -106,7 +106,7 @@ def read_tag_csvs(spark: SparkSession, folder: str) -> DataFrame:
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(stem, file_name, value): whole text files."""
     reader = spark.read.option("pathGlobFilter", pattern)
-    return reader.text(folder, wholetext=True).select(
+    return session.gather(reader.text(folder, wholetext=True)).select(
         _stem().alias("stem"), F.col("_metadata.file_name").alias("file_name"), "value"
     )
 
@@ -167,7 +167,7 @@ def read_parquet(spark: SparkSession, path: str, ordered: bool = False) -> DataF
 def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """(song_id, vector) from a folder of ``.npy`` files, one vector each.
 
-    No vector at all, or vectors of different sizes, are an error.
+    No vector at all, or vectors of different sizes, are an error. Files are opened once: their vectors are stored.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,9 +176,10 @@ def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame({"song_id": pdf["stem"].str.strip(), "vector": vectors})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder)
+    files = session.gather(files)
     stems = F.regexp_extract("path", r"([^/]*)\.npy\z", 1)
     loaded = files.select(stems.alias("stem"), "content").mapInPandas(decode, "song_id string, vector array<float>")
-    return similarity.check_vectors(loaded.where(F.col("song_id") != ""))
+    return similarity.check_vectors(session.materialize(loaded.where(F.col("song_id") != "")))
 
 
 def list_audio(spark: SparkSession, folder: str) -> DataFrame:
