@@ -66,3 +66,13 @@ def test_tag_job_puts_audio_tags_on_songs_that_have_a_file(spark):
     tagged = {r["song_id"] for r in rows if r["audio_feature_tags"]}
     assert tagged and tagged == {r["song_id"] for r in rows} & with_file
     assert table.where(F.col("song_id").endswith("wav")).count() == 0
+
+
+def test_a_filter_on_tags_stays_behind_the_rules(spark):
+    """Moved in front of the rules it would evaluate all of them with their texts a second time."""
+    from tonearm.queries import catalogue
+
+    plan = catalogue.QUERIES["blocked_tags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.strip(" :+-|").startswith("Filter")]
+    assert not any("lower(" in line or "Lower" in line or "tionic" in line for line in filters)
+    assert "Generate inline" in plan

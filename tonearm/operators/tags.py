@@ -144,7 +144,7 @@ def bpm_column(columns: Sequence[str]) -> Column:
 
 def ranked_tags(scored: Column) -> Column:
     """Tags of (tag, score) structs by score descending, then name."""
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(scored, lambda item: F.struct((-item["score"]).alias("minus"), item["tag"].alias("tag")))
     )
     return F.transform(ordered, lambda item: item["tag"])
@@ -153,12 +153,13 @@ def ranked_tags(scored: Column) -> Column:
 def assemble_tags(df: DataFrame, hits: Column) -> DataFrame:
     """Turn the hits of a row into joined tag columns, confidence and sources, without a shuffle.
 
-    The hits are evaluated once per row and everything else is derived from that one value, so a
-    later filter on a tag column repeats the work at most once.
+    The hits are evaluated once per row and everything else is derived from that one value. The columns come out of
+    a generator of one row, so that a later filter on a tag column is not moved in front of it, where it would evaluate
+    every rule with its texts again.
     """
     bundle = df.withColumn("_tags", numbers.bind(hits, _tag_bundle))
     names = [*(f"{name}_tags" for name in CATEGORIES), "all_tags", "tag_confidence", "tag_sources"]
-    return bundle.withColumns({name: F.col("_tags")[name] for name in names}).drop("_tags")
+    return bundle.select(*[name for name in df.columns if name not in names], F.inline(F.array("_tags")))
 
 
 def _tag_bundle(hits: Column) -> Column:
@@ -182,7 +183,7 @@ def _tag_bundle(hits: Column) -> Column:
         return F.concat(text.json_string(tag), F.lit(": ["), F.array_join(quoted, ", "), F.lit("]"))
 
     # Best score per (category, tag): hits sorted by category, score and tag keep their first copy.
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             hits,
             lambda hit: F.struct(
@@ -204,7 +205,7 @@ def _tag_bundle(hits: Column) -> Column:
                 F.array_join(ranked_tags(tags), " | ").alias("all_tags"),
                 F.coalesce(F.bround(F.array_max(F.transform(tags, lambda item: item["score"])), 3), F.lit(0.0))
                 .alias("tag_confidence"),
-                F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(names), sources), ", "), F.lit("}"))
+                F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(names), sources), ", "), F.lit("}"))
                 .alias("tag_sources"),
             ),
         )
