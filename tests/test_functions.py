@@ -94,3 +94,33 @@ def test_title_terms_drop_whole_titles_and_long_cjk(spark):
 
 def test_emoji_counts_as_one_character(spark):
     assert value(spark, text.excerpt(F.lit("😀" * 5), 5)) == "😀" * 5
+
+
+def test_most_common_agrees_with_a_counter(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(arrays, "COUNTED", 50)
+    draw = random.Random(1)
+    lists = [None if draw.random() < 0.1 else [draw.choice("abcdefghijklé") for _ in range(draw.randrange(200))] for _ in range(300)]
+    for start in (0, 7, 300):
+        found = arrays.top_words(pa.array(lists, pa.list_(pa.string())).slice(start), 4).to_pylist()
+        assert found == [[word for word, _n in Counter(words or []).most_common(4)] for words in lists[start:]]
+
+
+def test_blank_and_line_patterns_keep_every_character(spark):
+    """The guarded patterns match what the plain classes match, character by character."""
+    chars = [chr(code) for code in range(0x3100)]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string")
+    plain = f"[{text._BLANK_CLASS}]+"
+    ends = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+    assert rows.where(F.col("c").rlike(plain) != F.col("c").rlike(text._BLANKS)).count() == 0
+    assert rows.where(F.col("c").rlike(ends) != F.col("c").rlike(text._LINE_END)).count() == 0
+    pieces = [a + b + d for a in ("", "x", "\r", "\n") for b in ("\r\n", "\n\r", "\n\n", "\r", " ") for d in ("", "y", "\n", "\r\n")]
+    found = spark.createDataFrame([(p,) for p in pieces], "c string").select("c", F.split("c", ends).alias("a"), text.lines("c").alias("b"), text.line_count("c").alias("n")).collect()
+    for row in found:
+        assert row["a"] == row["b"]
+        assert row["n"] == len(row["c"].splitlines())
+

@@ -20,8 +20,9 @@ _BLANK_CHARS = "".join(
     for code in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
                  0x202F, 0x205F, 0x3000)
 )
-_BLANKS = f"[{_BLANK_CLASS}]+"
-_LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+# The engine tests every part of a class on each character, so a first class turns visible ASCII away at once.
+_BLANKS = f"[[^!-~]&&[{_BLANK_CLASS}]]+"
+_LINE_END = r"[[^ -~]&&[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]](?:(?<=\r)\n)?"
 _STAMP = r"\[[^\]]+\]"
 _CREDIT_LINE = r"(?imUd)^\s*(作词|作曲|编曲|制作人|OP|SP|Publisher)\s*[:：].*$"
 _PLACEHOLDER = r"(?U)纯音乐[，,、\s]*请欣赏"
@@ -84,7 +85,7 @@ def normalize_for_search(value: ColumnLike) -> Column:
 
 def excerpt(value: ColumnLike, limit: int = 300) -> Column:
     """One-line display text of at most ``limit`` characters, cut texts end in an ellipsis."""
-    text = strip(F.regexp_replace(F.replace(safe_raw(value), F.lit("\r"), F.lit(" ")), "\n", " / "))
+    text = strip(F.replace(F.replace(safe_raw(value), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" / ")))
     cut = F.rtrim(F.substring(text, 1, limit - 3), F.lit(_BLANK_CHARS))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("...")))
 
@@ -96,7 +97,7 @@ def safe_raw(value: ColumnLike) -> Column:
 def line_count(value: ColumnLike) -> Column:
     """Number of lines; a line end that closes the text opens no further line."""
     text = safe_raw(value)
-    last_open = F.when(text.rlike(f"(?:{_LINE_END})\\z"), 0).otherwise(1)
+    last_open = F.when(F.right(text, F.lit(1)).rlike(_LINE_END), 0).otherwise(1)
     return F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit(_LINE_END)) + last_open)
 
 

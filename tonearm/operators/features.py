@@ -31,14 +31,8 @@ def lyric_terms(
         segmented = df.withColumn("_found", udfs.segment_words(text.clean_lyric(lyric), make_segmenter))
         found = text.lyric_words("_found", "language_tags", stop_words, F.col("_found"))
         return segmented.withColumn("lyric_terms", arrays.most_common(found, limit)).drop("_found")
-    words = numbers.bind(
-        text.clean_lyric(lyric),
-        lambda cleaned: numbers.bind(
-            text.lyric_words(cleaned, "language_tags", stop_words),
-            lambda found: arrays.most_common(found, limit),
-        ),
-    )
-    return df.withColumn("lyric_terms", words)
+    words = numbers.bind(text.clean_lyric(lyric), lambda cleaned: text.lyric_words(cleaned, "language_tags", stop_words))
+    return df.withColumn("lyric_terms", arrays.most_common(words, limit))
 
 
 def title_terms(df: DataFrame) -> DataFrame:

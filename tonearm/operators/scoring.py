@@ -128,7 +128,7 @@ def feature_part_columns(
 
 def breakdown(parts: list[tuple[str, Column]]) -> Column:
     """The five largest parts as ``label:0.0`` text; parts below 0.1 are dropped afterwards."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.array(
             *[
                 F.struct((-value).alias("minus"), F.lit(order).alias("order"), F.lit(label).alias("label"))

@@ -243,12 +243,14 @@ def wide(spark: SparkSession, folder: str, terms: bool = True) -> DataFrame:
 
 def derived(base: DataFrame, terms: bool = True) -> DataFrame:
     rules = tags.assemble_tags(tags.tag_texts(base), tags.tag_hits(RULES, base.columns)).drop("_summary", "_metadata", "_lyric", "_summary_lower", "_metadata_lower", "_style_lower", "_lyric_lower")
-    named = rules.withColumnRenamed("language_tags", "generated_language_tags").withColumns(
+    # Columns of their own: each needle looks at the text once lowered.
+    lowered = rules.withColumns({"_lyric": F.lower("full_lyric"), "_excerpt": F.lower("lyric_excerpt")})
+    named = lowered.withColumnRenamed("language_tags", "generated_language_tags").withColumns(
         {
-            "lyric_semantic_tags": F.array_join(text.matching_tags(F.lower("full_lyric"), LYRIC_LABELS), " | "),
-            "comment_semantic_tags": F.array_join(text.matching_tags(F.lower("lyric_excerpt"), COMMENT_LABELS), " | "),
+            "lyric_semantic_tags": F.array_join(text.matching_tags("_lyric", LYRIC_LABELS), " | "),
+            "comment_semantic_tags": F.array_join(text.matching_tags("_excerpt", COMMENT_LABELS), " | "),
         }
-    )
+    ).drop("_lyric", "_excerpt")
     return feature_plan.preprocess(named, "https://example.org/song/", terms, LANGUAGES)
 
 
