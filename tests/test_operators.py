@@ -496,3 +496,23 @@ def test_constant_matrix_scores_as_its_rows_do(spark):
     assert found["s"] == [sum(a * b for a, b in zip(row, (0.5, 0.25, 4.0))) for row in rows]
     assert found["p"] == [0.5, 0.5]
     assert "from_json" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbors_without_clusters_are_found_in_tiles(spark, monkeypatch):
+    """Unstructured vectors visit nearly all blocks; a row for each visit would grow with the square of the vectors."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 700)
+    monkeypatch.setattr(neighbors, "_visits", None)  # not asked for
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(1500, 24))
+    points[700:720] = points[3]
+    rows = [(f"{i}", point.tolist()) for i, point in enumerate(points)]
+    df = spark.createDataFrame(rows, "song_id string, vector array<double>")
+    got = {}
+    for r in neighbors.nearest_neighbors(df, 5, pivots=4, block_rows=16).orderBy("song_id", "rank").collect():
+        got.setdefault(r["song_id"], []).append((r["neighbor_id"], round(r["similarity"], 9)))
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    for i in range(0, len(points), 7):
+        best = sorted((j for j in range(len(points)) if j != i), key=lambda j: (-scores[i, j], str(j)))[:5]
+        assert got[str(i)] == [(str(j), scores[i, j]) for j in best]
+    assert len(got) == len(points)

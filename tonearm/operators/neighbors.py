@@ -22,6 +22,11 @@ LEAF_BLOCKS = 16
 VISITOR_BLOCKS = 4
 FIRST_BLOCKS = 4
 SLICE = 512
+# Rows of one side of a tile where blocks would not save work, vectors that tell whether they do, and entries whose maximum
+# stands for them in the first look for the best.
+TILE_ROWS = 32768
+PROBES = 256
+GROUP = 128
 SLACK = 1e-6  # rounding of distances
 
 HOME = "struct<cell:int,leaf:int,chunk:int,part:int>"
@@ -49,6 +54,26 @@ def _top(similarity: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return rows, order.ravel()
 
 
+def _best(guests: np.ndarray, hosts: np.ndarray, rank_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the k best hosts of every guest; equal scores prefer the smaller rank.
+
+    The k-th largest of the maxima of groups of hosts is no more than the k-th best, so only entries from there on are sorted.
+    """
+    found, groups = [], len(hosts) // GROUP
+    for start in range(0, len(guests), SLICE):
+        similarity = guests[start : start + SLICE] @ hosts.T
+        bound = np.full(len(similarity), -np.inf)
+        if groups > k:
+            heads = similarity[:, : groups * GROUP].reshape(len(similarity), groups, GROUP).max(axis=2)
+            bound = np.partition(heads, groups - k, axis=1)[:, groups - k]
+        row, column = np.nonzero(similarity >= bound[:, None])
+        score = similarity[row, column]
+        order = np.lexsort((rank_of[column], -score, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        found.append((row[order] + start, column[order], score[order]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def _halves(unit: np.ndarray, size: int) -> list[np.ndarray]:
     """Rows in compact blocks of at most ``size``: halved at the median along the direction in which they spread most."""
     open_, done = [np.arange(len(unit))], []
@@ -186,14 +211,72 @@ def _visits(blocked: DataFrame, centers: np.ndarray, task_rows: int) -> DataFram
     return dealt.cogroup(nodes).applyInPandas(descend, f"vid string, u array<double>, target {HOME}")
 
 
-def visits(distinct: DataFrame, n: int, sample: np.ndarray, k: int, pivots: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (vid, u, home, ...) of ``n`` vectors (vid, v), and stored (vid, u, target) of the blocks that they visit."""
+def _blocks(distinct: DataFrame, n: int, sample: np.ndarray, k: int, pivots: int, block_rows: int) -> tuple[DataFrame, np.ndarray]:
+    """Stored (vid, u, home, ...) of ``n`` vectors (vid, v), and the top pivots."""
     leaf_rows, task_rows = LEAF_BLOCKS * block_rows, VISITOR_BLOCKS * block_rows
     wanted = max(1, math.ceil(n / leaf_rows))
     levels = 1 if wanted <= pivots else 2
     centers = sample[: wanted if levels == 1 else min(pivots, math.ceil(math.sqrt(wanted)))]
-    blocked = _blocked(_placed(distinct, centers, levels, pivots, leaf_rows, task_rows), k, block_rows, leaf_rows)
-    return blocked, session.materialize(_visits(blocked, centers, task_rows))
+    return _blocked(_placed(distinct, centers, levels, pivots, leaf_rows, task_rows), k, block_rows, leaf_rows), centers
+
+
+def visits(distinct: DataFrame, n: int, sample: np.ndarray, k: int, pivots: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (vid, u, home, ...) of ``n`` vectors (vid, v), and stored (vid, u, target) of the blocks that they visit."""
+    blocked, centers = _blocks(distinct, n, sample, k, pivots, block_rows)
+    return blocked, session.materialize(_visits(blocked, centers, VISITOR_BLOCKS * block_rows))
+
+
+def _visits_of_one(blocked: DataFrame) -> float:
+    """Blocks that a vector visits on average, by a bounded number of vectors against all balls."""
+    probes = blocked.orderBy(F.xxhash64("vid"), "vid").select("u", "limit").limit(PROBES).collect()
+    unit, limit = np.array([row["u"] for row in probes]), np.array([row["limit"] for row in probes])
+
+    def count(batches):
+        for pdf in batches:
+            gaps = _distances(_matrix(pdf["center"]), unit) - pdf["radius"].to_numpy()[:, None]
+            yield pd.DataFrame({"n": [int((gaps <= limit + SLACK).sum())]})
+
+    balls = blocked.where("ball is not null").select("ball.center", "ball.radius")
+    return balls.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] / len(probes)
+
+
+def _tiled(blocked: DataFrame, parts: int, k: int) -> DataFrame:
+    """(vid, other, similarity): the k best of every vector in each of ``parts`` parts of all vectors."""
+    part = F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    guests = blocked.select("vid", "u", part.alias("row"), every.alias("column"))
+    hosts = blocked.select("vid", "u", every.alias("host_row"), part.alias("host_column"))
+
+    def tile(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+        if guests.empty or hosts.empty:
+            return pd.DataFrame({"vid": [], "other": [], "similarity": []}, dtype=object)
+        ids = hosts["vid"].to_numpy()
+        rows, columns, scores = _best(_matrix(guests["u"]), _matrix(hosts["u"]), np.argsort(np.argsort(ids)), k)
+        return pd.DataFrame({"vid": guests["vid"].to_numpy()[rows], "other": ids[columns], "similarity": scores})
+
+    pairs = guests.groupBy("row", "column").cogroup(hosts.groupBy("host_row", "host_column"))
+    return pairs.applyInPandas(tile, "vid string, other string, similarity double")
+
+
+def _visited(blocked: DataFrame, seen: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(vid, other, similarity): the k best of every vector in each of the blocks that it visits."""
+    groups = seen.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / (VISITOR_BLOCKS * block_rows)).cast("int").alias("groups"))
+    guests = seen.join(groups, "target").select("vid", "u", "target", F.pmod(F.xxhash64("vid"), F.col("groups")).cast("int").alias("group"))
+    hosts = blocked.select("vid", "u", F.col("home").alias("target")).join(groups, "target")
+    hosts = hosts.select("vid", "u", F.col("target").alias("host"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("host_group"))
+
+    def visit(_key, guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
+        if guests.empty or residents.empty:
+            return pd.DataFrame({"vid": [], "other": [], "similarity": []}, dtype=object)
+        guest_ids, ids = guests["vid"].to_numpy(), residents["vid"].to_numpy()
+        similarity = _matrix(guests["u"]) @ _matrix(residents["u"]).T
+        rank_of = np.argsort(np.argsort(ids))
+        rows, columns = _top(similarity, rank_of, k)
+        return pd.DataFrame({"vid": guest_ids[rows], "other": ids[columns], "similarity": similarity[rows, columns]})
+
+    return guests.groupBy("target", "group").cogroup(hosts.groupBy("host", "host_group")).applyInPandas(
+        visit, "vid string, other string, similarity double"
+    )
 
 
 def nearest_neighbors(
@@ -210,6 +293,9 @@ def nearest_neighbors(
     4. A vector visits a block only if the block's ball is within that bound, by the triangle inequality; nothing nearer can be
        missed. It only meets the balls of cells whose ring around the top pivot it can reach. Visitors of a
        block are dealt to as many tasks as they need.
+
+    Vectors without clusters would visit most blocks. If more copies of a vector would travel than tiles of
+    ``TILE_ROWS`` rows need, all vectors are compared in such tiles instead, as exactly.
     """
     spark = vectors.sparkSession
     dense = vectors.select(F.col(key).alias("id"), arrays.finite(vector).alias("v"))
@@ -225,25 +311,13 @@ def nearest_neighbors(
         return spark.createDataFrame([], "song_id string, neighbor_id string, similarity double, rank int")
     found = _unit(np.array([row["v"] for row in sample], dtype=np.float64))
     _, first = np.unique(found, axis=0, return_index=True)
-    blocked, seen = visits(distinct.select("vid", "v"), n, found[np.sort(first)], k, pivots, block_rows)
-
-    groups = seen.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / (VISITOR_BLOCKS * block_rows)).cast("int").alias("groups"))
-    guests = seen.join(groups, "target").select("vid", "u", "target", F.pmod(F.xxhash64("vid"), F.col("groups")).cast("int").alias("group"))
-    hosts = blocked.select("vid", "u", F.col("home").alias("target")).join(groups, "target")
-    hosts = hosts.select("vid", "u", F.col("target").alias("host"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("host_group"))
-
-    def visit(_key, guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
-        if guests.empty or residents.empty:
-            return pd.DataFrame({"vid": [], "other": [], "similarity": []}, dtype=object)
-        guest_ids, ids = guests["vid"].to_numpy(), residents["vid"].to_numpy()
-        similarity = _matrix(guests["u"]) @ _matrix(residents["u"]).T
-        rank_of = np.argsort(np.argsort(ids))
-        rows, columns = _top(similarity, rank_of, k + 1)
-        return pd.DataFrame({"vid": guest_ids[rows], "other": ids[columns], "similarity": similarity[rows, columns]})
-
-    found = guests.groupBy("target", "group").cogroup(hosts.groupBy("host", "host_group")).applyInPandas(
-        visit, "vid string, other string, similarity double"
-    )
+    blocked, centers = _blocks(distinct.select("vid", "v"), n, found[np.sort(first)], k, pivots, block_rows)
+    parts = max(math.ceil(n / TILE_ROWS), math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)))
+    if _visits_of_one(blocked) > 2 * parts:
+        found = _tiled(blocked, parts, k + 1)
+    else:
+        seen = session.materialize(_visits(blocked, centers, VISITOR_BLOCKS * block_rows))
+        found = _visited(blocked, seen, k + 1, block_rows)
     # k + 1 distinct vectors (itself included) always cover the k nearest rows.
     near = Window.partitionBy("vid").orderBy(F.desc("similarity"), "other")
     kept = found.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k + 1).drop("_rank")
