@@ -76,3 +76,30 @@ def test_a_filter_on_tags_stays_behind_the_rules(spark):
     filters = [line for line in plan.splitlines() if line.strip(" :+-|").startswith("Filter")]
     assert not any("lower(" in line or "Lower" in line or "tionic" in line for line in filters)
     assert "Generate inline" in plan
+
+
+def test_strings_are_measured_behind_the_distinct_step(spark):
+    from pyspark.sql import functions as F
+
+    from tonearm.operators import matching
+
+    pairs = spark.range(100).selectExpr("concat('abcdef', id % 7) l", "concat('abcxyz', id % 5) r")
+    rated = matching.rate_strings(pairs.unionByName(pairs), "l", "r", "score").where(F.col("score") >= 0.5)
+    plan = rated._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    measured, folded = (next(at for at, line in enumerate(plan) if name in line) for name in ("ArrowEvalPython", "Aggregate"))
+    assert measured < folded and sum("ArrowEvalPython" in line for line in plan) == 1
+    bounded = matching.with_ratio(pairs.distinct(), "l", "r", "score", 0.5).where(F.col("score") >= 0.5)
+    plan = bounded._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    measured, folded = (next(at for at, line in enumerate(plan) if name in line) for name in ("ArrowEvalPython", "Aggregate"))
+    assert measured < folded and sum("ArrowEvalPython" in line for line in plan) == 1
+    assert rated.count() == 30
+
+
+@pytest.mark.parametrize("left, right", [("", ""), ("aab", "abb"), ("钢琴a", "a琴"), ("\ud800x", "x"), ("abc", "xyz")])
+def test_shared_characters(left, right):
+    from collections import Counter
+
+    from tonearm.functions import udfs
+
+    others = ["zz", right]
+    assert udfs._shared([left, left], others).tolist() == [sum((Counter(left) & Counter(other)).values()) for other in others]

@@ -32,11 +32,9 @@ def matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-def _character_counts(strings: Sequence[str], alphabet: dict[str, int]) -> np.ndarray:
-    counts = np.zeros((len(strings), len(alphabet)), dtype=np.int64)
-    for row, value in enumerate(strings):
-        np.add.at(counts[row], [alphabet[unit] for unit in value], 1)
-    return counts
+# A filter on a deterministic measure would be moved below the distinct step and the union in front of it, where every copy of
+# a pair is measured, and measured again behind them.
+matching_blocks_ratio = matching_blocks_ratio.asNondeterministic()
 
 
 # Pairs whose characters are counted at one time.
@@ -45,8 +43,12 @@ _PAIRS = 256
 
 def _shared(left: list[str], right: list[str]) -> np.ndarray:
     """Characters that both strings of each pair have, counted as often as both have them."""
-    alphabet = {unit: at for at, unit in enumerate(sorted(set("".join(left)) | set("".join(right))))}
-    return np.minimum(_character_counts(left, alphabet), _character_counts(right, alphabet)).sum(axis=1)
+    both = left + right
+    points = np.frombuffer("".join(both).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, unit = np.unique(points, return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(value) for value in both])
+    counts = np.bincount(row * len(alphabet) + unit, minlength=len(both) * len(alphabet)).reshape(len(both), -1 if len(alphabet) else 0)
+    return np.minimum(counts[: len(left)], counts[len(left) :]).sum(axis=1)
 
 
 def ratio_at_least(bound: float):
@@ -73,7 +75,7 @@ def ratio_at_least(bound: float):
         ]
         return result
 
-    return measure
+    return measure.asNondeterministic()
 
 
 def _leaves(node, keys: Sequence[str], key: str = "") -> Iterator[object]:

@@ -288,10 +288,16 @@ def similar_strings(left: DataFrame, right: DataFrame, probes: DataFrame, index:
         inner = _containment(left, right).select(F.col("short").alias("l"), F.col("long").alias("r"))
         outer = _containment(right, left).select(F.col("long").alias("l"), F.col("short").alias("r"))
         found = found.unionByName(inner).unionByName(outer)
-    # The measure that follows is heavy for the size of its input, so the partition count is fixed
-    # here: adaptive coalescing by bytes would leave it to a few tasks.
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(tasks, "l", "r").distinct()
+    return _distinct_pairs(found, "l", "r")
+
+
+def _distinct_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Distinct pairs of strings, in a fixed number of tasks.
+
+    The measure that follows is heavy for the size of its input: adaptive coalescing by bytes would leave it to a few tasks.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(left, right).repartition(tasks, left, right).distinct()
 
 
 def rate_strings(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
@@ -299,7 +305,7 @@ def rate_strings(pairs: DataFrame, left: str, right: str, name: str) -> DataFram
 
     Titles and artists repeat over many pairs; the distinct step reduces them before any shuffle.
     """
-    rated = with_ratio(pairs.select(left, right).distinct(), left, right, name)
+    rated = with_ratio(_distinct_pairs(pairs, left, right), left, right, name)
     return pairs.join(rated, [left, right])
 
 
@@ -350,17 +356,14 @@ def candidate_pairs(file_keys: DataFrame, catalog_keys: DataFrame, threshold: fl
     index = token_index(c_values["title_norm"], by_pairs)
     probes = probe_tokens(f_values["title_norm"], index, by_pairs)
     f_tokens, c_tokens = (prefix(rows, title_bound, by_pairs).select("value", "token") for rows in (probes, index))
-    by_artist = (
-        f_keys.join(artists, "f_artist_norm")
-        .join(f_tokens.withColumnRenamed("value", "f_title_norm"), "f_title_norm")
-        .join(
-            c_keys.join(c_tokens.withColumnRenamed("value", "c_title_norm"), "c_title_norm"),
-            ["c_artist_norm", "token"],
-        )
-        .drop("token")
-        .distinct()
-    )
-    by_artist = reaching(rate_strings(by_artist, "f_title_norm", "c_title_norm", "title_score"))
+    # Title strings meet within related artists, and each pair of them is measured once.
+    of_artist = f_keys.join(artists, "f_artist_norm")
+    f_side = of_artist.select("f_title_norm", "c_artist_norm").distinct().join(f_tokens.withColumnRenamed("value", "f_title_norm"), "f_title_norm")
+    c_side = c_keys.select("c_title_norm", "c_artist_norm").distinct().join(c_tokens.withColumnRenamed("value", "c_title_norm"), "c_title_norm")
+    met = _distinct_pairs(f_side.join(c_side, ["c_artist_norm", "token"]), "f_title_norm", "c_title_norm")
+    rated = with_ratio(met, "f_title_norm", "c_title_norm", "title_score", title_bound - 1e-9)
+    alike = session.materialize(rated.where(F.col("title_score") >= title_bound - 1e-9))
+    by_artist = reaching(of_artist.join(alike, "f_title_norm").join(c_keys, ["c_artist_norm", "c_title_norm"]))
     return by_combo.unionByName(by_title).unionByName(by_artist).distinct()
 
 
@@ -395,7 +398,7 @@ def fuzzy_match(
         F.lit(1.0).alias("title_score"), F.lit(1.0).alias("artist_score"),
     )
     searched = session.materialize(keys.join(equal.select(*both), both, "left_anti"))
-    pairs = exact.unionByName(candidate_pairs(searched, songs, threshold))
+    pairs = session.materialize(exact.unionByName(candidate_pairs(searched, songs, threshold)))
 
     scored = scored_pairs(pairs).where(F.col("score") >= min(threshold, text_gate(threshold)) - 1e-9)
     named = songs.withColumnsRenamed({name: f"c_{name}" for name in KEY})
@@ -421,7 +424,7 @@ def _best(rows: DataFrame, by: Sequence[str], carried: Sequence[str]) -> DataFra
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
     """Add the combined similarity and the text score to pairs with title and artist similarity."""
-    rated = with_ratio(pairs, "f_combo_norm", "c_combo_norm", "combo_score")
+    rated = rate_strings(pairs, "f_combo_norm", "c_combo_norm", "combo_score")
     return rated.withColumn(
         "score", match_score("title_score", "artist_score", "combo_score", F.col("f_artist_norm") != "")
     )
