@@ -375,14 +375,16 @@ def fuzzy_match(
     ``files``: file_path, stem, meta_title, meta_artist, meta_album, duration (null if unknown) and
     duration_error. Equal scores go to the earliest catalogue row, title, artist and identity.
     """
+    # The keys are made row by row with many regular expressions; a table of few splits is dealt out for that.
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Copies on either side are folded first: only distinct keys are compared.
     place = F.struct("row_order", "title_pos", "artist_pos")
     details = F.struct("song_id", "name", "artist_names", "duration_seconds", "row_order", "title_pos", "artist_pos")
     # Both key tables are read by every candidate path, so they are stored once.
     songs = session.materialize(
-        catalog_variants(catalog, order).groupBy(*KEY).agg(F.min_by(details, place).alias("song"))
+        catalog_variants(catalog.repartition(tasks, "song_id"), order).groupBy(*KEY).agg(F.min_by(details, place).alias("song"))
     )
-    identities = session.materialize(identity_variants(files))
+    identities = session.materialize(identity_variants(files.repartition(tasks, "file_path")))
     keys = identities.select(*KEY).distinct()
 
     # An equal title and artist scores 1.0, which nothing can beat: the earliest such row is the
