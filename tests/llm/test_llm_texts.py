@@ -30,6 +30,36 @@ def common(a, b):
     return row[-1]
 
 
+def test_aligning_many_pairs_holds_the_words_of_few():
+    import tracemalloc
+
+    words = " ".join(VOCABULARY * 20)
+    left, right = (pa.array([f"{words} {i} {end}" for i in range(1200)]) for end in ("a", "b"))
+    tracemalloc.start()
+    try:
+        found = order_minhash.close_rows(left, right)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == list(range(1200))
+    assert most < 2 * 1200 * 980 * 8 / 2, "less than half of the hashes of all words"
+    assert order_minhash.close_rows(left[:40], pa.array(["x"] * 33 + left[33:40].to_pylist())) == list(range(33, 40))
+    assert order_minhash.close_rows(left[:0], right[:0]) == []
+
+
+def test_batches_of_whole_texts_have_few_rows(spark):
+    from tonearm import session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert session.materialize(rows, batch_rows=100).agg(F.max("n"), F.sum("n")).first()[:] == (100, 3000)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_banded_alignment():
     pick = random.Random(3)
     for _ in range(1500):

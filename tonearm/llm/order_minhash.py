@@ -22,6 +22,8 @@ PICKS = 2  # minima of a sketch
 BINS = 256
 ERRORS = 3.0
 BLOCK = 1024
+# Pairs of texts that are handed to a task at a time, and those whose words it holds.
+PAIRS, HELD = 256, 32
 _CELLS = 1 << 20
 _STEP = np.random.default_rng(20).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _seeds = np.random.default_rng(21).integers(1, 1 << 63, (3, 256), dtype=np.uint64) | np.uint64(1)
@@ -169,29 +171,32 @@ def _fingerprints(docs: DataFrame, size: int, sketches: int, picks: int) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, schema)
 
 
+def close_rows(left: pa.Array, right: pa.Array, least: float = SIMILARITY) -> list[int]:
+    """Rows at which both columns' texts align at ``least`` or above; the words of a few texts are held at a time."""
+    close = []
+    for at in range(0, len(left), HELD):
+        lists = []
+        for column in (left, right):
+            own = []
+            for _, words, cuts in word_hashes(column.slice(at, HELD)):
+                own += [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            lists.append(own)
+        close += [at + row for row, (a, b) in enumerate(zip(*lists)) if similarity(a.tolist(), b.tolist(), least)]
+    return close
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts align at ``least`` or above."""
+    """The pairs (a, b) whose texts align at ``least`` or above, stored. A batch holds two whole texts for each row, so it has few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # One text is the other side of many pairs in a row; its words are kept.
-            close = []
-            lists = []
-            for i in (2, 3):
-                own = []
-                for _, words, cuts in word_hashes(batch.column(i)):
-                    own += [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                lists.append(own)
-            for row, (a, b) in enumerate(zip(*lists)):
-                if similarity(a.tolist(), b.tolist(), least):
-                    close.append(row)
-            rows = pa.array(close, pa.int64())
+            rows = pa.array(close_rows(batch.column(2), batch.column(3), least), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), batch_rows=PAIRS)
 
 
 def _fitting(first: np.ndarray, second: np.ndarray, same: bool, words: np.ndarray, classes: np.ndarray, sketches: np.ndarray, least: float):
@@ -305,7 +310,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = WORD
     best = materialize(offers.groupBy("a").agg(F.max_by("b", F.struct("signatures", -F.col("b"))).alias("b")))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     texts = materialize(texts.join(shared.select("id").distinct(), "id", "left_semi"))
-    links = materialize(_verified(best, texts, least))
+    links = _verified(best, texts, least)
     # Texts that this left alone try their other leaders.
     linked = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
     others = materialize(offers.join(linked, "a", "left_anti").select("a", "b").join(best, ["a", "b"], "left_anti"))
@@ -324,7 +329,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, size: int = WORD
     nearest = True
     while True:
         pairs = opened(nearest)
-        links = materialize(_verified(pairs, texts, least))
+        links = _verified(pairs, texts, least)
         n_pairs, n_links = pairs.count(), links.count()
         tried = tried.unionByName(pairs)
         if n_links:
