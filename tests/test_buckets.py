@@ -139,3 +139,29 @@ def test_running_stream_takes_batches_as_they_come(spark, tmp_path):
     got = buckets.read(spark, path)
     assert {(r["song_id"], r["response_json"]) for r in got.collect()} == {(str(i), "r2") for i in range(6)}
     assert buckets.manifest(spark, path).version == 2 and got.where(F.col("collected_at") < "2024-01-02").isEmpty()
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    path, key = str(tmp_path / "table"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        rows = spark.range(0, 40_000, 1, 8).select(F.col("id").cast("string").alias("song_id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        buckets.merge(rows, path, ["song_id"], lambda stored, new: new, buckets=1)
+    finally:
+        spark.conf.set(key, before)
+    stored = buckets.read(spark, path)
+    assert len(stored.inputFiles()) > 3
+    assert sorted(r["song_id"] for r in stored.collect()) == sorted(map(str, range(40_000)))
+
+
+def test_upserts_sort_a_bounded_number_of_rows_in_a_task(spark, tmp_path, monkeypatch):
+    source, path = str(tmp_path / "in"), str(tmp_path / "table")
+    schema = "song_id string, endpoint string, params_hash string, response_json string, collected_at string"
+    spark.createDataFrame([(str(i % 900), "e", "p", f"r{i}", f"{i:04}") for i in range(1800)], schema).coalesce(1).write.parquet(source)
+    seen, upsert = [], streams.snapshots.upsert_results
+    monkeypatch.setattr(streams, "ROWS_A_TASK", 100, raising=False)
+    monkeypatch.setattr(streams.snapshots, "upsert_results", lambda *a: seen.append(upsert(*a)) or seen[-1])
+    streams.upsert_stream(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "progress"), buckets=4).awaitTermination()
+    assert "song_id#" in (plan := seen[0]._jdf.queryExecution().executedPlan().toString()) and ", 18), REPARTITION_BY_NUM" in plan
+    assert {(r["song_id"], r["response_json"]) for r in buckets.read(spark, path).collect()} == {(str(i), f"r{i + 900}") for i in range(900)}

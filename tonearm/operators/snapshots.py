@@ -290,10 +290,15 @@ def _with_members(json_object: Column, **members: Column) -> Column:
 RESULT_KEY = ("song_id", "endpoint", "params_hash")
 
 
-def upsert_results(existing: DataFrame, incoming: DataFrame, order: str = "collected_at") -> DataFrame:
-    """Insert, or replace on (song_id, endpoint, params_hash); the latest collection wins."""
+def upsert_results(existing: DataFrame, incoming: DataFrame, order: str = "collected_at", tasks: int | None = None) -> DataFrame:
+    """Insert, or replace on (song_id, endpoint, params_hash); the latest collection wins.
+
+    Rows are sorted by key. With ``tasks`` they are dealt out by key to that many before, so what a task sorts doesn't follow
+    the size of a split.
+    """
     keys = list(RESULT_KEY)
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    both = both.repartition(tasks, *keys) if tasks else both
     values = [name for name in existing.columns if name not in keys]
     latest = F.max_by(F.struct(*values), F.struct(order, "_new"))
     return both.groupBy(*keys).agg(latest.alias("row")).select(*keys, "row.*").select(*existing.columns)

@@ -138,13 +138,13 @@ def rewrite(
 ) -> Manifest:
     """Commit a version in which the buckets ``changed`` hold ``rows`` and all others stay as they are.
 
-    Each bucket is written by one task, so buckets should be as many as make one fit a task. ``note`` gives the
+    Small buckets are written together and large ones by several tasks, by the sizes that Spark has measured. ``note`` gives the
     manifest's notes from the rows as they were written. ``Conflict`` if another writer was faster; nothing is changed then.
     """
     spark = rows.sparkSession
     version = max([known.version, *_numbers(spark, path, _VERSION), *_numbers(spark, path, _MANIFEST)]) + 1
     target = _version_path(path, version)
-    dealt = rows.withColumn(BUCKET, bucket_of(known.key, known.buckets)).repartition(BUCKET)
+    dealt = rows.withColumn(BUCKET, bucket_of(known.key, known.buckets)).hint("rebalance", BUCKET)
     dealt.write.format(known.kind).options(**OPTIONS[known.kind]).partitionBy(BUCKET).save(target)
     places = {b: at for b, at in known.places.items() if b not in set(changed)}
     places |= {int(name.partition("=")[2]): version for name in _listed(spark, target, f"{BUCKET}=")}

@@ -23,6 +23,8 @@ def history_entries(
     return history.history_entry(history.recorded(events, selection_writes_history), songs, clicks=clicks)
 
 
+# Rows of a batch and its stored buckets that one task sorts.
+ROWS_A_TASK = 500_000
 # One pass over what is there; a continuous run takes {"processingTime": "10 seconds"} instead.
 ONCE = {"availableNow": True}
 
@@ -63,9 +65,14 @@ def upsert_stream(
     results: DataFrame, path: str, checkpoint: str, order: str = "collected_at",
     buckets: int = tables.BUCKETS, trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
-    """Keep the latest result per (song, endpoint, parameters); a batch reads and writes the buckets of its songs' results."""
+    """Keep the latest result per (song, endpoint, parameters); a batch reads and writes the buckets of its songs' results.
+
+    Tasks are as many as the rows need; the rows of one key are sorted in one task, which may spill.
+    """
 
     def fold(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-        return snapshots.upsert_results(batch.limit(0) if stored is None else stored, batch, order)
+        rows = batch.count() + (0 if stored is None else stored.count())
+        tasks = max(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+        return snapshots.upsert_results(batch.limit(0) if stored is None else stored, batch, order, tasks)
 
     return _folded(results, path, checkpoint, snapshots.RESULT_KEY, fold, buckets, trigger)
