@@ -124,3 +124,12 @@ def test_blank_and_line_patterns_keep_every_character(spark):
         assert row["a"] == row["b"]
         assert row["n"] == len(row["c"].splitlines())
 
+
+def test_line_counts_need_no_pattern_over_the_text(spark):
+    from tonearm.functions import text
+
+    ends = ["\n", "\x0b", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n"]
+    values = ["", "a", "\r\n", "\n\r", "\r\r\n\n", "钢\u2028琴𝄞\x85", "a\r\nb\rc\n", "\x1fa\x00"] + ends + [f"a{x}b{y}" for x in ends for y in ends]
+    df = spark.createDataFrame([(value,) for value in values], "value string").select("value", text.line_count("value").alias("n"))
+    assert [(r.value, r.n) for r in df.collect()] == [(value, len(value.splitlines())) for value in values]
+    assert dict(df.dtypes)["n"] == "int" and "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
