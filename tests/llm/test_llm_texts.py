@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -546,6 +547,51 @@ def test_shares_of_a_context_sum_up():
     assert given.max() > 0
 
 
+def test_answers_give_the_shares_of_all_texts():
+    pick = random.Random(11)
+    texts = [" ".join(f"w{min(int(pick.expovariate(0.2)), 40)}" for _ in range(60)) for _ in range(90)]
+    train = np.array([n % 7 != 2 for n in range(90)])
+    cut = [maxent_lm.tokens(*spans.utf8(pa.array(texts[n : n + 30]))) for n in (0, 30, 60)]
+    keys = [maxent_lm.ngrams(found, cuts, range(2, 3))[0] for found, cuts in cut]
+    taught = np.concatenate([np.repeat(train[30 * n : 30 * n + 30], np.diff(cuts)) for n, (_, cuts) in enumerate(cut)])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(place, taught, len(distinct)).astype(int)
+    want = np.stack(maxent_lm.shares(counts, *maxent_lm.totals(distinct, counts)))
+    asked = []
+    for n, (found, cuts) in enumerate(cut):
+        words, which = maxent_lm._ranks(found)
+        groups = pa.RecordBatch.from_pydict({
+            "chunk": [n], "held_out": [(~train[30 * n : 30 * n + 30]).tolist()], "lengths": [maxent_lm._planes(np.diff(cuts).astype("<u8"))],
+            "words": [maxent_lm._planes(maxent_lm._gaps(words))], "which": [maxent_lm._planes(which.astype("<u4"))],
+        })
+        asked += maxent_lm._ngram_requests(4, 8, 2)(iter([groups]))
+    asked = pa.Table.from_batches(asked)
+    answers = pa.concat_tables(maxent_lm._ngram_count(asked.filter(pc.equal(asked["bucket"], b))) for b in range(8, 12))
+    for n, own in enumerate(keys):
+        got = maxent_lm._shares_of(answers.filter(pc.equal(answers["chunk"], n)), range(8, 12))
+        _, at = maxent_lm._ranks(own)
+        assert np.allclose(np.stack(got)[:, at], want[:, np.searchsorted(distinct, own)], atol=1e-7) and want[0].max() > 0
+
+
+def test_texts_are_read_once_and_grouped(spark, documents):
+    """What is shuffled are packed tokens, not texts; small batches fill a group."""
+    plan = maxent_lm.score(documents, queries.remainder(7) == 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "which#" in plan and "text#" not in plan
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(100)), "text": ["x" * 20_000] * 100}) for _ in range(9)]
+    groups = list(maxent_lm._groups(iter(batches)))
+    assert sum(g.num_rows for g in groups) == 900 and len(groups) <= 4
+    assert max(g.num_rows for g in groups) * 20_032 <= maxent_lm.CHUNK_BYTES
+    assert [g.num_rows for g in maxent_lm._groups(iter([pa.RecordBatch.from_pydict({"text": ["a", "b" * (maxent_lm.CHUNK_BYTES + 1), "c"]})]))] == [1, 1, 1]
+
+
+def test_packed_keys_are_small():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 200_000, dtype=np.uint64))
+    packed = maxent_lm._planes(maxent_lm._gaps(keys))
+    assert len(packed) < 6.2 * len(keys) and (np.cumsum(maxent_lm._values(packed, "<u8"), dtype=np.uint64) == keys).all()
+    few = np.where(np.random.default_rng(4).random(100_000) < 0.2, 2, 1).astype("<u4")
+    assert len(maxent_lm._planes(few)) < 0.2 * len(few)
+
+
 # Pipeline
 
 

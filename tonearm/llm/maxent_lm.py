@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm import spans
-from tonearm.session import materialize
+from tonearm.session import materialize, spread
 
 CHUNK_BYTES = 6 << 20  # text of one group of documents
 CHUNKS_A_BUCKET = 8
@@ -23,8 +24,8 @@ TEMPLATES = 3
 ROUNDS = 2
 RATE = 0.15
 STEP_TOKENS = 1 << 15
-NGRAM_BUCKETS = 3  # buckets of n-grams for each bucket of words
-KINDS = (slice(0, 2), slice(2, 3))  # n-grams counted at a time
+NGRAM_BUCKETS = 3  # buckets of n-grams of one template for each bucket of words
+TEXT_ROWS, GROUP_ROWS = 256, 8  # texts and groups of them that a Python step takes at a time
 DOUBT = 2  # tokens that a context needs to count as much as the shorter one
 _LOW = np.uint64(SHAPES - 1)
 # An n-gram's key: 40 bits of its context, 23 of its token, and one that says whether it is learnt from.
@@ -55,10 +56,61 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, cuts
 
 
-def _of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    data, offsets = spans.utf8(column)
-    for low, high in spans.slices(offsets):
-        yield low, *tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of all batches, whose last column is the text, in groups of CHUNK_BYTES at most; a longer text is alone."""
+    held, size = [], 0
+    for batch in batches:
+        offsets = spans.utf8(batch.column(batch.num_columns - 1))[1]
+        offsets = offsets + 32 * np.arange(len(offsets))
+        for low, high in spans.slices(offsets, CHUNK_BYTES):
+            own = int(offsets[high] - offsets[low])
+            if held and size + own > CHUNK_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(low, high - low))
+            size += own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_GROUPED = "chunk long, size long, ids array<long>, held_out array<boolean>, marks array<long>, lengths binary, words binary, which binary"
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each group of documents: its distinct tokens, and which of them stand in its texts."""
+    task = TaskContext.get().partitionId() << 32
+    for number, rows in enumerate(_groups(batches)):
+        data, offsets = spans.utf8(rows.column("text"))
+        found, cuts = tokens(data, offsets)
+        words, which = _ranks(found)
+        ends = pa.array([0, rows.num_rows], pa.int32())
+        columns = [pa.array([task + number], pa.int64()), pa.array([len(data) + 32 * rows.num_rows], pa.int64())]
+        columns += [pa.ListArray.from_arrays(ends, rows.column(name).combine_chunks()) for name in ("id", "held_out", "mark")]
+        columns += [pa.array([x], pa.binary()) for x in (_planes(np.diff(cuts).astype("<u8")), _planes(_gaps(words)), _planes(which.astype("<u4")))]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "size", "ids", "held_out", "marks", "lengths", "words", "which"])
+
+
+def _opened(groups: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of one group, the place of every token among them, the documents' offsets, and which are learnt from."""
+    words = np.cumsum(_values(groups.column("words")[row].as_buffer(), "<u8"), dtype=np.uint64)
+    which = _values(groups.column("which")[row].as_buffer(), "<u4")
+    cuts = np.concatenate([[0], np.cumsum(_values(groups.column("lengths")[row].as_buffer(), "<u8").astype(np.int64))])
+    return words, which, cuts, ~groups.column("held_out")[row].values.to_numpy(zero_copy_only=False)
+
+
+def _requested(groups: Iterator[pa.RecordBatch], request) -> Iterator[pa.RecordBatch]:
+    """What request() asks for each group: the number of its first bucket, and the keys and counts of all its buckets."""
+    for batch in groups:
+        for row in range(batch.num_rows):
+            first, keys, counts, at = request(*_opened(batch, row))
+            parts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(range(first, first + len(parts)), pa.int32()), pa.array([batch.column("chunk")[row].as_py()] * len(parts), pa.int64()),
+                pa.array([_planes(_gaps(keys[a:b])) for a, b in parts], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in parts], pa.binary()),
+            ], ["bucket", "chunk", "keys", "counts"])
+
+
+_REQUESTED = "bucket int, chunk long, keys binary, counts binary"
 
 
 def _buckets(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -68,47 +120,53 @@ def _buckets(words: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _requests(buckets: int):
-    """Distinct tokens of a group of documents and how often its training documents have them."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts, taught = [], []
-        train = table.column("train").to_numpy(zero_copy_only=False)
-        for low, found, cuts in _of(table.column("text")):
-            used = np.repeat(train[low : low + len(cuts) - 1], np.diff(cuts))
-            words, which = np.unique(found, return_inverse=True)
-            parts.append(words)
-            taught.append(np.bincount(which, used, len(words)).astype(np.int64))
-        words, which = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(which, np.concatenate(taught), len(words)).astype("<u4")
-        at = _buckets(words, buckets).tolist()
-        blobs = [(words[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({
-            "bucket": pa.array(range(buckets), pa.int32()), "chunk": pa.array([chunk] * buckets, pa.int64()),
-            "words": pa.array([w for w, _ in blobs], pa.binary()), "counts": pa.array([c for _, c in blobs], pa.binary()),
-        })
+    """Distinct tokens of every group of documents and how often its training documents have them."""
+
+    def request(words, which, cuts, train):
+        counts = np.bincount(which, np.repeat(train, np.diff(cuts)), len(words)).astype("<u4")
+        return 0, words, counts, _buckets(words, buckets)
+
+    return lambda groups: _requested(groups, request)
 
-    return run
+
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the place of every key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    distinct = ordered[fresh]
+    del ordered
+    ranks = np.empty(len(keys), np.int64)
+    ranks[order] = np.cumsum(fresh) - 1
+    return distinct, ranks
+
+
+def _asked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Keys of all requests of a bucket and the requests' offsets; the distinct keys, the place of every key among them, and their counts."""
+    keys = [np.cumsum(_values(x.as_buffer(), "<u8"), dtype=np.uint64) for x in table.column("keys")]
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+    keys = np.concatenate(keys)
+    pa.default_memory_pool().release_unused()
+    distinct, which = _ranks(keys)
+    counts = np.concatenate([_values(x.as_buffer(), "<u4") for x in table.column("counts")])
+    return keys, cuts, distinct, which, np.bincount(which, counts, len(distinct)).astype(np.int64)
 
 
 def _count(table: pa.Table) -> pa.Table:
     """Counts over the corpus for every request of a bucket, and the bucket's totals and top tokens."""
-    words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
-    distinct, which = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    _, cuts, distinct, which, total = _asked(table)
     answer = total[which].astype("<u8" if total.max(initial=0) >> 32 else "<u4")
-    cuts = np.concatenate([[0], np.cumsum([len(x) for x in words])])
     known = total > 0
     shape = (distinct & _LOW).astype(np.int64)
     top = np.argsort(-total, kind="stable")[:FREQUENT]
     top = top[total[top] > 0]
-    n = len(words)
+    n = table.num_rows
     empty = [None] * n
     return pa.table({
         "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
         "bucket": pa.array([*table.column("bucket").to_pylist(), None], pa.int32()),
-        "counts": pa.array([answer[a:b].astype("<u8").tobytes() if answer.itemsize == 8 else answer[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] + [None], pa.binary()),
+        "counts": pa.array([_planes(answer[a:b]) for a, b in zip(cuts[:-1], cuts[1:])] + [None], pa.binary()),
         "wide": pa.array([answer.itemsize == 8] * n + [None], pa.bool_()),
         "shape_tokens": pa.array(empty + [np.bincount(shape, total, SHAPES).astype(np.int64)], pa.list_(pa.int64())),
         "shape_words": pa.array(empty + [np.bincount(shape[known], minlength=SHAPES).astype(np.int64)], pa.list_(pa.int64())),
@@ -129,54 +187,46 @@ def _before(found: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
-def ngrams(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def ngrams(found: np.ndarray, cuts: np.ndarray, templates: range = range(TEMPLATES)) -> np.ndarray:
     """Keys of every token with its contexts, shorter ones first: the second token before alone, the one before, both."""
     one, two = _before(found, cuts)
     tail = spans.mix(found * _MIX[3]) & _TAIL & ~_LEARNT
-    heads = (spans.mix(two * _MIX[2]), spans.mix(one * _MIX[0]), spans.mix(one * _MIX[1] + spans.mix(two)))
-    return np.stack([spans.mix(h + np.uint64(t)) & ~_TAIL | tail for t, h in enumerate(heads)])
+    heads = (lambda: spans.mix(two * _MIX[2]), lambda: spans.mix(one * _MIX[0]), lambda: spans.mix(one * _MIX[1] + spans.mix(two)))
+    return np.stack([spans.mix(heads[t]() + np.uint64(t)) & ~_TAIL | tail for t in templates])
 
 
 def _starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
 def _planes(values: np.ndarray) -> bytes:
     """The values' size in bytes, then their bytes, all first ones first, compressed."""
-    return values.nbytes.to_bytes(8, "little") + pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), "lz4", asbytes=True)
+    return values.nbytes.to_bytes(8, "little") + pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
 def _values(planes, kind: str) -> np.ndarray:
     packed, wide = pa.py_buffer(planes), np.dtype(kind).itemsize
     size = int.from_bytes(packed.slice(0, 8).to_pybytes(), "little")
-    raw = np.frombuffer(pa.decompress(packed.slice(8), size, "lz4"), np.uint8) if size else np.zeros(0, np.uint8)
+    raw = np.frombuffer(pa.decompress(packed.slice(8), size, "zstd"), np.uint8) if size else np.zeros(0, np.uint8)
     return np.ascontiguousarray(raw.reshape(wide, -1).T).view(kind).ravel()
 
 
-def _ngram_requests(buckets: int, first_bucket: int, kinds: slice):
-    """Distinct n-grams of some kinds of a group of documents and how often its training documents have them."""
+def _ngram_requests(buckets: int, first_bucket: int, template: int):
+    """Distinct n-grams of one template of every group of documents and how often its training documents have them."""
 
-    def run(table: pa.Table) -> pa.Table:
-        train = table.column("train").to_numpy(zero_copy_only=False)
-        parts = []
-        for low, found, cuts in _of(table.column("text")):
-            used = np.repeat(train[low : low + len(cuts) - 1], np.diff(cuts)).astype(np.uint64)
-            parts.append((ngrams(found, cuts)[kinds] | used).ravel())
-        keys = np.concatenate(parts)
-        del parts
+    def request(words, which, cuts, train):
+        keys = ngrams(words[which], cuts, range(template, template + 1))[0] | np.repeat(train, np.diff(cuts)).astype(np.uint64)
         keys.sort()
         first = _starts(keys & ~_LEARNT)
         counts = np.add.reduceat((keys & _LEARNT).astype("<u4"), first, dtype="<u4")
         keys = keys[first] & ~_LEARNT
-        at = _buckets(keys, buckets).tolist()
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({
-            "bucket": pa.array(range(first_bucket, first_bucket + buckets), pa.int32()), "chunk": pa.array([chunk] * buckets, pa.int64()),
-            "keys": pa.array([_planes(keys[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
-            "counts": pa.array([_planes(counts[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
-        })
+        return first_bucket, keys, counts, _buckets(keys, buckets)
 
-    return run
+    return lambda groups: _requested(groups, request)
 
 
 def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,24 +250,22 @@ def shares(counts: np.ndarray, n: np.ndarray, once: np.ndarray) -> tuple[np.ndar
 
 def _ngram_count(table: pa.Table) -> pa.Table:
     """Counts over the corpus for every request of a bucket; a context's totals stand at its first n-gram, one up, then zeros."""
-    keys = [_values(x, "<u8") for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([_values(x, "<u4") for x in table.column("counts").to_pylist()])
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+    keys, cuts, distinct, which, total = _asked(table)
     n, once = totals(distinct, total)
+    idle = n == once  # such a context gives nothing out, whatever its counts: zeros take no room
+    total[idle], n[idle], once[idle] = 0, 0, 0
     kind = "<u8" if n.max(initial=0) >> 31 else "<u4"
-    out, at = [[], [], []], 0
-    for own in keys:
-        place = which[at : at + len(own)]
-        at += len(own)
-        first = _starts(own & ~_TAIL)
+    out = [[], [], []]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        place = which[low:high]
+        first = _starts(keys[low:high] & ~_TAIL)
         out[0].append(_planes(total[place].astype(kind)))
         for column, values in zip(out[1:], (n, once)):
-            spelt = np.zeros(len(own), kind)
+            spelt = np.zeros(len(place), kind)
             spelt[first] = values[place[first]] + 1
             column.append(_planes(spelt))
     return pa.table({
-        "chunk": table.column("chunk"), "bucket": table.column("bucket"), "wide": pa.array([kind == "<u8"] * len(keys), pa.bool_()),
+        "chunk": table.column("chunk"), "bucket": table.column("bucket"), "wide": pa.array([kind == "<u8"] * table.num_rows, pa.bool_()),
         **{name: pa.array(x, pa.binary()) for name, x in zip(("seen", "n", "once"), out)},
     })
 
@@ -269,15 +317,27 @@ def contexts(found: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.stack([(spans.mix(k) & slots).astype(np.int64) + t * SLOTS for t, k in enumerate(keys)])
 
 
-def _activations(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes in each context; the last row of the weights is the prior."""
-    values = weights[features[0]]
+def _odds(weights: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Activations of the classes in each context, their exponentials and the sums of these; the weights' last row is the prior."""
+    values = weights.take(features[0], axis=0)
     for row in features[1:]:
-        values += weights[row]
+        values += weights.take(row, axis=0)
     values += weights[-1]
-    values -= values.max(axis=1, keepdims=True)
-    values -= np.log(np.exp(values).sum(axis=1, keepdims=True))
-    return values
+    ones = np.ones(values.shape[1], values.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        odds = np.exp(values)
+        total = odds @ ones
+    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
+        values -= values.max(axis=1, keepdims=True)
+        odds = np.exp(values)
+        total = odds @ ones
+    return values, odds, total
+
+
+def _activations(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Log probabilities of the classes in each context."""
+    values, _, total = _odds(weights, features)
+    return values - np.log(total)[:, None]
 
 
 def _trained(weights: np.ndarray, corpus: Corpus, found: np.ndarray, cuts: np.ndarray, squares: np.ndarray) -> None:
@@ -285,22 +345,23 @@ def _trained(weights: np.ndarray, corpus: Corpus, found: np.ndarray, cuts: np.nd
     target, features = corpus.classes(found), contexts(found, cuts)
     for at in range(0, len(found), STEP_TOKENS):
         part = slice(at, at + STEP_TOKENS)
-        error = np.exp(_activations(weights, features[:, part]))
+        _, error, total = _odds(weights, features[:, part])
+        error /= total[:, None]
         error[np.arange(len(error)), target[part]] -= 1
         for row in features[:, part]:
-            order = np.argsort(row, kind="stable")
+            order = np.argsort((row % SLOTS).astype(np.uint16), kind="stable")
             ordered = row[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            gradient = np.add.reduceat(error[order], first, axis=0)
+            first = _starts(ordered)
+            gradient = np.add.reduceat(error.take(order, axis=0), first, axis=0)
             own = ordered[first]
             squares[own] += gradient * gradient
             weights[own] -= RATE * gradient / np.sqrt(squares[own] + 1e-6)
 
 
-def _train(docs: DataFrame, corpus: Corpus, rounds: int) -> np.ndarray:
+def _train(groups: DataFrame, corpus: Corpus, rounds: int) -> np.ndarray:
     """Weights of the class model: in each round every task steps over its share of the round's documents
     from the common weights, and the changes are averaged by tokens in a tree."""
-    context = docs.sparkSession.sparkContext
+    context = groups.sparkSession.sparkContext
     weights = np.zeros((TEMPLATES * SLOTS + 1, CLASSES), np.float32)
     weights[-1] = corpus.prior
     for number in range(rounds):
@@ -310,15 +371,17 @@ def _train(docs: DataFrame, corpus: Corpus, rounds: int) -> np.ndarray:
             start, known = shared.value
             own, squares, n = start.copy(), np.full(start.shape, 1.0, np.float32), 0
             for batch in batches:
-                for _, found, cuts in _of(batch.column(0)):
-                    _trained(own, known, found, cuts, squares)
-                    n += len(found)
+                for row in range(batch.num_rows):
+                    words, which, cuts, train = _opened(batch, row)
+                    marks = batch.column("marks")[row].values.to_numpy()
+                    which, cuts = spans.ragged(which, cuts, np.flatnonzero(train & (marks % rounds == number)))
+                    _trained(own, known, words[which], cuts, squares)
+                    n += len(which)
             if n:
                 change = ((own - start) * np.float32(n)).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([change], pa.binary())], ["n", "change"])
 
-        part = docs.where("train").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number).select("text")
-        changes = part.mapInArrow(run, "n long, change binary").rdd.map(lambda r: (r.n, np.frombuffer(r.change, np.float32)))
+        changes = groups.select("held_out", "marks", "lengths", "words", "which").mapInArrow(run, "n long, change binary").rdd.map(lambda r: (r.n, np.frombuffer(r.change, np.float32)))
         n, total = changes.treeAggregate((0, None), _added, _added, depth=3)
         if n:
             weights = weights + (total / n).reshape(weights.shape)
@@ -333,63 +396,47 @@ def _added(a: tuple, b: tuple) -> tuple:
 def _scores(buckets: int, shared):
     """Scores of a group of documents, from the counts of its tokens and the model."""
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         weights, corpus = shared.value
-        each = NGRAM_BUCKETS * buckets
-        shares_by_kind = [_shares_of(answers, range(buckets + k * each, buckets + (k + 1) * each)) for k in range(len(KINDS))]
-        answers = answers.select(["bucket", "counts", "wide"]).filter(pc.is_valid(answers.column("counts")))
-        order = np.argsort(answers.column("bucket").to_numpy())
+        words, which, cuts, train = _opened(group, 0)
         pa.default_memory_pool().release_unused()
-        blobs, wide = answers.column("counts").to_pylist(), answers.column("wide").to_pylist()
-        counts = np.concatenate([np.frombuffer(blobs[i], "<u8" if wide[i] else "<u4") for i in order] or [np.zeros(0)]).astype(np.float64)
-        groups = list(_of(texts.column("text")))
-        words = np.unique(np.concatenate([np.unique(found) for _, found, _ in groups])) if groups else np.zeros(0, np.uint64)
-        keys = []
-        for kinds in KINDS:
-            own = np.concatenate([ngrams(found, cuts)[kinds].ravel() for _, found, cuts in groups] or [np.zeros(0, np.uint64)])
-            own.sort()
-            keys.append(own[_starts(own)])
+        known = answers.select(["bucket", "counts", "wide"]).filter(pc.is_valid(answers.column("counts")))
+        parts = sorted(range(known.num_rows), key=lambda i: known.column("bucket")[i].as_py())
+        counts = np.concatenate([_values(known.column("counts")[i].as_buffer(), "<u8" if known.column("wide")[i].as_py() else "<u4") for i in parts]).astype(np.float64)
         base_of = np.log10((counts + 1) / (corpus.n + corpus.v + 1))
         shape = (words & _LOW).astype(np.int64)
         within = np.log10((counts + 1) / (corpus.rest_tokens + corpus.rest_words + 1)[shape])
         within[np.isin(words, corpus.frequent)] = 0
-        out = [[], [], [], []]
-        for _, found, cuts in groups:
-            at = np.searchsorted(words, found)
-            model = within[at]
-            target, features = corpus.classes(found), contexts(found, cuts)
-            for low in range(0, len(found), STEP_TOKENS):
-                part = slice(low, low + STEP_TOKENS)
-                values = _activations(weights, features[:, part])
-                model[part] += values[np.arange(len(values)), target[part]] / np.log(10)
-            chance = 10.0**model
-            found_pairs = ngrams(found, cuts)
-            for kinds, asked, (seen, given) in zip(KINDS, keys, shares_by_kind):
-                for row in found_pairs[kinds]:
-                    own = np.searchsorted(asked, row)
-                    chance = seen[own] + (1 - given[own].astype(np.float64)) * chance
-            model = np.log10(chance)
-            lengths = np.diff(cuts)
-            for place, values in enumerate((lengths, np.add.reduceat((counts[at] > 0).astype(np.int64), cuts[:-1]),
-                                            np.add.reduceat(base_of[at], cuts[:-1]), np.add.reduceat(model, cuts[:-1]))):
-                out[place].append(values)
-        columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        found = words[which]
+        model, target, features = within[which], corpus.classes(words)[which], contexts(found, cuts)
+        for low in range(0, len(found), STEP_TOKENS):
+            part = slice(low, low + STEP_TOKENS)
+            values, _, total = _odds(weights, features[:, part])
+            model[part] += (values[np.arange(len(values)), target[part]] - np.log(total)) / np.log(10)
+        del features
+        chance = 10.0**model
+        each = NGRAM_BUCKETS * buckets
+        for template in range(TEMPLATES):
+            seen, given = _shares_of(answers, range(buckets + template * each, buckets + (template + 1) * each))
+            _, own = _ranks(ngrams(found, cuts, range(template, template + 1))[0])
+            chance = seen[own] + (1 - given[own].astype(np.float64)) * chance
+        of_row = lambda values: np.add.reduceat(values, cuts[:-1])
         return pa.table({
-            "doc_id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(columns[0], pa.int64()),
-            "n_known": pa.array(columns[1], pa.int64()), "train_tokens": pa.array(np.full(texts.num_rows, corpus.n), pa.int64()),
-            "base_score": pa.array(columns[2], pa.float64()), "score": pa.array(columns[3], pa.float64()),
+            "doc_id": group.column("ids")[0].values, "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(cuts), pa.int64()),
+            "n_known": pa.array(of_row((counts > 0).astype(np.int64)[which]), pa.int64()), "train_tokens": pa.array(np.full(len(train), corpus.n), pa.int64()),
+            "base_score": pa.array(of_row(base_of[which]), pa.float64()), "score": pa.array(of_row(np.log10(chance)), pa.float64()),
         })
 
     return run
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, batch_rows: int) -> DataFrame:
     """materialize(), and the shuffle files behind the stored table go at once."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        return materialize(df)
+        return materialize(df, batch_rows)
     finally:
         conf.set(key, before)
 
@@ -408,7 +455,8 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
     the class; unseen tokens have one share of each class. The ``FREQUENT`` most common tokens are classes of
     their own, all others fall into classes by a hash of their last two bytes.
 
-    Counts cover all training tokens. Documents are dealt into groups of bounded size; a group asks for the
+    Counts cover all training tokens. Texts are read and cut once: a task stores its documents in groups of bounded size, as
+    distinct tokens and their places, and texts themselves are not shuffled. A group asks for the
     counts of its distinct tokens, bucket by bucket, and only the class totals and the most common
     tokens reach the driver. Gradients are summed in a tree. The n-grams are counted in buckets of their own, so that
     no task holds the table of all; they are compared by 40 bits of a hash of the context and 23 of the token.
@@ -419,14 +467,13 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
     no rows.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("text").alias("mark"), "text")
+    groups = _stored(spread(rows).mapInArrow(_tokenised, _GROUPED), TEXT_ROWS)
+    size = groups.agg(F.sum("size")).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     buckets = max(min(chunks, spark.sparkContext.defaultParallelism), -(-chunks // CHUNKS_A_BUCKET))
-    ids = F.col("doc_id").cast("long")
-    rows = docs.select(ids.alias("id"), F.col("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = rows.select(F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.octet_length("text")), F.lit(chunks)).alias("chunk"), "id", "text", "held_out", (~F.col("held_out")).alias("train"))
-    asked = rows.select("chunk", "text", "train").groupBy("chunk").applyInArrow(_requests(buckets), "bucket int, chunk long, words binary, counts binary")
-    counted = _stored(asked.groupBy("bucket").applyInArrow(_count, _COUNTED))
+    texts = groups.select("chunk", "held_out", "lengths", "words", "which")
+    counted = _stored(texts.mapInArrow(_requests(buckets), _REQUESTED).groupBy("bucket").applyInArrow(_count, _COUNTED), GROUP_ROWS)
     totals = counted.where("chunk is null")
     shapes = totals.select(F.posexplode(F.arrays_zip("shape_tokens", "shape_words")).alias("shape", "x")).groupBy("shape").agg(
         F.sum("x.shape_tokens").alias("n"), F.sum("x.shape_words").alias("v")).collect()
@@ -435,13 +482,12 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFram
     for r in shapes:
         tokens_of[r.shape], words_of[r.shape] = r.n, r.v
     corpus = Corpus(tokens_of, words_of, [(r.top_words, r.top_counts) for r in tops])
-    weights = _train(rows, corpus, rounds)
+    weights = _train(groups, corpus, rounds)
     shared = spark.sparkContext.broadcast((weights, corpus))
-    pairs = []
-    for number, kinds in enumerate(KINDS):
-        each = NGRAM_BUCKETS * buckets
-        wanted = rows.select("chunk", "text", "train").groupBy("chunk").applyInArrow(_ngram_requests(each, buckets + number * each, kinds), "bucket int, chunk long, keys binary, counts binary")
-        pairs.append(_stored(wanted.groupBy("bucket").applyInArrow(_ngram_count, "chunk long, bucket int, wide boolean, seen binary, n binary, once binary")))
-    answers = counted.where("chunk is not null").select("chunk", "bucket", "counts", "wide").unionByName(pairs[0].unionByName(pairs[1]), allowMissingColumns=True)
+    answers, each = counted.where("chunk is not null").select("chunk", "bucket", "counts", "wide"), NGRAM_BUCKETS * buckets
+    for template in range(TEMPLATES):
+        wanted = texts.mapInArrow(_ngram_requests(each, buckets + template * each, template), _REQUESTED)
+        found = _stored(wanted.groupBy("bucket").applyInArrow(_ngram_count, "chunk long, bucket int, wide boolean, seen binary, n binary, once binary"), GROUP_ROWS)
+        answers = answers.unionByName(found, allowMissingColumns=True)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.select("chunk", "id", "text", "held_out").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(buckets, shared), schema)
+    return groups.select("chunk", "ids", "held_out", "lengths", "words", "which").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(buckets, shared), schema)
