@@ -165,3 +165,19 @@ def test_upserts_sort_a_bounded_number_of_rows_in_a_task(spark, tmp_path, monkey
     streams.upsert_stream(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "progress"), buckets=4).awaitTermination()
     assert "song_id#" in (plan := seen[0]._jdf.queryExecution().executedPlan().toString()) and ", 18), REPARTITION_BY_NUM" in plan
     assert {(r["song_id"], r["response_json"]) for r in buckets.read(spark, path).collect()} == {(str(i), f"r{i + 900}") for i in range(900)}
+
+
+def test_rows_split_off_by_keys_are_those_of_a_join(spark, tmp_path):
+    path, n = str(tmp_path / "t"), 70_000
+    rows = spark.range(n).select((F.col("id") % 60_000).cast("string").alias("k"), F.col("id").alias("v"))
+    rows.coalesce(1).write.parquet(path)
+    rows.where("v < 9").select("k", (F.col("v") + n).alias("v")).repartition(3).write.mode("append").parquet(path)
+    keys = spark.range(n).where("id % 7 = 3 or id between 40000 and 41000 or id = 0").select(F.col("id").cast("string").alias("k"))
+    scan = spark.read.parquet(path)
+    for keep, how in ((True, "left_semi"), (False, "left_anti")):
+        found = buckets.split_off(buckets.located(scan), keys.union(keys), "k", keep)
+        assert found.columns == ["k", "v"]
+        assert sorted(found.collect()) == sorted(scan.join(keys, "k", how).collect())
+    none = keys.where("k is null")
+    assert buckets.split_off(buckets.located(scan), none, "k", True).count() == 0
+    assert buckets.split_off(buckets.located(scan), none, "k", False).count() == n + 9

@@ -1,10 +1,13 @@
 """Stored features: what a refresh derives, and that its counters are those of a full build."""
 
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from tonearm import session
 from tonearm.operators import features
 from tonearm.plans import feature_store
 from tonearm.sources import buckets
@@ -97,3 +100,32 @@ def test_one_changed_song_rewrites_one_bucket(spark, tmp_path):
     feature_store.refresh(spark.createDataFrame(rows, SCHEMA), path, deriver([]), "v1", n=8)
     after = buckets.manifest(spark, f"{path}/wide").places
     assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+
+
+def size(folder):
+    return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
+
+
+def test_refresh_neither_shuffles_texts_nor_leaves_copies(spark, tmp_path, monkeypatch):
+    rng, path, plans = random.Random(3), str(tmp_path / "store"), []
+    rows = [(str(i), "a", rng.randbytes(10_000).hex()) for i in range(300)]
+    write = buckets.rewrite
+
+    def rewrite(df, where, *args, **options):
+        if where.endswith("wide"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, where, *args, **options)
+
+    monkeypatch.setattr(buckets, "rewrite", rewrite)
+    monkeypatch.setattr(session, "scratch", lambda _spark: str(tmp_path / "kept" / uuid.uuid4().hex))
+    local = [str(folder) for folder in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    before, known = sum(map(size, local)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for state in (rows, [(key, words, extra[::-1] if int(key) % 2 else extra) for key, words, extra in rows[30:]]):
+            feature_store.refresh(spark.createDataFrame(state, SCHEMA), path, deriver([]), "v1", n=4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    # Joins of rows are with the broadcast places of keys alone, and nothing but the store is left.
+    assert len(plans) == 2 and "LeftAnti" not in plans[1] and plans[1].count("strategy=broadcast") == 2
+    assert size(tmp_path / "kept") + sum(map(size, local)) - before < 300 * 10_000

@@ -21,6 +21,9 @@ from pyspark.sql.types import StructType
 BUCKETS = 64
 # Name of the folders of buckets, and of the column while rows are written.
 BUCKET = "table_bucket"
+# Where a row lies: its file, and its number in that.
+FILE, ROW = "row_file", "row_number"
+_MARKS = 32_768  # rows of one bitmap of Spark's functions
 _VERSION, _MANIFEST = "buckets-", "manifest-"
 
 OPTIONS = {
@@ -103,8 +106,35 @@ def touched(rows: DataFrame, known: Manifest) -> list[int]:
     return sorted(row[0] for row in rows.select(bucket_of(known.key, known.buckets)).distinct().collect())
 
 
-def read(spark: SparkSession, path: str, known: Manifest | None = None, only: Iterable[int] | None = None) -> DataFrame | None:
-    """Rows of the table, or of the buckets ``only``; None if there are none. One scan for each version that still holds buckets."""
+def located(scan: DataFrame) -> DataFrame:
+    """A Parquet scan with the place of its rows, for ``split_off``."""
+    return scan.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
+def split_off(rows: DataFrame, keys: DataFrame, key: str, keep: bool) -> DataFrame:
+    """Rows of a ``located`` scan whose key is among ``keys``, or with ``keep`` false the others; neither shuffles a row.
+
+    Keys are joined with keys and places alone. What comes of it is a bit for each row of a file; these bitmaps are broadcast,
+    a megabyte for eight million rows.
+    """
+    position, chunk = (F.col(ROW) % _MARKS).cast("int"), F.floor(F.col(ROW) / _MARKS)
+    found = rows.select(key, FILE, ROW).join(keys.select(key), key, "left_semi")
+    marks = found.groupBy(FILE, chunk.alias("_chunk")).agg(
+        F.bitmap_construct_agg(position.cast("long")).alias("_bits"), F.max(position).alias("_last"))
+    short = marks.select(FILE, "_chunk", F.expr("substring(_bits, 1, _last div 8 + 1)").alias("_bits"))
+    joined = rows.withColumn("_chunk", chunk).join(F.broadcast(short), [FILE, "_chunk"], "left")
+    byte = F.expr(f"conv(hex(substring(_bits, cast({ROW} % {_MARKS} div 8 as int) + 1, 1)), 16, 10)").cast("long")
+    marked = F.coalesce(F.getbit(byte, (F.col(ROW) % 8).cast("int")) == 1, F.lit(False))
+    return joined.where(marked if keep else ~marked).drop(FILE, ROW, "_chunk", "_bits")
+
+
+def read(
+    spark: SparkSession, path: str, known: Manifest | None = None, only: Iterable[int] | None = None, places: bool = False,
+) -> DataFrame | None:
+    """Rows of the table, or of the buckets ``only``; None if there are none. One scan for each version that still holds buckets.
+
+    ``places`` adds where each row lies (see ``located``), of Parquet tables only.
+    """
     known = known or manifest(spark, path)
     if known is None:
         return None
@@ -113,7 +143,8 @@ def read(spark: SparkSession, path: str, known: Manifest | None = None, only: It
     for version in sorted(set(wanted.values())):
         folders = [f"{_version_path(path, version)}/{BUCKET}={b}" for b, at in sorted(wanted.items()) if at == version]
         schema = StructType.fromJson(json.loads(known.schemas[version]))
-        scans.append(spark.read.format(known.kind).options(**OPTIONS[known.kind]).schema(schema).load(folders))
+        scan = spark.read.format(known.kind).options(**OPTIONS[known.kind]).schema(schema).load(folders)
+        scans.append(located(scan) if places else scan)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else None
 
 
@@ -135,17 +166,21 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 def rewrite(
     rows: DataFrame, path: str, known: Manifest, changed: Iterable[int], note: Callable[[DataFrame | None], dict] | None = None,
+    deal: bool = True, **options: str,
 ) -> Manifest:
     """Commit a version in which the buckets ``changed`` hold ``rows`` and all others stay as they are.
 
-    Small buckets are written together and large ones by several tasks, by the sizes that Spark has measured. ``note`` gives the
+    Small buckets are written together and large ones by several tasks, by the sizes that Spark has measured. With ``deal``
+    false rows are written where they are, for texts: no shuffle, and a file for each task and bucket. ``note`` gives the
     manifest's notes from the rows as they were written. ``Conflict`` if another writer was faster; nothing is changed then.
     """
     spark = rows.sparkSession
     version = max([known.version, *_numbers(spark, path, _VERSION), *_numbers(spark, path, _MANIFEST)]) + 1
     target = _version_path(path, version)
-    dealt = rows.withColumn(BUCKET, bucket_of(known.key, known.buckets)).hint("rebalance", BUCKET)
-    dealt.write.format(known.kind).options(**OPTIONS[known.kind]).partitionBy(BUCKET).save(target)
+    dealt = rows.withColumn(BUCKET, bucket_of(known.key, known.buckets))
+    if deal:
+        dealt = dealt.hint("rebalance", BUCKET)
+    dealt.write.format(known.kind).options(**OPTIONS[known.kind], **options).partitionBy(BUCKET).save(target)
     places = {b: at for b, at in known.places.items() if b not in set(changed)}
     places |= {int(name.partition("=")[2]): version for name in _listed(spark, target, f"{BUCKET}=")}
     schemas = {at: known.schemas[at] for at in set(places.values()) if at != version} | {version: rows.schema.json()}
