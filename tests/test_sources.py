@@ -53,6 +53,38 @@ def test_lyrics_are_named_by_stem_and_stripped(spark, tmp_path):
     assert got == {"1": "词", "a+b c": "bad � byte"}
 
 
+def test_folder_of_texts_is_listed_by_a_task_and_read_as_spark_reads_it(spark, tmp_path, monkeypatch):
+    names = ["a+b c", "100%", "%41", "词 ü", "nb\u00a0sp", "w\u3000ide", "zw\u200bj", "\u0085c", "q?[x]{y}", "back\\slash", "p|i^p`e<>\"", "#h",
+             "a;b,c=d&e@f!$'()*~", "_hidden", ".dot", "_k=v", "_metadata", "😀", "tab\there", "nl\nx", "two.b", "del\x7f"]
+    for folder in ("plain 100%", "deeper"):
+        for at, name in enumerate(names):
+            write(tmp_path / folder, f"{name}.txt", b"\xef\xbb\xbf x\xff\r\n\x00%d" % at)
+        for name in ("empty.txt", "other.json", "up.TXT", "x.txt._COPYING_"):
+            write(tmp_path / folder, name, "" if name == "empty.txt" else "y")
+        os.symlink("nowhere", tmp_path / folder / "broken.txt")
+        os.symlink("100%.txt", tmp_path / folder / "link.txt")
+    write(tmp_path / "deeper" / "k=v", "z.txt", "z")
+    (tmp_path / "none").mkdir()
+
+    def rows(df):
+        return sorted(tuple(map(bytes, row)) for row in df.select(*[F.col(name).cast("binary") for name in ("stem", "file_name", "value")]).collect())
+
+    def of_spark(folder):
+        return spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(
+            files._stem().alias("stem"), F.col("_metadata.file_name").alias("file_name"), "value")
+
+    monkeypatch.setattr(files, "_HELD", 40)
+    for folder in ("plain 100%", "deeper", "none"):
+        read = files.read_texts(spark, str(tmp_path / folder), "*.txt")
+        # Spark's own scan keeps an entry for each file at the driver.
+        assert (len(read.inputFiles()) > 1) == (folder == "deeper")
+        assert rows(read) == rows(of_spark(str(tmp_path / folder)))
+    assert files.read_texts(spark, str(tmp_path / "plain 10*"), "*.txt").count() == 20
+    assert files.read_texts(spark, str(tmp_path / "plain 100%" / "#h.txt"), "*.txt").count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_texts(spark, str(tmp_path / "missing"), "*.txt")
+
+
 def test_snapshots_split_unreadable_documents(spark, tmp_path):
     write(tmp_path, "1.json", '{"song_id": 1}')
     write(tmp_path, "2.json", "{oops")

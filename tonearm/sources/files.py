@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from io import BytesIO
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -15,10 +19,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tonearm import session, vocab
 from tonearm.functions import text
 from tonearm.operators import merge, similarity, snapshots
+from tonearm.sources import buckets
 
 # Columns that ``read_jsonl`` finds by itself, at most; a table with more is read by the names of the wanted ones.
 JSONL_COLUMNS = 10_000
 AUDIO_EXTENSIONS = ("mp3", "flac", "wav", "m4a", "aac", "ogg")  # fixed value
+# Extensions of files that Spark unpacks, and characters of paths that it takes for patterns.
+_PACKED = (".bz2", ".deflate", ".gz", ".lz4", ".passthrough", ".snappy", ".zst")
+_GLOB = frozenset("{}[]*?\\")
+# Bytes of texts that a task holds at once, beside the file it reads.
+_HELD = 4 << 20
 
 
 def _stem(path: str = "_metadata.file_name") -> Column:
@@ -103,8 +113,100 @@ def read_tag_csvs(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_union(spark, folder, "*song_tags.csv")
 
 
+def _local_folder(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder of the local or mounted file system; None for what Spark alone has to read."""
+    if _GLOB & set(folder):
+        return None
+    place, system = buckets._files(spark, folder)
+    address = system.makeQualified(place(folder))
+    if address.toUri().getScheme() != "file" or not system.exists(address) or not system.getFileStatus(address).isDirectory():
+        return None
+    return address.toUri().getPath()
+
+
+def _list_names(spark: SparkSession, base: str, extension: str) -> DataFrame | None:
+    """(name, length) of the files of a folder that aren't empty, stored; None if there are folders in it, which Spark may read too.
+
+    One task goes through the folder, which can only be gone through as a whole, and holds a batch of its names.
+    """
+
+    def hidden(name: str) -> bool:
+        """Names that Spark leaves out."""
+        return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+    def batch(found: list[tuple[str | None, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["name", "length"])
+
+    def listed(once: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _row in once:
+            found: list[tuple[str | None, int]] = []
+            with os.scandir(base) as entries:
+                for entry in entries:
+                    if hidden(entry.name):
+                        continue
+                    try:
+                        if entry.is_dir():
+                            found.append((None, 0))
+                        elif entry.name.endswith(extension) and (length := entry.stat().st_size):
+                            found.append((entry.name, length))
+                    except FileNotFoundError:
+                        continue
+                    if len(found) == 10_000:
+                        yield batch(found)
+                        found = []
+            if found:
+                yield batch(found)
+
+    names = session.materialize(spark.range(0, 1, 1, 1).mapInArrow(listed, "name string, length long"))
+    return None if names.where("name is null").limit(1).count() else names
+
+
+def _contents(names: DataFrame, base: str) -> DataFrame:
+    """(file_name, value) of the files of ``_list_names``, in as many tasks as ``session.gather`` would take."""
+    spark = names.sparkSession
+
+    def quoted(name: str) -> str:
+        """A file's name as ``_metadata.file_name`` has it: quoted as Java quotes paths, which keeps letters beyond ASCII."""
+        return "".join(
+            x if ord(x) > 127 and unicodedata.category(x) not in ("Cc", "Zs", "Zl", "Zp") else quote(x, safe="!~'()*:@&=+$,;-._") for x in name)
+
+    def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[str, bytes]] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], ["file_name", "value"])
+
+        for named in batches:
+            for name in named.column(0).to_pylist():
+                with open(os.path.join(base, name), "rb") as one:
+                    content = one.read()
+                found.append((quoted(name), content))
+                held += len(content)
+                if held >= _HELD or len(found) == 10_000:
+                    yield batch()
+                    found, held = [], 0
+        if found:
+            yield batch()
+
+    count, size = names.agg(F.count("name"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    tasks = max(1, min(count, max(8 * spark.sparkContext.defaultParallelism, -(-size // split))))
+    return names.select("name").repartition(tasks).mapInArrow(loaded, "file_name string, value binary")
+
+
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(stem, file_name, value): whole text files."""
+    """(stem, file_name, value): whole text files; empty ones give no row.
+
+    Files of one extension in a plain local or mounted folder are listed by a task, so no list of them comes to the
+    driver. Spark lists all others.
+    """
+    extension = pattern[1:] if re.fullmatch(r"\*\.\w+", pattern, re.ASCII) else ""
+    base = _local_folder(spark, folder) if extension and extension not in _PACKED else None
+    names = _list_names(spark, base, extension) if base else None
+    if names is not None:
+        return _contents(names, base).select(_stem("file_name").alias("stem"), "file_name", F.col("value").cast("string").alias("value"))
     reader = spark.read.option("pathGlobFilter", pattern)
     return session.gather(reader.text(folder, wholetext=True)).select(
         _stem().alias("stem"), F.col("_metadata.file_name").alias("file_name"), "value"
